@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_rows, utf8
+from .common import documents, extended, map_rows, utf8
 
 WINDOW = 10
 BLOCK_WORDS = 2_000_000
@@ -218,9 +218,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_c
         more = [pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.list_(pa.string())), pa.array(c[3], pa.binary()).cast(pa.string()), pa.array(c[4], pa.float64()), pa.array(c[5], pa.bool_())]
         return pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, *names])
 
-    from pyspark.sql.types import StructType
-
-    return map_rows(docs, of, StructType([*docs.schema.fields, *StructType.fromDDL(added).fields]))
+    return map_rows(docs, of, extended(docs, added))
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_rows, materialize, utf8
+from .common import documents, extended, map_rows, materialize, utf8
 
 MIN_LENGTH = 10
 HASHES = 4
@@ -170,8 +170,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
             lines.append(n)
         return pa.RecordBatch.from_arrays([*batch.columns[:lost_at], pa.array(kept, pa.binary()).cast(pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], [*names, "kept_text", "n_lines", "n_dropped"])
 
-    schema = docs.schema.add("kept_text", "string").add("n_lines", "long").add("n_dropped", "long")
-    return map_rows(both.select(*names, "__lost"), keep, schema)
+    return map_rows(both.select(*names, "__lost"), keep, extended(docs, "kept_text string, n_lines long, n_dropped long"))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,6 +25,8 @@ from .tokens import encode_texts, tokenizer_path
 CAPACITY = 1024
 END_ID = 2
 FAN_IN = 16
+HELD_IDS = 16_000_000
+"""Ids that one local best-fit round holds in memory."""
 
 
 def piece_bounds(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -62,30 +64,33 @@ def best_fit(items: Iterable[tuple[int, object]], capacity: int) -> list[list]:
 
 def _pieces(docs: DataFrame, path: str, capacity: int, keep_ids: bool) -> DataFrame:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        doc, piece, start, length, crc, ids = [], [], [], [], [], []
+        base, rows, held = TaskContext.get().partitionId() << 32, [], 0
+
+        def flush(first: int) -> tuple[int, list[pa.RecordBatch]]:
+            bins = best_fit(((r[3], i) for i, r in enumerate(rows)), capacity)
+            which, place, used = (np.zeros(len(rows), np.int64) for _ in range(3))
+            for k, (full, members) in enumerate(bins):
+                for i, at in members:
+                    which[i], place[i], used[i] = first + k, at, full
+            columns = list(zip(*rows, strict=True))
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            arrays = [*(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), pa.array(which), pa.array(place), pa.array(used.astype(np.int32))]
+            whole = pa.RecordBatch.from_arrays(arrays, ["doc_id", "piece", "start", "length", "ids_crc32", "ids", "bin", "place", "used"])
+            return first + len(bins), [whole.slice(at, 20_000) for at in range(0, len(rows), 20_000)]
+
         for batch in batches:
             for doc_id, raw in zip(batch.column(0).to_pylist(), encode_texts(batch.column(1).to_pylist(), path), strict=True):
                 raw += END_ID.to_bytes(4, "little")
-                for k, (s, n) in enumerate(piece_bounds(len(raw) // 4, capacity)):
-                    doc.append(doc_id)
-                    piece.append(k)
-                    start.append(s)
-                    length.append(n)
-                    own = raw[4 * s : 4 * (s + n)]
-                    crc.append(zlib.crc32(own))
-                    ids.append(own if keep_ids else None)
-        bins = best_fit(((n, i) for i, n in enumerate(length)), capacity)
-        which, place, used = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64), np.zeros(len(length), np.int32)
-        for k, (full, members) in enumerate(bins):
-            for i, at in members:
-                which[i], place[i], used[i] = k, at, full
-        for at in range(0, len(doc), 50_000):
-            cut = slice(at, at + 50_000)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(doc[cut], pa.int64()), pa.array(piece[cut], pa.int32()), pa.array(start[cut], pa.int64()), pa.array(length[cut], pa.int64()), pa.array(crc[cut], pa.int64()), pa.array(ids[cut], pa.binary()), pa.array(which[cut] + (part << 32)), pa.array(place[cut]), pa.array(used[cut])],
-                ["doc_id", "piece", "start", "length", "ids_crc32", "ids", "bin", "place", "used"],
-            )
+                for k, (start, n) in enumerate(piece_bounds(len(raw) // 4, capacity)):
+                    own = raw[4 * start : 4 * (start + n)]
+                    rows.append((doc_id, k, start, n, zlib.crc32(own), own if keep_ids else None))
+                    held += n if keep_ids else 8
+            if held > HELD_IDS:
+                base, out = flush(base)
+                yield from out
+                rows, held = [], 0
+        if rows:
+            yield from flush(base)[1]
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, bin long, place long, used int"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(of, schema)
