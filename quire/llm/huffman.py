@@ -153,7 +153,10 @@ def _raw_blocks(docs: DataFrame, path: str) -> DataFrame:
     """Documents in ascending order, tokenised, as rows of consecutive documents; the shard is the range partition."""
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n = max(1, ordered.rdd.getNumPartitions())
-    ordered = ordered.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    # Bounds come from the id column alone; a range partitioner would read every text for its sample.
+    bounds = sorted(set(docs.select(F.col("doc_id").cast("double").alias("doc_id")).approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (4 * n)))) if n > 1 else []
+    shard = F.size(F.filter(F.lit(bounds), lambda b: b <= F.col("doc_id"))) if bounds else F.lit(0)
+    ordered = ordered.repartitionById(n, F.coalesce(F.greatest(shard, F.lit(0)), F.lit(0)).cast("int")).sortWithinPartitions("doc_id", "text")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, block, before = TaskContext.get().partitionId(), 0, 0

@@ -11,11 +11,12 @@ from __future__ import annotations
 import os
 import re
 from functools import cached_property
+from itertools import islice
 
 import numpy as np
 
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
-MAX_WORDS = 1_200_000
+MAX_WORDS = 1_300_000
 _PLAIN = re.compile("[\n\x20-\x7e¡-¬®-ſ]*")
 _ODD = ("  ", "\n\n", "\n ", " \n", "<|")
 _encoders: dict[str, WordEncoder] = {}
@@ -51,8 +52,10 @@ class WordEncoder:
         A full stop or comma after a letter is a pre-token of its own, so such words share their stem.
         """
         known = self.known
-        if len(known) + len(words) > MAX_WORDS:
+        if len(known) + len(words) > MAX_WORDS:  # the words met first are the frequent ones
+            first = dict(islice(known.items(), MAX_WORDS // 4))
             known.clear()
+            known.update(first)
         ended = [w for w in words if len(w) > 2 and w[-1] in ".," and w[-2].isalpha()]
         stems = {w[:-1] for w in ended}
         plain = [*(stems.difference(known)), *(words.difference(ended, stems))]
@@ -91,7 +94,7 @@ class WordEncoder:
                 out[i] = self._whole(text)
         if unseen := used.difference(self.known, ("\x01", "\x02")):
             if len(self.known) + len(unseen) > MAX_WORDS:
-                unseen = used.difference(("\x01", "\x02"))
+                unseen = used.difference(islice(self.known, MAX_WORDS // 4), ("\x01", "\x02"))
             self._learn(unseen)
         get = self.known.__getitem__
         for i, parts in cut:
