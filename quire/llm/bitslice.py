@@ -185,8 +185,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     if not keys or not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     blocks = [r.block for r in cands.select("block").collect()]
-    left = cands.withColumn("ask", F.explode(F.lit(keys)))
-    right = asks.select(F.col("block").alias("ask"), F.col("dims").alias("q_dims"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix")).withColumn("block", F.explode(F.lit(blocks)))
+    left = cands.withColumn("ask", F.explode(F.lit(keys).cast("array<bigint>")))
+    right = asks.select(F.col("block").alias("ask"), F.col("dims").alias("q_dims"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix")).withColumn("block", F.explode(F.lit(blocks).cast("array<bigint>")))
 
     def meet(cand: pa.Table, ask: pa.Table) -> pa.Table:
         out: list[tuple] = []
