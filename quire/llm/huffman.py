@@ -161,10 +161,12 @@ def _raw_blocks(docs: DataFrame, path: str) -> DataFrame:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, block, before = TaskContext.get().partitionId(), 0, 0
         docs_, sizes, raws, held = [], [], [], 0
-        end = END_ID.to_bytes(4, "little")
+        end, total = END_ID.to_bytes(4, "little"), np.zeros(0, np.int64)
 
         def flush() -> pa.RecordBatch:
+            nonlocal total
             wide = np.frombuffer(b"".join(raws), "<u4")
+            total = _added(total, np.bincount(wide))
             narrow = wide.max(initial=0) < 1 << 16
             return pa.RecordBatch.from_arrays(
                 [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([before], pa.int64()), pa.array([docs_], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([held], pa.int64()), pa.array([2 if narrow else 4], pa.int32()), pa.array([wide.astype("<u2" if narrow else "<u4").tobytes()], pa.binary())],
@@ -184,10 +186,20 @@ def _raw_blocks(docs: DataFrame, path: str) -> DataFrame:
                     docs_, sizes, raws, held = [], [], [], 0
         if docs_:
             yield flush()
+        if len(total):  # the counts of the shard, bounded by the vocabulary
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([-1], pa.int32()), pa.array([0]), pa.array([[]], pa.list_(pa.int64())), pa.array([[]], pa.list_(pa.int64())), pa.array([0]), pa.array([8], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["shard", "block", "before", "docs", "sizes", "n", "width", "ids"])
 
     return ordered.mapInArrow(of, "shard int, block int, before long, docs array<long>, sizes array<long>, n long, width int, ids binary")
 
 
+def _added(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The sum of two count tables of any lengths."""
+    a, b = (a, b) if len(a) >= len(b) else (b, a)
+    out = a.astype(np.int64)
+    out[: len(b)] += b
+    return out
+
+
 def _ids(width: int, raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, "<u2" if width == 2 else "<u4")
 
@@ -200,22 +212,18 @@ def write_ids(docs: DataFrame, folder: str, path: str | None = None, limit: int
     the code book is bounded by the vocabulary and the start of every block by one number a shard.
     """
     spark = docs.sparkSession
-    raw = materialize(_raw_blocks(docs, path or tokenizer_path()), "id-blocks")
+    both = materialize(_raw_blocks(docs, path or tokenizer_path()), "id-blocks", "snappy")
+    raw = both.where("block >= 0")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for width, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = np.bincount(_ids(width, content))
-                if len(own) > len(total):
-                    own[: len(total)] += total
-                    total = own
-                else:
-                    total[: len(own)] += own
+            for content in batch.column(0).to_pylist():
+                total = _added(total, np.frombuffer(content, np.int64))
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["id", "n"])
 
-    counted = raw.select("width", "ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    counted = both.where("block < 0").select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(int(counted["id"].max()) + 1 if len(counted) else 1, np.int64)
     counts[counted["id"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
     lengths = code_lengths(counts, limit)

@@ -16,7 +16,7 @@ from itertools import islice
 import numpy as np
 
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
-MAX_WORDS = 2_000_000
+MAX_WORDS = 1_390_000
 _PLAIN = re.compile("[\n\x20-\x7e¡-¬®-ſ]*")
 _ODD = ("  ", "\n\n", "\n ", " \n", "<|")
 _encoders: dict[str, WordEncoder] = {}
