@@ -9,6 +9,7 @@ takes one entry a batch however frequent it is, so no n-gram makes a range large
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, sorted_groups
+from .common import documents, map_rows, shared_folder, sorted_groups, utf8
 from .decontaminate import words_of
 
 ALPHA = 0.4
@@ -96,6 +97,15 @@ def _unpack(width: int, raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, f"<u{width}").astype(np.int64)
 
 
+def _pack_hashes(sorted_hashes: np.ndarray) -> bytes:
+    """Differences of sorted hashes, byte plane by byte plane: their empty high bytes then compress away."""
+    return np.diff(sorted_hashes, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpack_hashes(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
+
+
 def backoff_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """(doc_id, n_words, log_score, mean_log_score) for every row.
 
@@ -109,7 +119,14 @@ def backoff_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     batches, ranges = max(1, math.ceil(chars / BATCH_CHARS)), max(1, math.ceil(chars / RANGE_CHARS))
     rows = rows.withColumn("batch", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(batches)).cast("int"))
-    rows = materialize(rows.repartition("batch").sortWithinPartitions("batch", "doc_id", "text"), "lm-batches")
+    # Bucketed by batch, so that neither asking nor scoring shuffles the texts again.
+    name = f"lm_batches_{uuid.uuid4().hex}"
+    counted = map_rows(rows.repartition(batches, "batch"), _with_words, "doc_id long, text string, batch int, n_words long")
+    writer = counted.write.bucketBy(batches, "batch").option("compression", "zstd").option("path", f"{shared_folder(spark)}/{name}")
+    writer.saveAsTable(name)
+    table_of_batches = spark.table(name)
+    words = table_of_batches.agg(F.sum("n_words")).first()[0] or 0
+    rows = table_of_batches.select("doc_id", "text", "batch")
 
     def cut(found: np.ndarray) -> np.ndarray:
         limits = np.arange(1, ranges, dtype=np.float64) / ranges * 2.0**64
@@ -124,19 +141,19 @@ def backoff_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
             for r in range(ranges):
                 a, b = ends[r], ends[r + 1]
                 if b > a:
-                    out.append((n * ranges + r, key[0].as_py(), n, r, found[a:b].tobytes(), *_pack(counts[a:b])))
+                    out.append((n * ranges + r, key[0].as_py(), n, r, _pack_hashes(found[a:b]), *_pack(counts[a:b])))
         c = list(zip(*out, strict=True)) or [[]] * 7
         kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary()]
         return pa.table([pa.array(x, k) for x, k in zip(c, kinds, strict=True)], ["part", "batch", "n", "r", "hashes", "width", "counts"])
 
-    asked = materialize(rows.groupBy("batch").applyInArrow(ask, "part long, batch int, n int, r int, hashes binary, width int, counts binary"), "lm-questions")
+    asked = rows.groupBy("batch").applyInArrow(ask, "part long, batch int, n int, r int, hashes binary, width int, counts binary")
 
     def answer(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in sorted_groups(stream, "part"):
             part = table["part"].to_numpy()
             for p in np.unique(part).tolist():
                 own = table.filter(pa.array(part == p))
-                hashes = [np.frombuffer(x, np.uint64) for x in own["hashes"].to_pylist()]
+                hashes = [_unpack_hashes(x) for x in own["hashes"].to_pylist()]
                 counts = [_unpack(w, x) for w, x in zip(own["width"].to_pylist(), own["counts"].to_pylist(), strict=True)]
                 _, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
                 total = np.bincount(inverse, np.concatenate(counts)).astype(np.int64)
@@ -149,7 +166,6 @@ def backoff_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([own["batch"].combine_chunks(), own["n"].combine_chunks(), own["r"].combine_chunks(), pa.array(widths, pa.int32()), pa.array(raws, pa.binary())], ["batch", "n", "r", "width", "totals"])
 
     answers = asked.repartition("part").sortWithinPartitions("part").mapInArrow(answer, "batch int, n int, r int, width int, totals binary")
-    words = asked.where("n = 1").select("width", "counts").mapInArrow(_summed, "words long").agg(F.sum("words")).first()[0] or 0
 
     def score(text: pa.Table, told: pa.Table) -> pa.Table:
         text = text.sort_by([("doc_id", "ascending"), ("text", "ascending")])
@@ -165,9 +181,8 @@ def backoff_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     return rows.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(score, "doc_id long, n_words long, log_score double, mean_log_score double")
 
 
-def _summed(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in stream:
-        yield pa.RecordBatch.from_arrays([pa.array([sum(int(_unpack(w, c).sum()) for w, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))])], ["words"])
+def _with_words(batch: pa.RecordBatch) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(words_of(t)) for t in utf8(batch.column(1))], pa.int64())], [*batch.schema.names, "n_words"])
 
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
