@@ -23,9 +23,10 @@ from .common import documents, materialize
 from .tokens import encode_texts, tokenizer_path
 
 CAPACITY = 1024
+MAX_WORDS = 600_000
 END_ID = 2
 FAN_IN = 16
-HELD_IDS = 16_000_000
+HELD_IDS = 4_000_000
 """Ids that one local best-fit round holds in memory."""
 
 
@@ -79,7 +80,7 @@ def _pieces(docs: DataFrame, path: str, capacity: int, keep_ids: bool) -> DataFr
             return first + len(bins), [whole.slice(at, 20_000) for at in range(0, len(rows), 20_000)]
 
         for batch in batches:
-            for doc_id, raw in zip(batch.column(0).to_pylist(), encode_texts(batch.column(1).to_pylist(), path), strict=True):
+            for doc_id, raw in zip(batch.column(0).to_pylist(), encode_texts(batch.column(1).to_pylist(), path, max_words=MAX_WORDS), strict=True):
                 raw += END_ID.to_bytes(4, "little")
                 for k, (start, n) in enumerate(piece_bounds(len(raw) // 4, capacity)):
                     own = raw[4 * start : 4 * (start + n)]

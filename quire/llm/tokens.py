@@ -42,6 +42,7 @@ class WordEncoder:
         kind = type(self.library.pre_tokenizer).__name__
         self.by_word = kind == "ByteLevel" and self.library.normalizer is None and not getattr(self.library.pre_tokenizer, "add_prefix_space", True)
         self.known: dict[str, bytes] = {}
+        self.limit = MAX_WORDS
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -52,8 +53,8 @@ class WordEncoder:
         A full stop or comma after a letter is a pre-token of its own, so such words share their stem.
         """
         known = self.known
-        if len(known) + len(words) > MAX_WORDS:  # the words met first are the frequent ones
-            first = dict(islice(known.items(), MAX_WORDS // 4))
+        if len(known) + len(words) > self.limit:  # the words met first are the frequent ones
+            first = dict(islice(known.items(), self.limit // 4))
             known.clear()
             known.update(first)
         ended = [w for w in words if len(w) > 2 and w[-1] in ".," and w[-2].isalpha()]
@@ -93,8 +94,8 @@ class WordEncoder:
             else:
                 out[i] = self._whole(text)
         if unseen := used.difference(self.known, ("\x01", "\x02")):
-            if len(self.known) + len(unseen) > MAX_WORDS:
-                unseen = used.difference(islice(self.known, MAX_WORDS // 4), ("\x01", "\x02"))
+            if len(self.known) + len(unseen) > self.limit:
+                unseen = used.difference(islice(self.known, self.limit // 4), ("\x01", "\x02"))
             self._learn(unseen)
         get = self.known.__getitem__
         for i, parts in cut:
@@ -102,11 +103,12 @@ class WordEncoder:
         return out  # type: ignore[return-value]
 
 
-def encode_texts(texts: list[str | None], path: str, group: int = 256) -> list[bytes]:
+def encode_texts(texts: list[str | None], path: str, group: int = 256, max_words: int = MAX_WORDS) -> list[bytes]:
     """Little-endian unsigned 32-bit ids of every text; null is empty."""
     encoder = _encoders.get(path)
     if encoder is None:
         encoder = _encoders[path] = WordEncoder(path)
+    encoder.limit = max_words
     out: list[bytes] = []
     for at in range(0, len(texts), group):
         out += encoder.encode([t or "" for t in texts[at : at + group]])
