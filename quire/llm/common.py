@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,13 +16,14 @@ from pyspark.sql.types import StructType
 def shared_folder(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that setting is missing (single-machine tests) a temporary folder is made and set.
+    Only where that setting is missing (single-machine tests) a temporary folder is made, one a process.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="quire-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    return (spark.conf.get("spark.checkpoint.dir", None) or _own_folder()).rstrip("/")
+
+
+@cache
+def _own_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="quire-")
 
 
 def materialize(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
