@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame
 
 
+@cache
+def _own_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="quire-")
+
+
 def durable(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder of ``spark.checkpoint.dir`` and read again; a temporary folder only where none is set."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="quire-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
     path = f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

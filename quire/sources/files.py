@@ -36,7 +36,11 @@ def result_documents(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def corrupt_documents(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    return _json(spark, RESULT, paths).where("_corrupt_record is not null").select("file")
+    """(file): those that do not parse."""
+    every = spark.read.format("binaryFile").load(paths).select(F.col("_metadata.file_path").alias("file"))
+    # The reader refuses plans that use the corrupt-record column alone, hence the size.
+    good = result_documents(spark, paths).where(F.coalesce(F.size("pages"), F.lit(-1)) >= -1).select("file")
+    return every.join(good, "file", "left_anti")
 
 
 def result_pages(documents: DataFrame) -> DataFrame:
