@@ -29,7 +29,7 @@ from .tokens import encode_texts, tokenizer_path
 END_ID = 0
 MAX_LENGTH = 18
 BLOCK_IDS = 1 << 17
-SPACING = 256
+SPACING = 128
 MAGIC = b"QHB1"
 
 
@@ -77,6 +77,8 @@ class CodeBook:
         first = np.cumsum(span) - span
         self.codes = np.zeros(len(self.lengths), np.uint64)
         self.codes[order] = (first >> (self.limit - length)).astype(np.uint64)
+        self.aligned = self.codes << (np.uint64(64) - np.maximum(self.lengths, 1).astype(np.uint64))
+        self.wide = self.lengths.astype(np.uint64)
         self.symbols = np.zeros(1 << self.limit, np.uint32)
         filled = np.repeat(order.astype(np.uint32), span)
         self.symbols[: len(filled)] = filled
@@ -86,12 +88,12 @@ class CodeBook:
         """(checkpoints, bit stream)."""
         if not len(ids):
             return np.empty(0, np.uint64), b""
-        length = self.lengths[ids].astype(np.uint64)
+        length = self.wide[ids]
         end = np.cumsum(length)
         start = end - length
         word = start >> np.uint64(5)
         # A code of at most 32 bits that starts in a 32-bit word ends in the 64 bits from there.
-        part = self.codes[ids] << (np.uint64(64) - length - (start & np.uint64(31)))
+        part = self.aligned[ids] >> (start & np.uint64(31))
         first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
         stream = np.zeros(int(word[-1]) + 2, np.uint64)
         both = np.bitwise_or.reduceat(part, first)
@@ -104,15 +106,12 @@ class CodeBook:
         if not n:
             return np.empty(0, np.uint32)
         data = np.frombuffer(stream + bytes(12), np.uint8)
-        words = np.lib.stride_tricks.sliding_window_view(data, 8)  # 64 bits from every byte
         at = checkpoints.astype(np.uint64).copy()
         lanes = len(at)
         out = np.zeros((spacing, lanes), np.uint32)
-        shift = np.uint64(64 - self.limit)
         mask = np.uint64((1 << self.limit) - 1)
         big = data[:-3].astype(np.uint64)
         big = (big << np.uint64(24)) | (data[1:-2].astype(np.uint64) << np.uint64(16)) | (data[2:-1].astype(np.uint64) << np.uint64(8)) | data[3:]
-        del words
         shift = np.uint64(32 - self.limit)
         last = n - (lanes - 1) * spacing
         for step in range(min(spacing, n)):
