@@ -211,7 +211,7 @@ def write_ids(docs: DataFrame, folder: str, path: str | None = None, limit: int
     the code book is bounded by the vocabulary and the start of every block by one number a shard.
     """
     spark = docs.sparkSession
-    both = materialize(_raw_blocks(docs, path or tokenizer_path()), "id-blocks", "snappy")
+    both = materialize(_raw_blocks(docs, path or tokenizer_path()), "id-blocks")
     raw = both.where("block >= 0")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
