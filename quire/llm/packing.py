@@ -20,10 +20,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, materialize
-from .tokens import encode_texts, tokenizer_path
+from .tokens import MAX_WORDS, encode_texts, tokenizer_path
 
 CAPACITY = 1024
-MAX_WORDS = 600_000
 END_ID = 2
 FAN_IN = 16
 HELD_IDS = 4_000_000
@@ -63,7 +62,7 @@ def best_fit(items: Iterable[tuple[int, object]], capacity: int) -> list[list]:
     return bins
 
 
-def _pieces(docs: DataFrame, path: str, capacity: int, keep_ids: bool) -> DataFrame:
+def _pieces(docs: DataFrame, path: str, capacity: int, keep_ids: bool, max_words: int) -> DataFrame:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, rows, held = TaskContext.get().partitionId() << 32, [], 0
 
@@ -80,7 +79,7 @@ def _pieces(docs: DataFrame, path: str, capacity: int, keep_ids: bool) -> DataFr
             return first + len(bins), [whole.slice(at, 20_000) for at in range(0, len(rows), 20_000)]
 
         for batch in batches:
-            for doc_id, raw in zip(batch.column(0).to_pylist(), encode_texts(batch.column(1).to_pylist(), path, max_words=MAX_WORDS), strict=True):
+            for doc_id, raw in zip(batch.column(0).to_pylist(), encode_texts(batch.column(1).to_pylist(), path, max_words=max_words), strict=True):
                 raw += END_ID.to_bytes(4, "little")
                 for k, (start, n) in enumerate(piece_bounds(len(raw) // 4, capacity)):
                     own = raw[4 * start : 4 * (start + n)]
@@ -116,14 +115,14 @@ def _merge_level(bins: DataFrame, level: int, capacity: int) -> DataFrame:
     return materialize(bins.groupBy("grp").applyInPandas(of, "grp long, bin long, host long, shift long, used int, on boolean"), f"bins-{level}")
 
 
-def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, slack: int = 0, keep_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, slack: int = 0, keep_ids: bool = True, max_words: int = MAX_WORDS) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, ids, sequence_id, offset), one row for each piece.
 
     Null and empty texts are the end id alone. A document longer than ``capacity`` becomes pieces of
     exactly ``capacity`` ids but for a shorter first one. Equal rows are packed once each; a null doc_id
     stays null. Offsets in a sequence are gapless from 0. An empty table gives an empty result.
     """
-    pieces = materialize(_pieces(docs, path or tokenizer_path(), capacity, keep_ids), "pieces")
+    pieces = materialize(_pieces(docs, path or tokenizer_path(), capacity, keep_ids, max_words), "pieces")
     open_bins = pieces.where(F.col("place") == 0).where(F.col("used") < capacity - slack)
     # What leaves a partition: its movable bin, and as many hosts of each residual as one round can use.
     part = F.shiftright("bin", 32)
