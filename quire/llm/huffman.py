@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, map_rows, materialize, shared_folder
-from .tokens import encode_texts, tokenizer_path
+from .tokens import encode_each, tokenizer_path
 
 END_ID = 0
 MAX_LENGTH = 18
@@ -173,7 +173,7 @@ def _raw_blocks(docs: DataFrame, path: str) -> DataFrame:
             )
 
         for batch in batches:
-            for doc_id, raw in zip(batch.column(0).to_pylist(), encode_texts(batch.column(1).to_pylist(), path), strict=True):
+            for doc_id, raw in zip(batch.column(0).to_pylist(), encode_each((x.as_py() for x in batch.column(1)), path), strict=True):
                 raw += end
                 docs_.append(doc_id)
                 sizes.append(len(raw) // 4)

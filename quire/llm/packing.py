@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, materialize
-from .tokens import MAX_WORDS, encode_texts, tokenizer_path
+from .tokens import MAX_WORDS, encode_each, tokenizer_path
 
 CAPACITY = 1024
 END_ID = 2
@@ -79,7 +79,7 @@ def _pieces(docs: DataFrame, path: str, capacity: int, keep_ids: bool, max_words
             return first + len(bins), [whole.slice(at, 20_000) for at in range(0, len(rows), 20_000)]
 
         for batch in batches:
-            for doc_id, raw in zip(batch.column(0).to_pylist(), encode_texts(batch.column(1).to_pylist(), path, max_words=max_words), strict=True):
+            for doc_id, raw in zip(batch.column(0).to_pylist(), encode_each((x.as_py() for x in batch.column(1)), path, max_words=max_words), strict=True):
                 raw += END_ID.to_bytes(4, "little")
                 for k, (start, n) in enumerate(piece_bounds(len(raw) // 4, capacity)):
                     own = raw[4 * start : 4 * (start + n)]

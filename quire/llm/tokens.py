@@ -1,8 +1,9 @@
 """Token ids of whole texts with the tokenizers library, fast on repeated words.
 
 A byte-level BPE without merges across words encodes each pre-token on its own. Texts of common Latin
-characters with single spaces and line breaks are therefore cut at their spaces, unseen words are
-encoded together by the library, and the ids of each word are kept in a bounded per-process table.
+characters with single spaces and line breaks are therefore cut at their spaces and dictionary-encoded
+in groups, unseen words are encoded together by the library, and the ids of each word are kept in a
+bounded per-process table.
 Every other text goes to the library whole, so ids always equal those of the library.
 """
 
@@ -10,14 +11,19 @@ from __future__ import annotations
 
 import os
 import re
+import string
+from collections.abc import Iterable, Iterator
 from functools import cached_property
-from itertools import islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
-MAX_WORDS = 1_200_000
+MAX_WORDS = 800_000
+GROUP_CHARS = 2_000_000
 _PLAIN = re.compile("[\n\x20-\x7e¡-¬®-ſ]*")
+_PUNCTUATION = string.punctuation
 _ODD = ("  ", "\n\n", "\n ", " \n", "<|")
 _encoders: dict[str, WordEncoder] = {}
 
@@ -28,6 +34,32 @@ def tokenizer_path(name: str = DEFAULT_TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+class _Words(dict):
+    """Ids of words, in two generations of which the older one goes when the younger one is full.
+
+    A word of the older generation moves to the younger one when it is used; an unknown word gives
+    None and is noted in ``unseen``. Rare words so leave by themselves and frequent ones stay.
+    """
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.older: dict[str, bytes] = {}
+        self.unseen: set[str] = set()
+
+    def __missing__(self, word: str) -> bytes | None:
+        ids = self.older.pop(word, None)
+        if ids is None:
+            self.unseen.add(word)
+        else:
+            self[word] = ids
+        return ids
+
+    def rotate(self, limit: int) -> None:
+        if len(self) > limit // 2:
+            self.older = dict(self)
+            self.clear()
+
+
 class WordEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids."""
 
@@ -41,25 +73,23 @@ class WordEncoder:
         self.begins = np.array([c in ("Ġ", "Ċ") for c in first])
         kind = type(self.library.pre_tokenizer).__name__
         self.by_word = kind == "ByteLevel" and self.library.normalizer is None and not getattr(self.library.pre_tokenizer, "add_prefix_space", True)
-        self.known: dict[str, bytes] = {}
+        self.known, self.endings = _Words(), {}
         self.limit = MAX_WORDS
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, words: set[str]) -> None:
-        """Adds words to the table. A word that starts with U+0001 has no space before it.
+    def _learn(self) -> None:
+        """Adds the unseen words to the table. A word that starts with U+0001 has no space before it.
 
-        A full stop or comma after a letter is a pre-token of its own, so such words share their stem.
+        Punctuation right after letters is a pre-token of its own, so such words share their stem.
         """
-        known = self.known
-        if len(known) + len(words) > self.limit:  # the words met first are the frequent ones
-            first = dict(islice(known.items(), self.limit // 4))
-            known.clear()
-            known.update(first)
-        ended = [w for w in words if len(w) > 2 and w[-1] in ".," and w[-2].isalpha()]
-        stems = {w[:-1] for w in ended}
-        plain = [*(stems.difference(known)), *(words.difference(ended, stems))]
+        known, fresh, self.known.unseen = self.known, self.known.unseen, set()
+        ended = [(w, stem, w[len(stem) :]) for w in fresh if (stem := w.rstrip(_PUNCTUATION)) != w and stem.isalpha()]
+        fresh.difference_update([w for w, _, _ in ended])
+        fresh.update([stem for _, stem, _ in ended if known[stem] is None])
+        known.unseen.clear()
+        plain = list(fresh)
         groups = [plain[at : at + 64] for at in range(0, len(plain), 64)]
         joined = ["".join(["\n" + w[1:] if w[0] == "\x01" else " " + w for w in part]) for part in groups]
         for part, found in zip(groups, self.library.encode_batch_fast(joined, add_special_tokens=False), strict=True):
@@ -72,44 +102,70 @@ class WordEncoder:
             raw, at = ids.tobytes(), (4 * starts).tolist()
             for w, a, b in zip(part, at, [*at[1:], len(raw)], strict=True):
                 known[w] = raw[a + 4 : b] if w[0] == "\x01" else raw[a:b]
-        for w in ended:
-            known[w] = known[w[:-1]] + self._fixed[w[-1]]
-        known["\x01"], known["\x02"] = b"", self._fixed["\n"]
+        for w, stem, ending in ended:
+            known[w] = known[stem] + self._ending(ending)
+
+    def _ending(self, ending: str) -> bytes:
+        ids = self.endings.get(ending)
+        if ids is None:
+            ids = self._whole(ending)
+            if len(self.endings) < 10_000:
+                self.endings[ending] = ids
+        return ids
 
     @cached_property
-    def _fixed(self) -> dict[str, bytes]:
-        return {c: self._whole(c) for c in "\n.,"}
+    def _line_end(self) -> bytes:
+        return self._whole("\n")
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        cut: list[tuple[int, list[str]]] = []
-        used: set[str] = set()
+        known = self.known
+        known.rotate(self.limit)
+        known["\x01"], known["\x02"] = b"", self._line_end
+        out, at, plain = [], [], []
         for i, text in enumerate(texts):
             if not text:
-                out[i] = b""
+                out.append(b"")
             elif self.by_word and not any(map(text.__contains__, _ODD)) and text[0] != " " != text[-1] and _PLAIN.fullmatch(text):
-                parts = ("\x01" + text.replace("\n", " \x02 \x01")).split(" ")
-                cut.append((i, parts))
-                used.update(parts)
+                at.append(i)
+                plain.append("\x01" + text.replace("\n", " \x02 \x01"))
+                out.append(b"")
             else:
-                out[i] = self._whole(text)
-        if unseen := used.difference(self.known, ("\x01", "\x02")):
-            if len(self.known) + len(unseen) > self.limit:
-                unseen = used.difference(islice(self.known, self.limit // 4), ("\x01", "\x02"))
-            self._learn(unseen)
-        get = self.known.__getitem__
-        for i, parts in cut:
-            out[i] = b"".join(map(get, parts))
-        return out  # type: ignore[return-value]
-
-
-def encode_texts(texts: list[str | None], path: str, group: int = 256, max_words: int = MAX_WORDS) -> list[bytes]:
+                out.append(self._whole(text))
+        if not plain:
+            return out
+        words = pc.split_pattern(pa.array(plain, pa.string()), " ")
+        coded = words.values.dictionary_encode()
+        unique = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        get = known.__getitem__
+        found = list(map(get, unique))
+        if known.unseen:
+            self._learn()
+            found = [get(w) if ids is None else ids for w, ids in zip(unique, found, strict=True)]
+        joined = pa.array(found, pa.binary()).take(coded.indices)
+        _, ends, content = joined.buffers()
+        cuts, raw = np.frombuffer(ends, np.int32)[np.asarray(words.offsets)].tolist(), memoryview(content)
+        for i, start, end in zip(at, cuts, cuts[1:], strict=False):
+            out[i] = bytes(raw[start:end])
+        return out
+
+
+def encode_texts(texts: list[str | None], path: str, group: int = GROUP_CHARS, max_words: int = MAX_WORDS) -> list[bytes]:
     """Little-endian unsigned 32-bit ids of every text; null is empty."""
+    return list(encode_each(texts, path, group, max_words))
+
+
+def encode_each(texts: Iterable[str | None], path: str, group: int = GROUP_CHARS, max_words: int = MAX_WORDS) -> Iterator[bytes]:
+    """The ids of one text after another, encoded in groups of about ``group`` characters."""
     encoder = _encoders.get(path)
     if encoder is None:
         encoder = _encoders[path] = WordEncoder(path)
     encoder.limit = max_words
-    out: list[bytes] = []
-    for at in range(0, len(texts), group):
-        out += encoder.encode([t or "" for t in texts[at : at + group]])
-    return out
+    held, n = [], 0
+    for text in texts:
+        held.append(text or "")
+        n += len(held[-1])
+        if n >= group or len(held) >= 4096:
+            yield from encoder.encode(held)
+            held, n = [], 0
+    if held:
+        yield from encoder.encode(held)
