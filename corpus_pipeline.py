@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontaminate, langid, lines, packing, simhash
+from quire.llm import decontaminate, langid, lines, near, packing
 from quire.llm.common import materialize
 
 MIN_SCORE = 0.4
@@ -33,9 +33,12 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints, the document of the smallest doc_id stays."""
-    gone = simhash.simhash_components(docs.select("doc_id", "text")).where(F.col("doc_id") != F.col("component_id"))
-    return docs.join(materialize(gone.select("doc_id"), "copies"), "doc_id", "left_anti").select(*docs.columns)
+    """Of each group linked at 0.8 similarity of five-word shingles, the document of the smallest doc_id stays."""
+    rows = materialize(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
+    group = materialize(near.near_groups(rows.select("row", "doc_id", "text")), "groups")
+    least = group.groupBy("component").agg(F.min("doc_id").alias("least"))
+    gone = group.join(least, "component").where(F.col("doc_id") != F.col("least"))
+    return rows.join(materialize(gone.select("row"), "copies"), "row", "left_anti").select(*docs.columns)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

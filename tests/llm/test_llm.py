@@ -8,7 +8,7 @@ import pytest
 from compare import DATA, connect, rows
 from pyspark.sql import functions as F
 
-from quire.llm import bitslice, decontaminate, hosts, huffman, langid, lines, ngram_lm, packing, secret_scan, simhash
+from quire.llm import bitslice, decontaminate, hosts, huffman, langid, lines, near, ngram_lm, packing, secret_scan, simhash
 from quire.llm.components import connected_components
 from quire.llm.queries import ORACLES, QUERIES
 from quire.llm.tokens import encode_texts, tokenizer_path
@@ -254,3 +254,33 @@ def test_pipeline_stages(spark):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, DATA).select("doc_id").distinct().count() == docs.count()
     bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
     assert decontaminate.decontaminate(docs, bench).where("contaminated").count() == 0
+
+
+def near_texts():
+    rng = random.Random(8)
+    texts: list[str | None] = [None, "", " ", "one two", "One  two", "one two three four five", "one two three four six"]
+    for n in (9, 30, 120, 400):
+        base = [str(rng.randrange(5000)) for _ in range(n)]
+        for _ in range(22):
+            copy, edits = base[:], rng.randrange(1, 2 + n // 40)
+            for _ in range(edits):
+                copy[rng.randrange(n)] = str(rng.randrange(5000))
+            texts.append(" ".join(copy))
+        texts.append(" ".join(base + base))
+    passage = " ".join(str(rng.randrange(5000)) for _ in range(40))
+    texts += [f"{passage} " + " ".join(str(rng.randrange(5000)) for _ in range(50)) for _ in range(30)]
+    return texts
+
+
+@pytest.mark.parametrize("sample", [1, 16])
+def test_near_copies_brute_force(spark, empty, monkeypatch, sample):
+    import corpus_pipeline
+
+    monkeypatch.setattr(near, "BLOCK", 8)
+    monkeypatch.setattr(near, "STAR_SIZE", 4)
+    monkeypatch.setattr(near, "SAMPLE", sample)
+    texts = near_texts()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = {i for i, least in enumerate(near.brute_force(texts)) if i == least}
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, DATA).collect()} == want
+    assert corpus_pipeline.drop_near_copies(spark, empty, DATA).count() == 0
