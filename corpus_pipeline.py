@@ -20,9 +20,16 @@ def _with_text(docs: DataFrame, columns: list[str], text: str) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents with a language: those of no letter, or of no label with a share of 0.4, go."""
+    """Keeps documents with a language: those of no letter, or whose words have a mean confidence below 0.4, go.
+
+    A word's confidence is the share of its own best label, so that a text of several languages stays. Where
+    nothing could be learned, every document with a letter stays.
+    """
     crf = langid.fit(docs.select("doc_id", "text", "lang"))
-    return langid.predict(docs, crf).where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
+    if not crf.languages:
+        return docs.where(F.rlike("text", F.lit("\\p{L}")))
+    found = langid.predict(docs, crf, confidence="confidence")
+    return found.where((F.col("lang_pred") != "und") & (F.col("confidence") >= MIN_SCORE)).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

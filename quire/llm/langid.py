@@ -122,10 +122,11 @@ class Crf:
             transitions += rate * step / np.sqrt(g_transitions)
         self.weights, self.transitions = weights[:BUCKETS].astype(np.float32), transitions.astype(np.float32)
 
-    def label_shares(self, texts: list[np.ndarray], e: np.ndarray) -> np.ndarray:
+    def label_shares(self, texts: list[np.ndarray], e: np.ndarray, sure: np.ndarray | None = None) -> np.ndarray:
         """(texts, languages): the mean label distribution of each text's words by forward-backward.
 
         ``e`` has exp(score) of each word number. Texts of like length run side by side, longest first.
+        ``sure``, if given, is filled with the mean share of each word's own best label.
         """
         k = e.shape[1]
         out = np.zeros((len(texts), k))
@@ -150,14 +151,19 @@ class Crf:
                 n = active[t]
                 x = (alpha[t - 1, :n] @ a) * e[cells[t, :n]]
                 alpha[t, :n] = x / x.sum(axis=1, keepdims=True)
-            beta, total = np.ones((len(group), k), np.float32), np.zeros((len(group), k))
+            beta, total, peak = np.ones((len(group), k), np.float32), np.zeros((len(group), k)), np.zeros(len(group))
             for t in range(longest - 1, -1, -1):
                 n = active[t]
                 g = alpha[t, :n] * beta[:n]
-                total[:n] += g / g.sum(axis=1, keepdims=True)
+                g /= g.sum(axis=1, keepdims=True)
+                total[:n] += g
+                if sure is not None:
+                    peak[:n] += g.max(axis=1)
                 x = (e[cells[t, :n]] * beta[:n]) @ a.T
                 beta[:n] = x / x.sum(axis=1, keepdims=True)
             out[group] = total / own[:, None]
+            if sure is not None:
+                sure[group] = peak / own
         return out
 
 
@@ -194,14 +200,16 @@ def fit(docs: DataFrame) -> Crf:
 _kept: dict[int, tuple[dict[str, int], list[np.ndarray]]] = {}
 
 
-def predict(docs: DataFrame, crf: Crf) -> DataFrame:
+def predict(docs: DataFrame, crf: Crf, confidence: str | None = None) -> DataFrame:
     """Every row and column of ``docs`` with lang_pred and score (mean share of the winning label).
 
     Only the text is used. Null texts and texts without a letter are ``und`` with score 0, as are all
     texts where nothing could be learned. Ties go to the first language by name. Columns lang_pred
-    and score of the input are replaced; an empty table stays empty.
+    and score of the input are replaced; an empty table stays empty. A column named by ``confidence`` is
+    added with the mean share of each word's own best label, which a mixed text of plain words has too.
     """
-    docs = docs.drop("lang_pred", "score")
+    added = ["lang_pred", "score", *([confidence] if confidence else [])]
+    docs = docs.drop(*added)
     shared = docs.sparkSession.sparkContext.broadcast(crf)
     names, text_at = docs.columns, docs.columns.index("text")
     seen: dict[str, int] = {}
@@ -226,14 +234,16 @@ def predict(docs: DataFrame, crf: Crf) -> DataFrame:
                 numbers.append(np.fromiter(map(seen.__getitem__, words), np.int32, len(words)))
             if fresh:
                 scores[0] = np.concatenate([scores[0], np.exp(model.word_scores(fresh))])
-            shares = model.label_shares(numbers, scores[0]) if model.languages else np.zeros((part.num_rows, 1))
+            sure = np.zeros(part.num_rows) if confidence else None
+            shares = model.label_shares(numbers, scores[0], sure) if model.languages else np.zeros((part.num_rows, 1))
             best = shares.argmax(axis=1)
             known = np.fromiter(map(len, numbers), np.int64, len(numbers)) > 0
             pred = [model.languages[b] if k else "und" for b, k in zip(best.tolist(), known.tolist(), strict=True)]
             score = np.where(known, np.clip(shares[np.arange(len(best)), best], 0, 1), 0.0)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pred), pa.array(score)], [*names, "lang_pred", "score"])
+            found = [pa.array(pred), pa.array(score), *([pa.array(np.clip(sure, 0, 1))] if confidence else [])]
+            yield pa.RecordBatch.from_arrays([*part.columns, *found], [*names, *added])
 
-    return map_rows(docs, of, extended(docs, "lang_pred string, score double"))
+    return map_rows(docs, of, extended(docs, "lang_pred string, score double" + (f", `{confidence}` double" if confidence else "")))
 
 
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -284,3 +284,18 @@ def test_near_copies_brute_force(spark, empty, monkeypatch, sample):
     want = {i for i, least in enumerate(near.brute_force(texts)) if i == least}
     assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, DATA).collect()} == want
     assert corpus_pipeline.drop_near_copies(spark, empty, DATA).count() == 0
+
+
+def test_pipeline_keeps_mixed_and_unlabelled_documents(spark):
+    import corpus_pipeline
+
+    words = {"de": ["katze", "hund", "schule", "schnee"], "es": ["gato", "perro", "escuela", "nieve"], "fr": ["chaton", "chienne", "lycée", "neige"]}
+    rng = random.Random(3)
+    one = lambda lang: " ".join(rng.choice(words[lang]) for _ in range(150))
+    table = [(i, one(lang), lang) for i, lang in enumerate(sorted(words) * 200)] + [(9000, " ".join(map(one, sorted(words))), None), (9001, "12 34", None)]
+    docs = spark.createDataFrame(table, "doc_id long, text string, lang string")
+    found = langid.predict(docs, langid.fit(docs)).where("doc_id = 9000").first()
+    assert found.score < corpus_pipeline.MIN_SCORE
+    assert {r.doc_id for r in corpus_pipeline.identify_language(spark, docs, DATA).collect()} == {r[0] for r in table} - {9001}
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert {r.doc_id for r in corpus_pipeline.identify_language(spark, unlabelled, DATA).collect()} == {r[0] for r in table} - {9001}
