@@ -40,11 +40,15 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked at 0.8 similarity of five-word shingles, the document of the smallest doc_id stays."""
+    """Of each group linked at 0.8 similarity of five-word shingles, one row stays.
+
+    It is that of the smallest doc_id, null last; of rows that repeat the doc_id, that of the least shingle
+    signature, then the first row.
+    """
     rows = materialize(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
     group = materialize(near.near_groups(rows.select("row", "doc_id", "text")), "groups")
-    least = group.groupBy("component").agg(F.min("doc_id").alias("least"))
-    gone = group.join(least, "component").where(F.col("doc_id") != F.col("least"))
+    least = group.groupBy("component").agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "sig", "row"))["row"].alias("least"))
+    gone = group.join(least, "component").where(F.col("row") != F.col("least"))
     return rows.join(materialize(gone.select("row"), "copies"), "row", "left_anti").select(*docs.columns)
 
 

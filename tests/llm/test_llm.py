@@ -299,3 +299,12 @@ def test_pipeline_keeps_mixed_and_unlabelled_documents(spark):
     assert {r.doc_id for r in corpus_pipeline.identify_language(spark, docs, DATA).collect()} == {r[0] for r in table} - {9001}
     unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
     assert {r.doc_id for r in corpus_pipeline.identify_language(spark, unlabelled, DATA).collect()} == {r[0] for r in table} - {9001}
+
+
+def test_near_copies_leave_one_row(spark):
+    import corpus_pipeline
+
+    a, b = " ".join(map(str, range(50))), " ".join(map(str, range(100, 150)))
+    table = [(1, a), (1, a), (2, a + " x"), (None, a), (None, b), (None, b), (5, "alone")]
+    found = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(table, "doc_id long, text string").repartition(4), DATA).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in found) == [(0, b), (1, a), (5, "alone")]
