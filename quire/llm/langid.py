@@ -22,7 +22,10 @@ DOCS_PER_LANGUAGE = 300
 """The training sample: at most so many documents of each language, chosen by a hash of doc_id, ..."""
 SAMPLE_CHARS = 1200
 """... and so many characters of each, from a place chosen by that hash."""
-MAX_LANGUAGES = 64
+SAMPLE_DOCS = 64 * DOCS_PER_LANGUAGE
+"""With over 64 languages, each has an equal part of so many documents."""
+MAX_LANGUAGES = 256
+"""Bound by the memory of weights and transitions on the driver; more labels are an error, none is left out."""
 FOLDS, HELD_OUT = 4, 2
 _WORD = re.compile(r"[^\W\d_]+")
 MAX_CELLS = 1 << 19
@@ -171,20 +174,23 @@ def training_sample(docs: DataFrame) -> list[tuple[str, str]]:
     """(text, lang): a bounded sample of the labelled rows that are not held out."""
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(FOLDS))
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold != HELD_OUT))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
     if not counts:
         return []
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"lang has more than {MAX_LANGUAGES} values; langid learns at most so many")
+    most = min(DOCS_PER_LANGUAGE, SAMPLE_DOCS // len(counts))
     h = F.xxhash64("doc_id")
-    share = F.lit(0.0)
+    share = F.when(F.lit(False), F.lit(0.0))
     for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, 1.5 * DOCS_PER_LANGUAGE / n))).otherwise(share)
+        share = share.when(F.col("lang") == lang, F.lit(min(1.0, 1.5 * most / n)))
     start = F.pmod(F.shiftright(h, 7), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(1))).cast("int") + 1
     picked = rows.where(F.pmod(h, F.lit(1_000_000)) < share * 1_000_000).select("lang", h.alias("h"), "doc_id", F.substring("text", start, F.lit(SAMPLE_CHARS)).alias("text"))
     out: list[tuple[str, str]] = []
     seen: dict[str, int] = {}
     for r in sorted(picked.collect(), key=lambda r: (r["lang"], r["h"], r["doc_id"], r["text"])):
         seen[r["lang"]] = seen.get(r["lang"], 0) + 1
-        if seen[r["lang"]] <= DOCS_PER_LANGUAGE:
+        if seen[r["lang"]] <= most:
             out.append((r["text"], r["lang"]))
     return out
 

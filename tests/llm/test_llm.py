@@ -308,3 +308,12 @@ def test_near_copies_leave_one_row(spark):
     table = [(1, a), (1, a), (2, a + " x"), (None, a), (None, b), (None, b), (5, "alone")]
     found = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(table, "doc_id long, text string").repartition(4), DATA).collect()
     assert sorted((r.doc_id or 0, r.text) for r in found) == [(0, b), (1, a), (5, "alone")]
+
+
+def test_every_language_label_is_learned(spark, monkeypatch):
+    table = [(i, f"stem{'abcdefghij'[i % 70 // 10]}{'abcdefghij'[i % 10]} " * 5, f"l{i % 70:02}") for i in range(700)]
+    docs = spark.createDataFrame(table, "doc_id long, text string, lang string")
+    assert {lang for _, lang in langid.training_sample(docs)} == {r[2] for r in table}
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 69)
+    with pytest.raises(ValueError, match="69"):
+        langid.fit(docs)
