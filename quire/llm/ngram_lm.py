@@ -1,30 +1,33 @@
 """Stupid-backoff scores of every document against n-gram counts of the whole corpus.
 
-Documents fall into batches by a hash. A batch asks each hash range of the count tables about its distinct
-n-grams, with how often it holds them; a range adds up the counts of all batches and answers in the order
-of the question; the batch joins the answers to its exploded n-grams and sums them per document. An n-gram
-takes one entry a batch however frequent it is, so no n-gram makes a range large.
+Documents fall into batches by a hash. A batch explodes its n-grams into rows (hash, batch, count), one for
+each distinct n-gram however frequent it is there; hashed over the cluster, these rows are the count table
+of all orders, and a sum by hash joins every n-gram's corpus count to the rows that asked. Rows whose n-gram other
+batches hold too return to their batch, which joins them to its exploded n-grams and sums them per document.
+The empty n-gram counts the words of the corpus. Rows, and so shuffles, grow in proportion to the text.
 """
 
 from __future__ import annotations
 
 import math
-import uuid
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, map_rows, shared_folder, sorted_groups, utf8
+from .common import documents
 from .decontaminate import words_of
 
 ALPHA = 0.4
 ORDER = 2
 BATCH_CHARS = 12_000_000
-RANGE_CHARS = 8_000_000
+"""Of a batch at most, on average; small tables make ``MIN_BATCHES`` smaller ones, so that all tasks have work."""
+MIN_BATCHES = 64
+MIN_BATCH_CHARS = 1_000_000
+WORDS = np.uint64(0)
+"""Hash of the empty n-gram, which occurs once at every word."""
 
 
 class Batch:
@@ -86,107 +89,81 @@ class Batch:
         return np.bincount(self.doc, np.log(value), len(self.sizes)) if n_words else np.zeros(len(self.sizes))
 
 
-def _pack(values: np.ndarray) -> tuple[int, bytes]:
-    """Width and bytes of non-negative counts."""
-    top = int(values.max(initial=0))
-    width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
-    return width, values.astype(f"<u{width}").tobytes()
-
-
-def _unpack(width: int, raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, f"<u{width}").astype(np.int64)
-
-
-def _pack_hashes(sorted_hashes: np.ndarray) -> bytes:
-    """Differences of sorted hashes, byte plane by byte plane: their empty high bytes then compress away."""
-    return np.diff(sorted_hashes, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
-
-
-def _unpack_hashes(raw: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
-
-
 def backoff_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """(doc_id, n_words, log_score, mean_log_score) for every row.
 
     S(w | context) = c(context w) / c(context) where both were seen in other documents, else 0.4 times
     the score of the shorter context, down to c(w) / N; an unseen word counts as half an occurrence. Counts cover
-    the whole corpus less the document itself. Null or empty texts have no words and score 0 (mean null). Rows that
-    repeat count and score each; a null doc_id stays null; an empty table gives an empty result.
+    the whole corpus less the document itself. N-grams are told apart by a 64-bit hash. Null or empty texts have
+    no words and score 0 (mean null). Rows that repeat count and score each; a null doc_id stays null; an empty table
+    gives an empty result. Columns other than doc_id and text are not read.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    batches, ranges = max(1, math.ceil(chars / BATCH_CHARS)), max(1, math.ceil(chars / RANGE_CHARS))
-    rows = rows.withColumn("batch", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(batches)).cast("int"))
-    # Bucketed by batch, so that neither asking nor scoring shuffles the texts again.
-    name = f"lm_batches_{uuid.uuid4().hex}"
-    counted = map_rows(rows.repartition(batches, "batch"), _with_words, "doc_id long, text string, batch int, n_words long")
-    writer = counted.write.bucketBy(batches, "batch").option("compression", "zstd").option("path", f"{shared_folder(spark)}/{name}")
-    writer.saveAsTable(name)
-    table_of_batches = spark.table(name)
-    words = table_of_batches.agg(F.sum("n_words")).first()[0] or 0
-    rows = table_of_batches.select("doc_id", "text", "batch")
-
-    def cut(found: np.ndarray) -> np.ndarray:
-        limits = np.arange(1, ranges, dtype=np.float64) / ranges * 2.0**64
-        return np.r_[0, np.searchsorted(found, limits.astype(np.uint64)), len(found)]
-
-    def ask(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    batches = max(1, math.ceil(chars / max(MIN_BATCH_CHARS, min(BATCH_CHARS, chars / MIN_BATCHES))))
+    rows = rows.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).cast("int"))
+
+    def ask(table: pa.Table) -> pa.Table:
         batch = Batch(table["text"].cast(pa.binary()).to_pylist(), order)
-        out = []
-        for n, (found, counts) in enumerate(zip(batch.distinct, batch.counts, strict=True), 1):
-            ends = cut(found)
-            for r in range(ranges):
-                a, b = ends[r], ends[r + 1]
-                if b > a:
-                    out.append((n * ranges + r, key[0].as_py(), n, r, _pack_hashes(found[a:b]), *_pack(counts[a:b])))
-        c = list(zip(*out, strict=True)) or [[]] * 7
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary()]
-        return pa.table([pa.array(x, k) for x, k in zip(c, kinds, strict=True)], ["part", "batch", "n", "r", "hashes", "width", "counts"])
-
-    asked = rows.groupBy("batch").applyInArrow(ask, "part long, batch int, n int, r int, hashes binary, width int, counts binary")
-
-    def answer(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in sorted_groups(stream, "part"):
-            part = table["part"].to_numpy()
-            for p in np.unique(part).tolist():
-                own = table.filter(pa.array(part == p))
-                hashes = [_unpack_hashes(x) for x in own["hashes"].to_pylist()]
-                counts = [_unpack(w, x) for w, x in zip(own["width"].to_pylist(), own["counts"].to_pylist(), strict=True)]
-                _, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
-                total = np.bincount(inverse, np.concatenate(counts)).astype(np.int64)
-                at, widths, raws = 0, [], []
-                for h in hashes:
-                    w, raw = _pack(total[inverse[at : at + len(h)]])
-                    widths.append(w)
-                    raws.append(raw)
-                    at += len(h)
-                yield pa.RecordBatch.from_arrays([own["batch"].combine_chunks(), own["n"].combine_chunks(), own["r"].combine_chunks(), pa.array(widths, pa.int32()), pa.array(raws, pa.binary())], ["batch", "n", "r", "width", "totals"])
-
-    answers = asked.repartition("part").sortWithinPartitions("part").mapInArrow(answer, "batch int, n int, r int, width int, totals binary")
+        hashes = np.concatenate([np.array([WORDS]), *batch.distinct])
+        counts = np.concatenate([np.array([len(batch.doc)]), *batch.counts])
+        number = np.full(len(hashes), table["batch"][0].as_py(), np.int32)
+        return pa.table({"gram": hashes.view(np.int64), "batch": number, "own": counts.astype(np.int64)})
+
+    asked = rows.groupBy("batch").applyInArrow(ask, "gram long, batch int, own long")
+    # A window, as a sum joined back to the rows would shuffle them twice; a gram has one row a batch at most.
+    counted = asked.withColumn("total", F.sum("own").over(Window.partitionBy("gram")))
+    told = counted.where("total > own").select("gram", "batch", "total")
 
     def score(text: pa.Table, told: pa.Table) -> pa.Table:
-        text = text.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         batch = Batch(text["text"].cast(pa.binary()).to_pylist(), order)
-        parts: list[list[tuple[int, np.ndarray]]] = [[] for _ in range(order)]
-        for n, r, w, raw in zip(told["n"].to_pylist(), told["r"].to_pylist(), told["width"].to_pylist(), told["totals"].to_pylist(), strict=True):
-            parts[n - 1].append((r, _unpack(w, raw)))
-        totals = [np.concatenate([np.empty(0, np.int64), *(v for _, v in sorted(own, key=lambda x: x[0]))]) for own in parts]
-        total = batch.scores(totals, words)
+        grams, sums = told["gram"].to_numpy().view(np.uint64), told["total"].to_numpy()
+        at = np.argsort(grams)
+        grams, sums = grams[at], sums[at]
+        (words,) = _joined(np.array([WORDS]), np.array([len(batch.doc)]), grams, sums)
+        totals = [_joined(found, own, grams, sums) for found, own in zip(batch.distinct, batch.counts, strict=True)]
+        total = batch.scores(totals, int(words))
         mean = [s / n if n else None for s, n in zip(total.tolist(), batch.sizes.tolist(), strict=True)]
         return pa.table({"doc_id": text["doc_id"], "n_words": batch.sizes, "log_score": total, "mean_log_score": pa.array(mean, pa.float64())})
 
-    return rows.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(score, "doc_id long, n_words long, log_score double, mean_log_score double")
+    return rows.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(score, "doc_id long, n_words long, log_score double, mean_log_score double")
 
 
-def _with_words(batch: pa.RecordBatch) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(words_of(t)) for t in utf8(batch.column(1))], pa.int64())], [*batch.schema.names, "n_words"])
+def _joined(found: np.ndarray, own: np.ndarray, grams: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """Corpus counts of the sorted hashes ``found``: those told of, else what the batch itself holds."""
+    out = own.astype(np.int64)
+    if len(grams):
+        at = np.minimum(np.searchsorted(grams, found), len(grams) - 1)
+        hit = grams[at] == found
+        out[hit] = sums[at[hit]]
+    return out
 
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backoff_scores(documents(spark, sf_dir))
+    """Scores rounded to six digits, so that the order of summation does not show."""
+    found = backoff_scores(documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", F.round("log_score", 6).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
+ORACLE = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), t AS (SELECT doc_id, len(w) AS size, unnest(w) AS w, unnest(range(1, len(w) + 1)) AS i FROM d
+), p AS (SELECT *, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS v FROM t
+), n AS (SELECT count(*) AS n FROM t
+), g1 AS (SELECT w, count(*) AS c FROM t GROUP BY w), o1 AS (SELECT doc_id, w, count(*) AS c FROM t GROUP BY doc_id, w
+), g2 AS (SELECT v, w, count(*) AS c FROM p WHERE v IS NOT NULL GROUP BY v, w), o2 AS (SELECT doc_id, v, w, count(*) AS c FROM p WHERE v IS NOT NULL GROUP BY doc_id, v, w
+), c AS (
+  SELECT p.doc_id, p.v, n.n - p.size AS rest, g1.c - o1.c AS cw, gv.c - ov.c AS cv, g2.c - o2.c AS cvw
+  FROM p JOIN n ON true JOIN g1 ON g1.w = p.w JOIN o1 ON o1.doc_id = p.doc_id AND o1.w = p.w
+  LEFT JOIN g1 gv ON gv.w = p.v LEFT JOIN o1 ov ON ov.doc_id = p.doc_id AND ov.w = p.v
+  LEFT JOIN g2 ON g2.v = p.v AND g2.w = p.w LEFT JOIN o2 ON o2.doc_id = p.doc_id AND o2.v = p.v AND o2.w = p.w
+), s AS (
+  SELECT doc_id, count(*) AS n_words,
+         sum(ln(CASE WHEN cvw > 0 THEN cvw / cv ELSE (CASE WHEN v IS NULL THEN 1.0 ELSE 0.4 END) * greatest(cw, 0.5) / greatest(rest, 1) END)) AS s FROM c GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, round(coalesce(s, 0.0), 6) AS log_score, round(s / n_words, 6) AS mean_log_score FROM d LEFT JOIN s USING (doc_id)
+"""
 
 
 def brute_force(rows: list[tuple[int, str | None]], order: int = ORDER) -> dict[int, tuple[int, float]]:

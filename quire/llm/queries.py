@@ -20,5 +20,6 @@ ORACLES = {
     "op1_topk": bitslice.ORACLE,
     "op3_secrets": secret_scan.ORACLE,
     "op5_line_dedup": lines.ORACLE,
+    "op6_lm_score": ngram_lm.ORACLE,
     "op9_url_filter": hosts.ORACLE,
 }

@@ -162,13 +162,15 @@ def test_lines_brute_force(spark, edge, empty):
 
 
 def test_lm_brute_force(spark, edge, empty, monkeypatch):
-    monkeypatch.setattr(ngram_lm, "BATCH_CHARS", 20_000)
-    monkeypatch.setattr(ngram_lm, "RANGE_CHARS", 9_000)
+    monkeypatch.setattr(ngram_lm, "MIN_BATCH_CHARS", 20_000)
     for order in (1, 2, 3):
         want = ngram_lm.brute_force([(i, t) for i, t, *_ in EDGE], order)
         for r in ngram_lm.backoff_scores(edge, order).collect():
             assert (r.n_words, round(r.log_score, 6)) == (want[r.doc_id][0], round(want[r.doc_id][1], 6))
     assert ngram_lm.backoff_scores(empty).count() == 0
+    twice = edge.unionAll(edge).withColumn("doc_id", F.when(F.col("doc_id") != 3, F.col("doc_id")))
+    found = ngram_lm.backoff_scores(twice).collect()
+    assert len(found) == 2 * len(EDGE) and sum(r.doc_id is None for r in found) == 2
 
 
 def test_decontamination_brute_force(spark, edge, empty, monkeypatch):
