@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+SMALL_ROWS = 1 << 20
+"""Rows of a few numbers each that may be broadcast: some 32 MiB."""
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir``.
 
@@ -37,6 +41,15 @@ def materialize(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_small(rows: DataFrame, other: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """Join of wide ``rows`` with a narrow table that has been written: broadcast if it has at most ``SMALL_ROWS`` rows.
+
+    Adaptive execution would find the table small only after it had shuffled the rows. Beyond the bound both sides are shuffled.
+    """
+    small = other.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
+    return rows.join(F.broadcast(other) if small else other, on, how)
+
+
 def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch] | pa.RecordBatch | None], schema: str) -> DataFrame:
     """``mapInArrow`` for a function of one batch."""
 

@@ -45,7 +45,10 @@ def shingle_hashes(text: bytes | None, size: int) -> np.ndarray:
 
 def fingerprint(text: bytes | None, size: int = 3) -> int:
     """Signed 64-bit SimHash: a bit is 1 if it is set in over half of the shingle hashes; no word, zero."""
-    hashes = shingle_hashes(text, size)
+    return fingerprint_of(shingle_hashes(text, size))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
     n = len(hashes)
     if not n:
         return 0
@@ -64,6 +67,24 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
     return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), of, "doc_id long, fp long")
 
 
+def ring_chain(x: np.ndarray, distance: int, segments: int = SEGMENTS) -> np.ndarray:
+    """Has the difference x at most ``distance`` bits? Ring chains of segments are tried first, then all bits are counted.
+
+    If the distance holds, some segment starts a chain that stays within l * distance / segments after each l segments.
+    """
+    width = BITS // segments
+    counts = np.stack([np.bitwise_count((x >> np.uint64(width * i)) & np.uint64((1 << width) - 1)) for i in range(segments)]).astype(np.int64)
+    alive = np.zeros(x.shape, bool)
+    for start in range(segments):
+        ok, total = np.ones(x.shape, bool), np.zeros(x.shape, np.int64)
+        for length in range(1, segments + 1):
+            total = total + counts[(start + length - 1) % segments]
+            ok &= total * segments <= length * distance
+        alive |= ok
+    alive[alive] = np.bitwise_count(x[alive]) <= distance
+    return alive
+
+
 def _chain_ok(x: np.ndarray, segment: np.ndarray | int) -> np.ndarray:
     """Does the ring chain that starts at ``segment`` (where the difference is 0) keep every budget?"""
     turn = np.uint64(WIDTH) * np.asarray(segment, np.uint64)

@@ -61,12 +61,29 @@ def test_bit_slices_equal_products(spark, monkeypatch):
 def test_bit_slices_edge_cases(spark):
     bad = [(1, None), (2, []), (3, [float("nan")]), (4, [None]), (5, [float("inf")]), (None, [1.0]), (6, [0.5]), (7, [0.5, -1.0]), (7, [0.5, -1.0])]
     q = bitslice.quantise(spark.createDataFrame(bad, "vec_id long, embedding array<float>"))
-    assert sorted(r.vec_id for r in q.collect()) == [6, 7, 7]
-    found = bitslice.top_k(q, q.where("vec_id = 6")).orderBy("rank").collect()
-    assert [(r.vec_id, r.score) for r in found] == [(7, 1024), (7, 1024)]
+    assert sorted(r.vec_id for r in q.collect()) == [2, 6, 7, 7]
+    found = bitslice.top_k(q.withColumn("number", F.lit("mine")), q.where("vec_id = 6")).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in found] == [(7, 1024), (7, 1024), (2, 0)]
+    two = q.where("vec_id = 6").unionAll(q.where("vec_id = 7").selectExpr("6L", "q"))
+    assert sorted((r.rank, r.vec_id) for r in bitslice.top_k(q, two).collect()) == [(1, 7), (1, 7), (2, 7), (2, 7), (3, 2), (3, 2)]
     assert bitslice.top_k(q.where("false"), q).count() == 0 and bitslice.top_k(q, q.where("false")).count() == 0
 
 
+def test_bit_slices_of_wide_components_are_exact(spark):
+    vectors = {1: [1.0, 1.0], 2: [2e7, 1.0], 3: [3e7, -2.0], 4: [9e7, 0.0], 5: [1e9, 1e9], 6: [-1e9, 5.0], 7: [3e4, -3e4]}
+    q = bitslice.quantise(spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>"))
+    for asked in (1, 7):
+        want = sorted((-sum(64 * int(a) * 64 * int(b) for a, b in zip(vectors[asked], v, strict=True)), i) for i, v in vectors.items() if i != asked)
+        found = bitslice.top_k(q, q.where(f"vec_id = {asked}")).collect()
+        assert sorted((-r.score, r.vec_id) for r in found) == want and sorted(r.rank for r in found) == [1, 2, 3, 4, 5, 6]
+    huge = spark.createDataFrame([(1, [1e17]), (2, [1e17])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="component too large"):
+        bitslice.quantise(huge).collect()
+    with pytest.raises(Exception, match="too large|too big|Overflow"):
+        wide = bitslice.quantise(spark.createDataFrame([(1, [5e15]), (2, [5e15])], "vec_id long, embedding array<double>"))
+        bitslice.top_k(wide, wide).collect()
+
+
 @pytest.mark.parametrize("counts", [[5], [1, 1], [0, 3, 0, 1], [2**i for i in range(40)], list(range(1, 400))])
 def test_huffman_codes(counts):
     counts = np.array(counts, np.int64)
@@ -163,6 +180,7 @@ def test_lines_brute_force(spark, edge, empty):
 
 def test_lm_brute_force(spark, edge, empty, monkeypatch):
     monkeypatch.setattr(ngram_lm, "MIN_BATCH_CHARS", 20_000)
+    monkeypatch.setattr(ngram_lm, "PART_CHARS", 9_000)
     for order in (1, 2, 3):
         want = ngram_lm.brute_force([(i, t) for i, t, *_ in EDGE], order)
         for r in ngram_lm.backoff_scores(edge, order).collect():
