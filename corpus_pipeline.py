@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import decontaminate, langid, lines, near, packing
-from quire.llm.common import materialize
+from quire.llm.common import join_small, materialize
 
 MIN_SCORE = 0.4
 
@@ -40,7 +40,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked at 0.8 similarity of five-word shingles, one row stays.
+    """Of each group that SimHash near-dedup links at 0.8 similarity of five-word shingles, one row stays.
 
     It is that of the smallest doc_id, null last; of rows that repeat the doc_id, that of the least shingle
     signature, then the first row.
@@ -49,7 +49,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     group = materialize(near.near_groups(rows.select("row", "doc_id", "text")), "groups")
     least = group.groupBy("component").agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "sig", "row"))["row"].alias("least"))
     gone = group.join(least, "component").where(F.col("row") != F.col("least"))
-    return rows.join(materialize(gone.select("row"), "copies"), "row", "left_anti").select(*docs.columns)
+    return join_small(rows, materialize(gone.select("row"), "copies"), "row", "left_anti").select(*docs.columns)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
