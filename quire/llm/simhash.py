@@ -2,8 +2,10 @@
 
 A 64-bit fingerprint is cut into four 16-bit segments laid out on a ring. If two fingerprints differ in
 at most three bits, some segment starts a chain whose running differences after 1, 2, 3 and 4 segments
-stay within 0, 1, 2 and 3 bits (the proportional budgets l * 3 / 4). Equality of the first segment is
-the join key; the rest of the chain prunes candidates before the full Hamming distance is accepted.
+stay within 0, 1, 2 and 3 bits (the proportional budgets l * 3 / 4). The first two segments of the chain are the join
+key: the first is equal and the second differs in one bit at most. So every fingerprint goes to the key of its two segments
+and to those with one set bit of the second segment cleared, where it meets all that differ in that bit; keys of 32
+bits keep buckets small. The rest of the chain prunes candidates before the full Hamming distance is accepted.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_rows, materialize, sorted_groups, utf8
+from .common import documents, join_small, map_rows, materialize, sorted_groups, utf8
 from .components import connected_components
 
 SEED = 42
@@ -25,7 +27,7 @@ SEGMENTS = 4
 WIDTH = BITS // SEGMENTS
 MAX_DISTANCE = 3
 BLOCK = 2048
-"""Members of a segment bucket that one task compares with as many others; larger buckets are cut into blocks."""
+"""Members of a key that one task compares with as many others; larger keys are cut into blocks."""
 
 
 def shingle_hashes(text: bytes | None, size: int) -> np.ndarray:
@@ -124,15 +126,14 @@ def _block_links(fp: np.ndarray, segment: int) -> tuple[np.ndarray, np.ndarray]:
     return label[member], member
 
 
-def _links_in(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links between fingerprints of equal key, one for each member that is not the least of its component."""
-    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    size = np.diff(np.r_[first, len(key)])
-    segment = (key >> np.int64(56)).astype(np.uint64)
+def _links_in(part: np.ndarray, segment: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links between fingerprints of equal part, one for each member that is not the least of its component."""
+    first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+    size = np.diff(np.r_[first, len(part)])
     out_a, out_b, a, b = [], [], [], []
     small = np.repeat(size <= 64, size)
     for d in range(1, int(min(size.max(), 64))):
-        at = np.flatnonzero((key[:-d] == key[d:]) & small[d:])
+        at = np.flatnonzero((part[:-d] == part[d:]) & small[d:])
         if not len(at):
             break
         at = at[_chain_ok(fp[at] ^ fp[at + d], segment[at])]
@@ -152,57 +153,50 @@ def _links_in(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return fp[np.concatenate(out_a)].view(np.int64), fp[np.concatenate(out_b)].view(np.int64)
 
 
+def chain_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, fingerprints): for every ring start the two segments from there, as they are and with one set bit of the second cleared."""
+    keys, values = [], []
+    mask = np.uint64((1 << WIDTH) - 1)
+    segment = [(fp >> np.uint64(WIDTH * i)) & mask for i in range(SEGMENTS)]
+    for i in range(SEGMENTS):
+        head, second = (np.uint64(i) << np.uint64(60)) | (segment[i] << np.uint64(WIDTH)), segment[(i + 1) % SEGMENTS]
+        keys.append(head | second)
+        values.append(fp)
+        for bit in range(WIDTH):
+            on = (second >> np.uint64(bit)) & np.uint64(1) == 1
+            keys.append(head[on] | (second[on] ^ np.uint64(1 << bit)))
+            values.append(fp[on])
+    return np.concatenate(keys).view(np.int64), np.concatenate(values)
+
+
 def fingerprint_links(distinct: DataFrame) -> DataFrame:
     """(u, v): a spanning set of the links between distinct fingerprints (column fp).
 
-    Bucket sizes fit an array of 4 * 2^16 counts, whatever the input. A bucket over ``BLOCK`` members is
-    cut by a hash into blocks, and every pair of its blocks is one group, so no task holds more than
-    two blocks and every pair still meets. A group returns at most one link a member.
+    A key over ``BLOCK`` members is cut by a hash into blocks, and every pair of its blocks is one group, so no
+    task holds more than two blocks and every pair still meets. A group returns at most one link a member.
     """
-    spark = distinct.sparkSession
-
-    def segments(fp):
-        return F.array(*[F.shiftrightunsigned(fp, WIDTH * i).bitwiseAND((1 << WIDTH) - 1).bitwiseOR(i << WIDTH).cast("int") for i in range(SEGMENTS)])
-
-    counted = distinct.select(F.explode(segments(F.col("fp"))).alias("bucket")).groupBy("bucket").count().where("count > 1")
-    sizes = np.zeros(SEGMENTS << WIDTH, np.int64)
-    for bucket, count in counted.toLocalIterator():  # at most 2^18 rows, by the width of a segment
-        sizes[bucket] = count
-    blocks = -(-sizes // BLOCK)
-    shared = spark.sparkContext.broadcast(blocks.astype(np.int32))
-
-    def keyed(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        per = shared.value
-        fp = batch.column(0).to_numpy().view(np.uint64)
-        keys, values = [], []
-        for i in range(SEGMENTS):
-            bucket = ((fp >> np.uint64(WIDTH * i)) & np.uint64((1 << WIDTH) - 1)).astype(np.int64) | (i << WIDTH)
-            n = per[bucket].astype(np.int64)
-            head = (np.int64(i) << 56) | ((bucket & 0xFFFF) << 40)
-            one = n == 1
-            keys.append(head[one])
-            values.append(fp[one])
-            for j in np.flatnonzero(n > 1).tolist():
-                mine = (int(fp[j]) * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 32
-                mine %= int(n[j])
-                other = np.arange(n[j])
-                keys.append(head[j] | (np.minimum(mine, other) << 20) | np.maximum(mine, other))
-                values.append(np.full(n[j], fp[j], np.uint64))
-        k, v = np.concatenate(keys), np.concatenate(values)
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(v.view(np.int64))], ["key", "fp"])
+
+    def keyed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        key, fp = chain_keys(batch.column(0).to_numpy().view(np.uint64))
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp.view(np.int64))], ["key", "fp"])
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in sorted_groups(batches, "key"):
-            u, v = _links_in(table["key"].to_numpy(), table["fp"].to_numpy().view(np.uint64))
+        for table in sorted_groups(batches, "part"):
+            part, key, fp = (table[c].to_numpy() for c in ("part", "key", "fp"))
+            u, v = _links_in(part, (key >> np.int64(60)).astype(np.uint64), fp.view(np.uint64))
             if len(u):
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
-    return (
-        map_rows(distinct.select("fp"), keyed, "key long, fp long")
-        .repartition("key")
-        .sortWithinPartitions("key")
-        .mapInArrow(linked, "u long, v long")
-    )
+    rows = map_rows(distinct.select("fp"), keyed, "key long, fp long")
+    large = materialize(rows.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK), "large-keys")
+    dealt = rows.withColumn("part", F.col("key"))
+    if not large.isEmpty():
+        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+        mine = F.pmod(F.xxhash64("fp"), blocks).cast("int")
+        cut = join_small(rows, large, "key").select("key", "fp", mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+        cut = cut.withColumn("part", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")))
+        dealt = join_small(rows, large.select("key"), "key", "left_anti").withColumn("part", F.col("key")).unionByName(cut.drop("mine", "other"))
+    return dealt.repartition("part").sortWithinPartitions("part").mapInArrow(linked, "u long, v long")
 
 
 def simhash_components(docs: DataFrame, size: int = 3) -> DataFrame:
@@ -224,5 +218,6 @@ def simhash_components(docs: DataFrame, size: int = 3) -> DataFrame:
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and components of all documents; edge cases as of ``simhash_components``."""
     found = simhash_components(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
