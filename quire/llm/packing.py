@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialize
+from .common import documents, join_small, materialize
 from .tokens import MAX_WORDS, encode_each, tokenizer_path
 
 CAPACITY = 1024
@@ -115,12 +115,23 @@ def _merge_level(bins: DataFrame, level: int, capacity: int) -> DataFrame:
     return materialize(bins.groupBy("grp").applyInPandas(of, "grp long, bin long, host long, shift long, used int, on boolean"), f"bins-{level}")
 
 
+def _final_places(moves: list[DataFrame]) -> DataFrame:
+    """(bin, host, shift) over all rounds: what a host's later move does to the bins that it took in before."""
+    out = moves[0]
+    for level, later in enumerate(moves[1:], 1):
+        step = later.select(F.col("bin").alias("host"), F.col("host").alias("to"), F.col("shift").alias("by"))
+        carried = out.join(step, "host", "left").select("bin", F.coalesce("to", "host").alias("host"), (F.col("shift") + F.coalesce("by", F.lit(0))).alias("shift"))
+        out = materialize(carried.unionByName(later), f"places-{level}")
+    return materialize(out, "places")
+
+
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, slack: int = 0, keep_ids: bool = True, max_words: int = MAX_WORDS) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, ids, sequence_id, offset), one row for each piece.
 
     Null and empty texts are the end id alone. A document longer than ``capacity`` becomes pieces of
     exactly ``capacity`` ids but for a shorter first one. Equal rows are packed once each; a null doc_id
-    stays null. Offsets in a sequence are gapless from 0. An empty table gives an empty result.
+    stays null. Pieces of equal length and bins of equal residual are placed in any order. Offsets in a sequence are
+    gapless from 0. An empty table gives an empty result; columns other than doc_id and text are not read.
     """
     pieces = materialize(_pieces(docs, path or tokenizer_path(), capacity, keep_ids, max_words), "pieces")
     open_bins = pieces.where(F.col("place") == 0).where(F.col("used") < capacity - slack)
@@ -132,35 +143,24 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, sla
         .agg(F.sort_array(F.collect_list("bin")).alias("bins"))
         .select("part", "used", F.explode(F.slice("bins", 1, FAN_IN)).alias("bin"))
     )
-    level, moves = 0, None
+    level, moves = 0, []
     parts = ranked.agg(F.max("part")).first()[0]
     bins = ranked.select(F.floor(F.col("part") / FAN_IN).cast("long").alias("grp"), "bin", "used")
     groups = 0 if parts is None else parts // FAN_IN + 1
     while groups:
         out = _merge_level(bins, level, capacity)
-        moved = out.where("host != bin or shift != 0").select("bin", "host", "shift")
-        moves = moved if moves is None else moves.unionByName(moved)
+        moves.append(out.where("host != bin or shift != 0").select("bin", "host", "shift"))
         if groups == 1:
             break
         bins = out.where("on and bin = host").select(F.floor(F.col("grp") / FAN_IN).cast("long").alias("grp"), "bin", "used")
         groups, level = -(-groups // FAN_IN), level + 1
     place, sequence = F.col("place"), F.col("bin")
-    if moves is not None:
-        # A bin moves at most once in a round and only bins at most half full move, one in a partition: fewer moves than partitions.
-        to, shift = {}, {}
-        for b, host, by in moves.toLocalIterator():
-            to[b], shift[b] = host, by
-        rows = []
-        for b in to:
-            at, host = 0, b
-            while host in to:
-                at, host = at + shift[host], to[host]
-            rows.append((b, host, at))
-        table = docs.sparkSession.createDataFrame(rows, "bin long, host long, shift long")
-        pieces = pieces.join(F.broadcast(table), "bin", "left")
+    if moves:
+        pieces = join_small(pieces, _final_places(moves), "bin", "left")
         place, sequence = F.col("place") + F.coalesce("shift", F.lit(0)), F.coalesce("host", "bin")
     return pieces.select("doc_id", "piece", "start", "length", "ids_crc32", "ids", sequence.alias("sequence_id"), place.alias("offset"))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places; edge cases as of ``pack``."""
     return pack(documents(spark, sf_dir), keep_ids=False).drop("ids")
