@@ -154,8 +154,7 @@ def _raw_blocks(docs: DataFrame, path: str) -> DataFrame:
     n = max(1, ordered.rdd.getNumPartitions())
     # Bounds come from the id column alone; a range partitioner would read every text for its sample.
     bounds = sorted(set(docs.select(F.col("doc_id").cast("double").alias("doc_id")).approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (4 * n)))) if n > 1 else []
-    shard = F.size(F.filter(F.lit(bounds), lambda b: b <= F.col("doc_id"))) if bounds else F.lit(0)
-    ordered = ordered.repartitionById(n, F.coalesce(F.greatest(shard, F.lit(0)), F.lit(0)).cast("int")).sortWithinPartitions("doc_id", "text")
+    ordered = ordered.repartitionById(n, F.coalesce(_range_of(F.col("doc_id"), bounds), F.lit(0)).cast("int")).sortWithinPartitions("doc_id", "text")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, block, before = TaskContext.get().partitionId(), 0, 0
@@ -191,6 +190,17 @@ def _raw_blocks(docs: DataFrame, path: str) -> DataFrame:
     return ordered.mapInArrow(of, "shard int, block int, before long, docs array<long>, sizes array<long>, n long, width int, ids binary")
 
 
+def _range_of(value, bounds: list[float]):
+    """How many of the sorted bounds are at most ``value``: first among every ``step``-th, then between two of those."""
+    if not bounds:
+        return F.lit(0)
+    step = max(1, int(len(bounds) ** 0.5))
+    runs = [bounds[at : at + step] for at in range(0, len(bounds), step)]
+    up_to = lambda array: F.size(F.filter(array, lambda b: b <= value))
+    run = up_to(F.lit([r[0] for r in runs]))
+    return F.when(run > 0, (run - 1) * step + up_to(F.element_at(F.array(*[F.lit(r) for r in runs]), run))).otherwise(0)
+
+
 def _added(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The sum of two count tables of any lengths."""
     a, b = (a, b) if len(a) >= len(b) else (b, a)
@@ -270,6 +280,7 @@ def read_ids(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFra
 
 
 def op2_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written and read back; edge cases as of ``write_ids``."""
     import uuid
 
     folder = f"{shared_folder(spark)}/token-ids-{uuid.uuid4().hex}"
