@@ -1,8 +1,8 @@
 """Language identification with a linear-chain conditional random field over words.
 
-Affix, character n-gram and whole-word features score each word for each language; learned transitions
+Affix, character n-gram, whole-word and lexicon features score each word for each language; learned transitions
 let the label switch inside a text. It is trained on word sequences spliced from documents of several languages;
-forward-backward gives every word's label distribution, and their mean labels the text.
+forward-backward gives every word's label distribution: its peak labels the word, and their mean labels the text.
 """
 
 from __future__ import annotations
@@ -19,9 +19,13 @@ from .common import documents, extended, map_rows
 
 BUCKETS = 1 << 17
 DOCS_PER_LANGUAGE = 300
-"""The training sample: at most so many documents of each language, chosen by a hash of doc_id, ..."""
-SAMPLE_CHARS = 1200
-"""... and so many characters of each, from a place chosen by that hash."""
+"""The training sample: at most so many whole documents of each language, chosen by a hash of doc_id."""
+WORDS_PER_DOC = 200
+"""Training words drawn a document and epoch, from anywhere in the sampled texts."""
+LEXICON_DOCS = 3
+"""A word in so many sampled documents of a language is in its lexicon."""
+LONG_WORD = 64
+"""A longer word is described by its first and last half of so many characters."""
 SAMPLE_DOCS = 64 * DOCS_PER_LANGUAGE
 """With over 64 languages, each has an equal part of so many documents."""
 MAX_LANGUAGES = 256
@@ -42,6 +46,8 @@ def has_letter(words: list[str]) -> bool:
 
 def word_features(word: str) -> list[int]:
     """Hashed features: the word, prefixes and suffixes up to three characters, 2- and 3-grams with word ends."""
+    if len(word) > LONG_WORD:
+        word = word[: LONG_WORD // 2] + word[-LONG_WORD // 2 :]
     edged = f"<{word}>"
     names = ["w" + word]
     names += ["p" + word[:n] for n in (1, 2, 3)] + ["s" + word[-n:] for n in (1, 2, 3)]
@@ -55,12 +61,29 @@ class Crf:
         self.languages = languages
         self.weights = np.zeros((BUCKETS, k), np.float32)
         self.transitions = np.eye(k, dtype=np.float32) * 2
+        self.lexicon: dict[str, int] = {}
+
+    def features(self, word: str) -> list[int]:
+        own, entry = word_features(word), self.lexicon.get(word)
+        return own if entry is None else [*own, entry]
+
+    def learn_lexicon(self, samples: list[tuple[list[str], int]]) -> None:
+        """Words of the lexicons, each with the hashed feature of the languages that list it."""
+        seen: dict[tuple[str, int], int] = {}
+        for words, y in samples:
+            for w in set(words):
+                seen[w, y] = seen.get((w, y), 0) + 1
+        listed: dict[str, list[int]] = {}
+        for (w, y), n in sorted(seen.items()):
+            if n >= LEXICON_DOCS:
+                listed.setdefault(w, []).append(y)
+        self.lexicon = {w: zlib.crc32(f"l{ys}".encode()) & (BUCKETS - 1) for w, ys in listed.items()}
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """(words, languages): sums of feature weights, less the largest of each word."""
         out = np.empty((len(words), len(self.languages)), np.float32)
         for at in range(0, len(words), 4096):
-            features = [word_features(w) for w in words[at : at + 4096]]
+            features = [self.features(w) for w in words[at : at + 4096]]
             sizes = np.fromiter(map(len, features), np.int64, len(features))
             flat = np.fromiter((f for own in features for f in own), np.int64, int(sizes.sum()))
             out[at : at + len(features)] = np.add.reduceat(self.weights[flat], np.cumsum(sizes) - sizes, axis=0)
@@ -74,7 +97,8 @@ class Crf:
             return
         vocabulary: dict[str, int] = {}
         texts = [(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words]), y) for words, y in samples]
-        features = [word_features(w) for w in vocabulary]
+        self.learn_lexicon(samples)
+        features = [self.features(w) for w in vocabulary]
         width = max(map(len, features))
         table = np.full((len(features), width), BUCKETS, np.int64)
         for r, own in enumerate(features):
@@ -82,7 +106,7 @@ class Crf:
         weights, transitions = np.zeros((BUCKETS + 1, k)), self.transitions.astype(np.float64)
         g_weights, g_transitions = np.full((BUCKETS + 1, k), 1e-2), np.full((k, k), 1.0)
         length, lanes = 48, 64
-        rounds = max(1, sum(len(t) for t, _ in texts) // (length * lanes)) * epochs
+        rounds = max(1, sum(min(len(t), WORDS_PER_DOC) for t, _ in texts) // (length * lanes)) * epochs
         for _ in range(rounds):
             x, y = np.empty((length, lanes), np.int64), np.empty((length, lanes), np.int64)
             for lane in range(lanes):
@@ -125,11 +149,11 @@ class Crf:
             transitions += rate * step / np.sqrt(g_transitions)
         self.weights, self.transitions = weights[:BUCKETS].astype(np.float32), transitions.astype(np.float32)
 
-    def label_shares(self, texts: list[np.ndarray], e: np.ndarray, sure: np.ndarray | None = None) -> np.ndarray:
+    def label_shares(self, texts: list[np.ndarray], e: np.ndarray, sure: np.ndarray | None = None, labels: list | None = None) -> np.ndarray:
         """(texts, languages): the mean label distribution of each text's words by forward-backward.
 
         ``e`` has exp(score) of each word number. Texts of like length run side by side, longest first.
-        ``sure``, if given, is filled with the mean share of each word's own best label.
+        ``sure``, if given, is filled with the mean share of each word's own best label, ``labels`` with these labels.
         """
         k = e.shape[1]
         out = np.zeros((len(texts), k))
@@ -154,6 +178,7 @@ class Crf:
                 n = active[t]
                 x = (alpha[t - 1, :n] @ a) * e[cells[t, :n]]
                 alpha[t, :n] = x / x.sum(axis=1, keepdims=True)
+            best = np.zeros((longest if labels is not None else 0, len(group)), np.int16)
             beta, total, peak = np.ones((len(group), k), np.float32), np.zeros((len(group), k)), np.zeros(len(group))
             for t in range(longest - 1, -1, -1):
                 n = active[t]
@@ -162,11 +187,16 @@ class Crf:
                 total[:n] += g
                 if sure is not None:
                     peak[:n] += g.max(axis=1)
+                if labels is not None:
+                    best[t, :n] = g.argmax(axis=1)
                 x = (e[cells[t, :n]] * beta[:n]) @ a.T
                 beta[:n] = x / x.sum(axis=1, keepdims=True)
             out[group] = total / own[:, None]
             if sure is not None:
                 sure[group] = peak / own
+            if labels is not None:
+                for lane, i in enumerate(group.tolist()):
+                    labels[i] = best[: own[lane], lane]
         return out
 
 
@@ -181,11 +211,11 @@ def training_sample(docs: DataFrame) -> list[tuple[str, str]]:
         raise ValueError(f"lang has more than {MAX_LANGUAGES} values; langid learns at most so many")
     most = min(DOCS_PER_LANGUAGE, SAMPLE_DOCS // len(counts))
     h = F.xxhash64("doc_id")
+    place = F.shiftrightunsigned(h, 11).cast("double") / float(1 << 53)
     share = F.when(F.lit(False), F.lit(0.0))
     for lang, n in counts.items():
         share = share.when(F.col("lang") == lang, F.lit(min(1.0, 1.5 * most / n)))
-    start = F.pmod(F.shiftright(h, 7), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(1))).cast("int") + 1
-    picked = rows.where(F.pmod(h, F.lit(1_000_000)) < share * 1_000_000).select("lang", h.alias("h"), "doc_id", F.substring("text", start, F.lit(SAMPLE_CHARS)).alias("text"))
+    picked = rows.where(place < share).select("lang", h.alias("h"), "doc_id", "text")
     out: list[tuple[str, str]] = []
     seen: dict[str, int] = {}
     for r in sorted(picked.collect(), key=lambda r: (r["lang"], r["h"], r["doc_id"], r["text"])):
@@ -203,18 +233,17 @@ def fit(docs: DataFrame) -> Crf:
     return crf
 
 
-_kept: dict[int, tuple[dict[str, int], list[np.ndarray]]] = {}
-
-
-def predict(docs: DataFrame, crf: Crf, confidence: str | None = None) -> DataFrame:
+def predict(docs: DataFrame, crf: Crf, confidence: str | None = None, words: str | None = None) -> DataFrame:
     """Every row and column of ``docs`` with lang_pred and score (mean share of the winning label).
 
     Only the text is used. Null texts and texts without a letter are ``und`` with score 0, as are all
     texts where nothing could be learned. Ties go to the first language by name. Columns lang_pred
     and score of the input are replaced; an empty table stays empty. A column named by ``confidence`` is
-    added with the mean share of each word's own best label, which a mixed text of plain words has too.
+    added with the mean share of each word's own best label, which a mixed text of plain words has too. A column named
+    by ``words`` is added with every word, lower-cased and in order, and its label; it is empty where lang_pred is ``und``.
+    Rows that repeat are labelled each.
     """
-    added = ["lang_pred", "score", *([confidence] if confidence else [])]
+    added = ["lang_pred", "score", *([confidence] if confidence else []), *([words] if words else [])]
     docs = docs.drop(*added)
     shared = docs.sparkSession.sparkContext.broadcast(crf)
     names, text_at = docs.columns, docs.columns.index("text")
@@ -228,31 +257,38 @@ def predict(docs: DataFrame, crf: Crf, confidence: str | None = None) -> DataFra
             if len(seen) > MAX_WORDS:
                 seen.clear()
                 scores[0] = scores[0][:0]
-            numbers, fresh = [], []
+            numbers, fresh, spelled = [], [], []
             for text in part.column(text_at).to_pylist():
-                words = words_of(text) if text else []
-                if not model.languages or not has_letter(words):
-                    numbers.append(np.empty(0, np.int32))
-                    continue
-                for w in set(words).difference(seen):
+                found = words_of(text) if text else []
+                if not model.languages or not has_letter(found):
+                    found = []
+                for w in set(found).difference(seen):
                     seen[w] = len(seen)
                     fresh.append(w)
-                numbers.append(np.fromiter(map(seen.__getitem__, words), np.int32, len(words)))
+                numbers.append(np.fromiter(map(seen.__getitem__, found), np.int32, len(found)))
+                if words:
+                    spelled.append(found)
             if fresh:
                 scores[0] = np.concatenate([scores[0], np.exp(model.word_scores(fresh))])
             sure = np.zeros(part.num_rows) if confidence else None
-            shares = model.label_shares(numbers, scores[0], sure) if model.languages else np.zeros((part.num_rows, 1))
+            labels = [()] * part.num_rows if words else None
+            shares = model.label_shares(numbers, scores[0], sure, labels) if model.languages else np.zeros((part.num_rows, 1))
             best = shares.argmax(axis=1)
             known = np.fromiter(map(len, numbers), np.int64, len(numbers)) > 0
             pred = [model.languages[b] if k else "und" for b, k in zip(best.tolist(), known.tolist(), strict=True)]
             score = np.where(known, np.clip(shares[np.arange(len(best)), best], 0, 1), 0.0)
-            found = [pa.array(pred), pa.array(score), *([pa.array(np.clip(sure, 0, 1))] if confidence else [])]
-            yield pa.RecordBatch.from_arrays([*part.columns, *found], [*names, *added])
+            more = [pa.array(pred), pa.array(score), *([pa.array(np.clip(sure, 0, 1))] if confidence else [])]
+            if words:
+                each = [[{"word": w, "lang": model.languages[y]} for w, y in zip(own, of_text, strict=True)] for own, of_text in zip(spelled, labels, strict=True)]
+                more.append(pa.array(each, pa.list_(pa.struct([("word", pa.string()), ("lang", pa.string())]))))
+            yield pa.RecordBatch.from_arrays([*part.columns, *more], [*names, *added])
 
-    return map_rows(docs, of, extended(docs, "lang_pred string, score double" + (f", `{confidence}` double" if confidence else "")))
+    schema = "lang_pred string, score double" + (f", `{confidence}` double" if confidence else "") + (f", `{words}` array<struct<word:string,lang:string>>" if words else "")
+    return map_rows(docs, of, extended(docs, schema))
 
 
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions for all documents; edge cases as of ``predict``, those of the sample as of ``training_sample``."""
     docs = documents(spark, sf_dir)
     found = predict(docs.select("doc_id", "text"), fit(docs.select("doc_id", "text", "lang")))
     held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(FOLDS)) == HELD_OUT
