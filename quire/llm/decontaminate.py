@@ -222,6 +222,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_c
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of benchmark items in all documents; edge cases as of ``decontaminate``."""
     found = decontaminate(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 

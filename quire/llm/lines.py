@@ -174,6 +174,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that another one holds first; edge cases as of ``dedup_lines``."""
     found = dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 

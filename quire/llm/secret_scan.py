@@ -100,6 +100,7 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in all documents; edge cases as of ``scan``."""
     found = scan(documents(spark, sf_dir).select("doc_id", "text"))
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter("spans", lambda s: s["ord"] < BASE)
