@@ -1,15 +1,17 @@
 """Stupid-backoff scores of every document against n-gram counts of the whole corpus.
 
-Documents fall into batches by a hash. A batch explodes its n-grams into rows (hash, batch, count), one for
-each distinct n-gram however frequent it is there; hashed over the cluster, these rows are the count table
-of all orders, and a sum by hash joins every n-gram's corpus count to the rows that asked. Rows whose n-gram other
-batches hold too return to their batch, which joins them to its exploded n-grams and sums them per document.
-The empty n-gram counts the words of the corpus. Rows, and so shuffles, grow in proportion to the text.
+Documents fall into batches by a hash. A batch explodes its n-grams into (hash, count), one entry for each
+distinct n-gram however frequent it is there. Sorted by hash and cut by hash range, these entries travel as arrays to the
+partition of their range, which explodes them again: its rows are the count table of all orders, and a sum by hash joins
+every n-gram's corpus count to the entries that asked. Where other batches hold an n-gram too, its place and count
+return to the batch, which joins them to its exploded n-grams and sums them per document. The empty n-gram counts the words
+of the corpus. Entries, and so shuffles, grow in proportion to the text; an n-gram has one entry a batch at most.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, map_rows
 from .decontaminate import words_of
 
 ALPHA = 0.4
@@ -26,6 +28,8 @@ BATCH_CHARS = 12_000_000
 """Of a batch at most, on average; small tables make ``MIN_BATCHES`` smaller ones, so that all tasks have work."""
 MIN_BATCHES = 64
 MIN_BATCH_CHARS = 1_000_000
+PART_CHARS = 1_000_000
+"""Text whose n-grams one hash range holds; a task has several ranges."""
 WORDS = np.uint64(0)
 """Hash of the empty n-gram, which occurs once at every word."""
 
@@ -66,6 +70,12 @@ class Batch:
             self.inverse.append(inverse)
             self.counts.append(counts)
 
+    def entries(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted hashes of the empty and all distinct n-grams, their counts, and where each stands in order of length."""
+        grams = np.concatenate([np.array([WORDS]), *self.distinct])
+        order = np.argsort(grams, kind="stable")
+        return grams[order], np.concatenate([np.array([len(self.doc)]), *self.counts])[order], order
+
     def own_counts(self, n: int) -> np.ndarray:
         """For each word with an n-gram: how often its document holds that n-gram."""
         key = self.doc[self.where[n - 1]] * max(1, len(self.distinct[n - 1])) + self.inverse[n - 1]
@@ -101,42 +111,61 @@ def backoff_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     batches = max(1, math.ceil(chars / max(MIN_BATCH_CHARS, min(BATCH_CHARS, chars / MIN_BATCHES))))
-    rows = rows.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).cast("int"))
+    part_bits = max(1, math.ceil(math.log2(max(2, chars / PART_CHARS))))
+    numbered = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).cast("int").alias("batch"), "doc_id", "text")
+    packed = map_rows(numbered, _pack, "batch int, blob binary")
 
     def ask(table: pa.Table) -> pa.Table:
-        batch = Batch(table["text"].cast(pa.binary()).to_pylist(), order)
-        hashes = np.concatenate([np.array([WORDS]), *batch.distinct])
-        counts = np.concatenate([np.array([len(batch.doc)]), *batch.counts])
-        number = np.full(len(hashes), table["batch"][0].as_py(), np.int32)
-        return pa.table({"gram": hashes.view(np.int64), "batch": number, "own": counts.astype(np.int64)})
-
-    asked = rows.groupBy("batch").applyInArrow(ask, "gram long, batch int, own long")
-    # A window, as a sum joined back to the rows would shuffle them twice; a gram has one row a batch at most.
-    counted = asked.withColumn("total", F.sum("own").over(Window.partitionBy("gram")))
-    told = counted.where("total > own").select("gram", "batch", "total")
+        batch = Batch(_unpack(table)["text"].cast(pa.binary()).to_pylist(), order)
+        grams, own, _ = batch.entries()
+        ends = np.searchsorted(grams >> np.uint64(64 - part_bits), np.arange((1 << part_bits) + 1))
+        parts = np.flatnonzero(np.diff(ends))
+        lists = lambda x, kind: pa.ListArray.from_arrays(pa.array(np.r_[ends[parts], len(grams)], pa.int32()), pa.array(x, kind))
+        number = np.full(len(parts), table["batch"][0].as_py(), np.int32)
+        return pa.table({"batch": number, "part": parts.astype(np.int32), "grams": lists(grams.view(np.int64), pa.int64()), "own": lists(own, pa.int64())})
+
+    asked = packed.groupBy("batch").applyInArrow(ask, "batch int, part int, grams array<long>, own array<long>")
+    rows_of_part = asked.repartition("part").select("batch", "part", F.posexplode(F.arrays_zip("grams", "own")).alias("place", "e")).select("batch", "part", "place", "e.grams", "e.own")
+    # A window: a sum joined back to the rows would deal them out twice. They stay in the partition of their range.
+    counted = rows_of_part.withColumn("total", F.sum("own").over(Window.partitionBy("grams", "part")))
+    # Places and counts of one batch and range travel together.
+    answer = F.array_sort(F.collect_list(F.struct("place", "total")))
+    told = counted.where("total > own").groupBy("batch", "part").agg(answer.alias("a")).select("batch", "part", F.col("a.place").alias("places"), F.col("a.total").alias("totals"))
 
     def score(text: pa.Table, told: pa.Table) -> pa.Table:
+        text = _unpack(text)
         batch = Batch(text["text"].cast(pa.binary()).to_pylist(), order)
-        grams, sums = told["gram"].to_numpy().view(np.uint64), told["total"].to_numpy()
-        at = np.argsort(grams)
-        grams, sums = grams[at], sums[at]
-        (words,) = _joined(np.array([WORDS]), np.array([len(batch.doc)]), grams, sums)
-        totals = [_joined(found, own, grams, sums) for found, own in zip(batch.distinct, batch.counts, strict=True)]
-        total = batch.scores(totals, int(words))
+        grams, own, order_of = batch.entries()
+        starts = np.searchsorted(grams >> np.uint64(64 - part_bits), np.arange(1 << part_bits))
+        sums = own.copy()
+        for chunk in told.to_batches():
+            part, places, totals = (chunk.column(chunk.schema.get_field_index(c)) for c in ("part", "places", "totals"))
+            sizes = np.diff(places.offsets.to_numpy())
+            sums[np.repeat(starts[part.to_numpy()], sizes) + places.flatten().to_numpy()] = totals.flatten().to_numpy()
+        by_order = np.empty_like(sums)
+        by_order[order_of] = sums
+        cuts = np.cumsum([1, *map(len, batch.distinct)])
+        total = batch.scores(np.split(by_order[1:], cuts[1:-1] - 1), int(by_order[0]))
         mean = [s / n if n else None for s, n in zip(total.tolist(), batch.sizes.tolist(), strict=True)]
         return pa.table({"doc_id": text["doc_id"], "n_words": batch.sizes, "log_score": total, "mean_log_score": pa.array(mean, pa.float64())})
 
-    return rows.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(score, "doc_id long, n_words long, log_score double, mean_log_score double")
+    return packed.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(score, "doc_id long, n_words long, log_score double, mean_log_score double")
 
 
-def _joined(found: np.ndarray, own: np.ndarray, grams: np.ndarray, sums: np.ndarray) -> np.ndarray:
-    """Corpus counts of the sorted hashes ``found``: those told of, else what the batch itself holds."""
-    out = own.astype(np.int64)
-    if len(grams):
-        at = np.minimum(np.searchsorted(grams, found), len(grams) - 1)
-        hit = grams[at] == found
-        out[hit] = sums[at[hit]]
-    return out
+def _pack(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows (batch, doc_id, text) as one compressed blob for each batch."""
+    number = batch.column(0).to_numpy()
+    order = np.argsort(number, kind="stable")
+    found, first = np.unique(number[order], return_index=True)
+    for b, at in zip(found.tolist(), np.split(order, first[1:]), strict=True):
+        own, sink = batch.select(["doc_id", "text"]).take(pa.array(at)), pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_batch(own)
+        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["batch", "blob"])
+
+
+def _unpack(table: pa.Table) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(b.as_buffer()).read_all() for b in table["blob"]])
 
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
