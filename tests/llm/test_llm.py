@@ -1,10 +1,12 @@
 """The training-data operators against brute force, exact round trips and held-out accuracy."""
 
+import hashlib
 import random
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from compare import DATA, connect, rows
 from pyspark.sql import functions as F
 
@@ -96,6 +98,13 @@ def test_huffman_codes(counts):
         assert (book.decode(n, *book.encode(ids)) == ids).all()
 
 
+def test_ranges_of_sorted_bounds(spark):
+    bounds = [float(b) for b in sorted({random.Random(n).randrange(-500, 500) for n in range(90)})]
+    for some in (bounds, bounds[:1], bounds[:7], []):
+        found = spark.range(-600, 600).select("id", huffman._range_of(F.col("id"), some).alias("r")).collect()
+        assert all(r.r == sum(b <= r.id for b in some) for r in found)
+
+
 def test_huffman_is_optimal_without_a_tight_limit():
     import heapq
 
@@ -121,6 +130,10 @@ def test_token_files_round_trip(spark, edge, empty, tmp_path):
         r = found[doc_id]
         assert (r.start, r.n_tokens, r.ids_crc32, bytes(r.ids)) == (at, len(ids), zlib.crc32(ids.tobytes()), ids.tobytes())
         at += len(ids)
+    some = spark.createDataFrame([(None, "b"), (None, None), (2, "two"), (2, "two"), (-3, "neg")], "doc_id long, text string").repartition(3)
+    huffman.write_ids(some, f"file://{tmp_path}/some")
+    found = huffman.read_ids(spark, f"file://{tmp_path}/some").orderBy("start").collect()
+    assert [r.doc_id for r in found] == [None, None, -3, 2, 2] and [r.start for r in found] == [0, *np.cumsum([r.n_tokens for r in found])[:-1].tolist()]
     huffman.write_ids(empty, f"file://{tmp_path}/none")
     assert huffman.read_ids(spark, f"file://{tmp_path}/none").count() == 0
 
@@ -144,6 +157,11 @@ def test_secrets_brute_force(spark):
     assert secret_scan.scan(df.unionAll(df)).count() == 2 * len(texts)
 
 
+def test_secrets_of_null_ids_and_clashing_columns(spark):
+    df = spark.createDataFrame([(None, "password=abcdef1", "x", 3), (None, "password=abcdef1", "y", 4)], "doc_id long, text string, kind string, start long")
+    assert [(r.doc_id, [s.kind for s in r.spans]) for r in secret_scan.scan(df).collect()] == [(None, ["assign"])] * 2
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     found = langid.op4_langid(spark, DATA).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
@@ -151,6 +169,44 @@ def test_language_held_out_accuracy(spark):
     assert found.score.between(0, 1).all()
 
 
+def test_forward_backward_equals_enumeration():
+    import itertools
+
+    rng = np.random.default_rng(4)
+    crf = langid.Crf(["a", "b", "c"])
+    crf.transitions = rng.normal(size=(3, 3)).astype(np.float32)
+    scores = rng.normal(size=(6, 3)).astype(np.float32)
+    texts = [np.array([0, 3, 2, 2, 5]), np.array([4]), np.array([], np.int64), np.array([1, 1, 0])]
+    sure, labels = np.zeros(4), [()] * 4
+    shares = crf.label_shares(texts, np.exp(scores), sure, labels)
+    for i, text in enumerate(texts):
+        marginal = np.zeros((len(text), 3))
+        for path in itertools.product(range(3), repeat=len(text)) if len(text) else ():
+            weight = np.exp(sum(scores[w, y] for w, y in zip(text, path, strict=True)) + sum(crf.transitions[a, b] for a, b in itertools.pairwise(path)))
+            for t, y in enumerate(path):
+                marginal[t, y] += weight
+        marginal /= np.maximum(marginal.sum(axis=1, keepdims=True), 1e-300)
+        assert np.allclose(shares[i], marginal.mean(axis=0) if len(text) else 0, atol=1e-5)
+        assert list(labels[i]) == marginal.argmax(axis=1).tolist()
+        assert not len(text) or abs(sure[i] - marginal.max(axis=1).mean()) < 1e-5
+
+
+def test_words_are_labelled_in_a_mixed_text(spark, edge):
+    words = {"de": ["katze", "hund", "schule", "schnee"], "es": ["gato", "perro", "escuela", "nieve"]}
+    rng = random.Random(3)
+    table = [(i, " ".join(rng.choice(words[lang]) for _ in range(60)), lang) for i, lang in enumerate(sorted(words) * 60)]
+    docs = spark.createDataFrame([*table, (900, "Katze, hund " * 6 + "gato perro 12 " * 6, None)], "doc_id long, text string, lang string")
+    crf = langid.fit(docs)
+    assert crf.lexicon.keys() == {w for own in words.values() for w in own}
+    found = langid.predict(docs.unionAll(docs), crf, words="spoken").where("doc_id = 900").collect()
+    assert len(found) == 2 and [(x.word, x.lang) for x in found[0].spoken] == [(w, "de") for w in ["katze", "hund"] * 6] + [(w, "es") for w in ["gato", "perro"] * 6]
+    assert {len(r.spoken) for r in langid.predict(edge, crf, words="spoken").where("doc_id in (3, 4)").collect()} == {0}
+
+
+def test_long_words_have_bounded_features():
+    assert len(langid.word_features("x" * 100_000)) == len(langid.word_features("x" * langid.LONG_WORD))
+
+
 def test_language_edge_cases(spark, edge, empty):
     crf = langid.fit(edge)
     found = {r.doc_id: r for r in langid.predict(edge, crf).collect()}
@@ -178,6 +234,12 @@ def test_lines_brute_force(spark, edge, empty):
     assert lines.dedup_lines(empty).count() == 0
 
 
+def test_lines_of_null_and_repeated_ids(spark):
+    table = [(None, "a line of ten"), (None, "a line of ten"), (7, "a line of ten\nown"), (7, "a line of ten"), (9, "A LINE of ten  \nx"), (9, "a line of ten")]
+    found = lines.dedup_lines(spark.createDataFrame(table, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.kept_text, r.n_dropped) for r in found) == [(0, "a line of ten", 0)] * 2 + [(7, "a line of ten", 0), (7, "a line of ten\nown", 0), (9, "", 1), (9, "x", 1)]
+
+
 def test_lm_brute_force(spark, edge, empty, monkeypatch):
     monkeypatch.setattr(ngram_lm, "MIN_BATCH_CHARS", 20_000)
     monkeypatch.setattr(ngram_lm, "PART_CHARS", 9_000)
@@ -199,7 +261,11 @@ def test_decontamination_brute_force(spark, edge, empty, monkeypatch):
     for window in (1, 4, 10):
         want = decontaminate.brute_force(docs, bench, window)
         found = decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), items(spark, bench), window).collect()
-        assert {r.doc_id: (r.n_words, r.n_hit, len(r["items"]), r.contaminated) for r in found} == {i: (w[0], w[1], w[2], w[4]) for i, w in want.items()}
+        sha = lambda names: hashlib.sha256(",".join(names).encode()).hexdigest()
+        assert {r.doc_id: (r.n_words, r.n_hit, len(r["items"]), sha(r["items"]), r.contaminated) for r in found} == want
+    twice = spark.createDataFrame([(1, "x a b c " * 20_000), (1, "x a b c " * 20_000), (None, "q")], "doc_id long, text string")
+    found = decontaminate.decontaminate(twice, items(spark, [(None, "a b c"), (None, "b c x")]), 3).collect()
+    assert sorted((r.doc_id or 0, r.n_words, r.n_hit, r["items"]) for r in found) == [(0, 1, 0, [])] + [(1, 80_000, 79_999, [""])] * 2
     clean = decontaminate.decontaminate(edge, items(spark, [(1, "beta gamma")]), max_coverage=0.9)
     assert clean.where("doc_id = 1").first().clean_text.startswith("Alpha  delta\n")
     assert decontaminate.decontaminate(empty, items(spark, [])).count() == 0
@@ -215,6 +281,34 @@ def test_packing_is_valid_and_tight(spark, edge, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_pieces_equal_the_library(spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer_path())
+    monkeypatch.setattr(packing, "HELD_IDS", 3000)
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").limit(60).unionAll(spark.createDataFrame([(None, None), (None, "x"), (None, "x")], "doc_id long, text string")).repartition(20)
+    for keep_ids in (True, False):
+        found = packing.pack(docs, keep_ids=keep_ids).collect()
+        got, want = [], []
+        for r in found:
+            got.append((r.doc_id, r.piece, r.start, r.length, r.ids_crc32, bytes(r.ids) if keep_ids else None))
+        for doc_id, text in docs.collect():
+            ids = np.array([*library.encode(text or "", add_special_tokens=False).ids, packing.END_ID], "<u4")
+            first = len(ids) % packing.CAPACITY or packing.CAPACITY if len(ids) > packing.CAPACITY else len(ids)
+            cuts = [0, *range(first, len(ids) + 1, packing.CAPACITY)] if len(ids) > packing.CAPACITY else [0, len(ids)]
+            for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                raw = ids[a:b].tobytes()
+                want.append((doc_id, k, a, b - a, zlib.crc32(raw), raw if keep_ids else None))
+        assert sorted(got, key=repr) == sorted(want, key=repr)
+        bins: dict[int, list] = {}
+        for r in found:
+            bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        for own in bins.values():
+            ends = [0, *np.cumsum([n for _, n in sorted(own)]).tolist()]
+            assert [at for at, _ in sorted(own)] == ends[:-1] and ends[-1] <= packing.CAPACITY
+        assert len(bins) <= 1.1 * -(-sum(r.length for r in found) // packing.CAPACITY)
+
+
 def test_hierarchy_merges_partitions(spark):
     docs = spark.createDataFrame([(i, "word " * 300) for i in range(40)], "doc_id long, text string").repartition(40)
     found = packing.pack(docs, keep_ids=False).toPandas()
@@ -223,6 +317,14 @@ def test_hierarchy_merges_partitions(spark):
         assert bin_.offset.tolist() == [0, *bin_.length.cumsum().tolist()[:-1]]
 
 
+def test_hosts_share_reputation_over_users_and_ports(spark):
+    pages = spark.createDataFrame([(i, f"http://u{i}@bad.xyz:{80 + i}/p") for i in range(30)] + [(i, f"http://good{i}.com/") for i in range(30, 60)] + [(60, "https://bad.xyz"), (60, "https://bad.xyz")], "page_id long, url string").withColumn("host", F.lit("mine"))
+    outcomes = spark.createDataFrame([(i, int(i >= 30)) for i in range(60)], "page_id long, good int")
+    found = hosts.filter_urls(pages, outcomes).collect()
+    assert [r.verdict for r in found if r.page_id == 60] == ["block"] * 2 and {r.host for r in found if r.page_id == 3} == {"u3@bad.xyz:83"}
+    assert {r.verdict for r in found if 30 <= r.page_id < 60} == {"allow"}
+
+
 def test_url_edge_cases(spark):
     pages = spark.createDataFrame([(1, None), (2, "nothing"), (3, "HTTP://A.Example.COM/en/7x?q#f"), (4, "s://net/de/"), (5, "x://h?y"), (None, "s://sub.org/es/1")], "page_id long, url string")
     outcomes = spark.createDataFrame([(5, 0), (5, 1), (None, 0)], "page_id long, good int")
@@ -261,6 +363,26 @@ def test_simhash_brute_force(spark, edge, empty, monkeypatch):
     found = {r.doc_id: r for r in simhash.simhash_components(edge).collect()}
     assert found[3].fp == found[4].fp == 0 and found[4].component_id == 3 and found[6].component_id == 5
     assert simhash.simhash_components(empty).count() == 0
+    twice = spark.createDataFrame([(None, "a b c d"), (None, "a b c d"), (8, "A b  c\td"), (8, "a b c d"), (None, "z"), (None, None)], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in simhash.simhash_components(twice).collect()) == [(0, 0), (0, 0), (0, 8), (0, 8), (8, 8), (8, 8)]
+
+
+@pytest.mark.parametrize("text", ["", None, "one", "One  two\x1fx", "a b c", "a b c d a b c d a b c", "é Ü " * 30])
+def test_fingerprint_counts_bits(text):
+    import re
+
+    words = re.findall("[^\\x20\\x09-\\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+    h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in shingles]
+    want = sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in h) > len(h))
+    assert simhash.fingerprint(None if text is None else text.encode()) & (1 << 64) - 1 == want
+
+
+def test_ring_chain_is_the_distance():
+    rng = np.random.default_rng(2)
+    x = np.array([sum(1 << int(k) for k in rng.choice(64, n, replace=False)) for n in range(40) for _ in range(30)], np.uint64)
+    for distance in (3, 12, 22):
+        assert (simhash.ring_chain(x, distance) == (np.bitwise_count(x) <= distance)).all()
 
 
 def test_pipeline_stages(spark):
@@ -306,6 +428,39 @@ def test_near_copies_brute_force(spark, empty, monkeypatch, sample):
     assert corpus_pipeline.drop_near_copies(spark, empty, DATA).count() == 0
 
 
+def test_near_copies_recall(spark):
+    """Pairs just at 0.8, in which the fingerprints differ most."""
+    rng = random.Random(12)
+    texts = []
+    for n in (5, 10, 40, 300):
+        for _ in range(60):
+            base = [str(rng.randrange(10**6)) for _ in range(n + 4)]
+            cut = -(-n // 5)  # of n shingles all but these are shared
+            texts += [" ".join(base), " ".join(base[: n + 4 - cut])]
+    rows_ = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "row long, doc_id long, text string")
+    group = {r.row: r.component for r in near.near_groups(rows_).collect()}
+    pairs = [(i, i + 1) for i in range(0, len(texts), 2) if near.alike(*(near.shingle_set(texts[k].encode()) for k in (i, i + 1)))]
+    assert len(pairs) > 200 and np.mean([group[a] == group[b] for a, b in pairs]) > 0.99
+
+
+def test_pipeline_stages_at_the_edges(spark):
+    import corpus_pipeline
+
+    long = "The house by the river was old and the people of the town said that nobody had lived there for many years. " * 3
+    table = [(1, long, "en", "a", 1), (1, long, "en", "a", 1), (None, long + "More.", "en", None, None), (None, None, None, "b", 0), (4, "", "fr", "b", 0), (5, "x" * 100_000, None, "c", 9)]
+    docs = spark.createDataFrame(table, "doc_id long, text string, lang string, source string, n_chars long").withColumn("component", F.lit("mine")).withColumn("n_words", F.lit(1))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, DATA).columns == docs.columns
+        assert stage(spark, docs.where("false"), DATA).count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, DATA).count() >= len(table)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.where("false"), DATA).count() == 0
+    assert corpus_pipeline.remove_benchmark(spark, docs, DATA).count() == len(table)
+    assert corpus_pipeline.drop_repeated_lines(spark, docs, DATA).count() == len(table)
+    left = corpus_pipeline.drop_near_copies(spark, docs, DATA).collect()
+    assert sorted((r.doc_id or 0, len(r.text or "")) for r in left) == [(1, len(long)), (4, 0), (5, 100_000)]
+    assert {r.doc_id for r in corpus_pipeline.identify_language(spark, docs, DATA).collect()} <= {None, 1, 5}
+
+
 def test_pipeline_keeps_mixed_and_unlabelled_documents(spark):
     import corpus_pipeline
 
