@@ -80,4 +80,6 @@ def rule_relations(entities: DataFrame) -> DataFrame:
 def parse_answer(answer: Column | str, schema: str) -> Column:
     """A model's JSON answer as a struct: as it stands, else its widest braces; null if neither parses."""
     clean = T.strip_wrappers(answer)
-    return F.coalesce(F.from_json(F.when(F.is_valid_utf8(clean) & F.try_parse_json(clean).isNotNull(), clean), schema), F.from_json(F.nullif(F.regexp_extract(clean, r"(?s)\{.*\}", 0), F.lit("")), schema))
+    widest = F.regexp_extract(clean, r"(?s)\{.*\}", 0)
+    valid = lambda text: F.when(F.is_valid_utf8(text) & F.try_parse_json(text).isNotNull(), text)
+    return F.coalesce(*[F.from_json(valid(text), schema) for text in (clean, widest)])

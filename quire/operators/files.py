@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._durable import durable
+
 
 def current_states(log: DataFrame, key: str = "file_name") -> DataFrame:
     """The last state of each file of an append-only log (file_name, state, seq)."""
@@ -40,38 +44,65 @@ def shards(files: DataFrame, key: str, total: int) -> DataFrame:
     n = max(1, files.rdd.getNumPartitions())
     ranged = files.repartitionByRange(n, key).sortWithinPartitions(key)
     tagged = ranged.withColumn("__p", F.spark_partition_id())
-    from ._durable import durable
-
     tagged = durable(tagged, "shards")
-    starts, at = {}, 0
-    for row in sorted(tagged.groupBy("__p").count().collect()):
-        starts[row["__p"]] = at
+    starts, at = [], 0
+    for row in sorted(tagged.groupBy("__p").count().collect()):  # one row a range
+        starts.append((row["__p"], at))
         at += row["count"]
-    table = F.lit(0).cast("long")
-    for p, start in starts.items():
-        table = F.when(F.col("__p") == p, F.lit(start)).otherwise(table)
+    table = F.broadcast(files.sparkSession.createDataFrame(starts, "__p int, __start long"))
     w = Window.partitionBy("__p").orderBy(key)
-    place = table + F.row_number().over(w) - 1
-    return tagged.withColumn("place", place).withColumn("shard", F.pmod("place", F.lit(total))).drop("__p")
+    placed = tagged.withColumn("__n", F.row_number().over(w)).join(table, "__p")
+    return placed.withColumn("place", F.col("__start") + F.col("__n") - 1).withColumn("shard", F.pmod("place", F.lit(total))).drop("__p", "__n", "__start")
 
 
 def diverse_sample(files: DataFrame, strata: list[str], key: str, target: int = 100, least: int = 2, reserve: float = 1.5, seed: int = 42) -> DataFrame:
     """(key, strata, role): ``least`` files of each stratum, filled up to ``target``, then a reserve.
 
-    The order in all draws is a hash of key and seed, so a draw does not depend on partitioning. The
-    hash is cut to the rows that can be drawn before any global order, which therefore stays small.
+    The order in all draws is a hash of key and seed, so a draw does not depend on partitioning. Each task keeps only
+    the first rows of a stratum, and only the first rows by hash that the fill could need are ordered. Keys are unique;
+    a null stratum is one of its own.
     """
     h = F.sha2(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))), 256)
-    ranked = files.select(key, *strata, h.alias("h")).withColumn("in_stratum", F.row_number().over(Window.partitionBy(*strata).orderBy("h")))
-    sure = ranked.where(F.col("in_stratum") <= least).withColumn("role", F.lit("primary"))
+    hashed = files.select(key, *strata, h.alias("h"))
+    first = F.row_number().over(Window.partitionBy(*strata).orderBy("h"))
+    sure = durable(hashed.withColumn("in_stratum", first).where(F.col("in_stratum") <= least).drop("in_stratum").withColumn("role", F.lit("primary")), "sure")
     taken = sure.count()
-    rest = ranked.where(F.col("in_stratum") > least)
     fill, extra = max(0, target - taken), int(target * reserve) - target
-    drawn = rest.orderBy("h").limit(fill + extra).withColumn("n", F.row_number().over(Window.orderBy("h")))
+    rest = hashed.orderBy("h").limit(fill + extra + taken).join(sure.select("h"), "h", "left_anti").orderBy("h").limit(fill + extra)
+    drawn = rest.withColumn("n", F.row_number().over(Window.orderBy("h")))  # as few rows as are drawn
     drawn = drawn.withColumn("role", F.when(F.col("n") <= fill, "primary").otherwise("reserve")).drop("n")
     return sure.unionByName(drawn).select(key, *strata, "role")
 
 
+def fixed_mix(files: DataFrame, shares: dict[str, float], stratum: str, key: str, target: int = 100, seed: int = 42) -> DataFrame:
+    """(key, stratum): ``target`` files in fixed shares of the named strata, each share drawn by a hash of key and seed."""
+    quota = F.lit(None).cast("int")
+    for name, share in shares.items():
+        quota = F.when(F.col(stratum) == name, F.lit(round(target * share))).otherwise(quota)
+    h = F.sha2(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))), 256)
+    ranked = files.where(F.col(stratum).isin(*shares)).select(key, stratum, F.row_number().over(Window.partitionBy(stratum).orderBy(h)).alias("n"))
+    most = max((round(target * s) for s in shares.values()), default=0)
+    return ranked.where(F.col("n") <= most).where(F.col("n") <= quota).select(key, stratum)
+
+
+def type_counts(files: DataFrame) -> DataFrame:
+    """(doc_type, n) from (path)."""
+    from ..functions import text as T
+
+    return files.groupBy(T.path_type("path").alias("doc_type")).agg(F.count("*").alias("n"))
+
+
+def in_state(states: DataFrame, *names: str) -> DataFrame:
+    """Files in one of these states, with all that is known of them."""
+    return states.where(F.col("state").isin(*names))
+
+
+def latest_events(log: DataFrame, key: str = "file_name") -> DataFrame:
+    """The last event of each file of a log (file_name, state, seq, stage, error, reason)."""
+    last = F.max_by(F.struct("state", "stage", "error", "reason"), "seq").alias("e")
+    return log.groupBy(key).agg(last).select(key, "e.*")
+
+
 def by_type(files: DataFrame) -> DataFrame:
     """(batch, doc_type, files) of known batches from (path)."""
     from ..functions import text as T
@@ -86,3 +117,15 @@ def replace_failures(primary: DataFrame, reserve: DataFrame, states: DataFrame,
     tried = states.select(key)
     open_ = primary.join(tried, key, "left_anti").count()
     return reserve.join(tried, key, "left_anti").orderBy(key).limit(max(0, target - ok - open_))
+
+
+def run_with_replacement(primary: DataFrame, reserve: DataFrame, run: Callable[[DataFrame], DataFrame], target: int, key: str = "file_name") -> DataFrame:
+    """(key, state) of all files that were run until ``target`` of them succeeded or the reserve was used up.
+
+    ``run`` takes files and returns (key, state) for each, state being processed, failed or skipped. Each round runs as many
+    reserve files as are still wanting, so rounds are few.
+    """
+    done = durable(run(primary).select(key, "state"), "run")
+    while not (batch := durable(replace_failures(primary, reserve, done, target, key), "next")).isEmpty():
+        done = durable(done.unionByName(run(batch).select(key, "state")), "run")
+    return done

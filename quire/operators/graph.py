@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..schema import ENTITIES, NER_TYPES, RELATION_ALIASES, RELATIONS, TYPE_ALIASES, entity_frame
+from ._durable import durable
 
 EDGE_KEY = ["src_label", "src_key", "rel_type", "dst_label", "dst_key"]
 
@@ -68,15 +69,6 @@ def merge_edges(rows: DataFrame, nodes: DataFrame, properties: list[str], order:
     return rows.groupBy(*EDGE_KEY).agg(*(last or [F.count("*").alias("seen")]))
 
 
-def resolve_relations(relations: DataFrame, entities: DataFrame) -> DataFrame:
-    """Relations (extraction, source, target, ...) with the labels and keys of their ends; of a repeated name the last entity counts."""
-    last = Window.partitionBy("extraction", "name").orderBy(F.desc("ord"))
-    known = entities.withColumn("__n", F.row_number().over(last)).where("__n = 1")
-    for side, end in (("src", "source"), ("dst", "target")):
-        relations = relations.join(known.select("extraction", F.col("name").alias(end), F.col("label").alias(f"{side}_label"), F.col("key").alias(f"{side}_key")), ["extraction", end])
-    return relations
-
-
 def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(kind, name, n): nodes by label and relations by type."""
     return nodes.groupBy(F.col("label").alias("name")).agg(F.count("*").alias("n")).select(F.lit("node").alias("kind"), "name", "n").unionByName(edges.groupBy(F.col("rel_type").alias("name")).agg(F.count("*").alias("n")).select(F.lit("relation").alias("kind"), "name", "n"))
@@ -163,30 +155,64 @@ def keyword_entities(queries: DataFrame, nodes: DataFrame, per_keyword: int = 5,
     return seen.withColumn("ord", F.row_number().over(w)).where(F.col("ord") <= most).select("query_id", "ord", "label", "key", "name")
 
 
+def _steps(edges: DataFrame) -> DataFrame:
+    """(e, a_label, a_key, b_label, b_key): every edge in both directions; a self-loop once."""
+    e = edges.select(F.xxhash64(*EDGE_KEY).alias("e"), *EDGE_KEY)
+    end = lambda a, b: [F.col(f"{s}_{c}").alias(f"{t}_{c}") for s, t in ((a, "a"), (b, "b")) for c in ("label", "key")]
+    loop = "src_label = dst_label and src_key = dst_key"
+    return e.select("e", *end("src", "dst")).unionAll(e.where(f"not ({loop})").select("e", *end("dst", "src")))
+
+
+def _walks(seeds: DataFrame, steps: DataFrame, hops: int) -> list[DataFrame]:
+    """For 1 to ``hops`` steps (label, key, b_label, b_key, used): undirected walks over different edges."""
+    at = seeds.select("label", "key", F.col("label").alias("a_label"), F.col("key").alias("a_key"), F.array().cast("array<bigint>").alias("used"))
+    out = []
+    for _ in range(hops):
+        step = at.join(steps, ["a_label", "a_key"]).where(~F.array_contains("used", F.col("e")))
+        step = step.select("label", "key", "b_label", "b_key", F.array_append("used", F.col("e")).alias("used"))
+        out.append(step)
+        at = step.withColumnsRenamed({"b_label": "a_label", "b_key": "a_key"})
+    return out
+
+
 def paths_to_documents(seeds: DataFrame, edges: DataFrame, hops: int = 2) -> DataFrame:
-    """(label, key, doc, hops, n): undirected paths of up to ``hops`` different edges from a seed to a Document."""
-    e = edges.select(F.concat_ws("|", *EDGE_KEY).alias("e"), *EDGE_KEY)
-    both = e.select("e", F.col("src_label").alias("a_label"), F.col("src_key").alias("a_key"), F.col("dst_label").alias("b_label"), F.col("dst_key").alias("b_key")).unionAll(
-        e.where("not (src_label = dst_label and src_key = dst_key)").select("e", F.col("dst_label").alias("a_label"), F.col("dst_key").alias("a_key"), F.col("src_label").alias("b_label"), F.col("src_key").alias("b_key"))
-    )
-    at = seeds.select("label", "key", F.col("label").alias("a_label"), F.col("key").alias("a_key"), F.array().cast("array<string>").alias("used"))
+    """(label, key, doc, hops, n): undirected paths of up to ``hops`` different edges from a seed to a Document.
+
+    Edges are told apart by a 64-bit hash of their key. The paths to one document are counted on the map side.
+    """
     out = None
-    for h in range(1, hops + 1):
-        step = at.join(both, ["a_label", "a_key"]).where(~F.array_contains("used", F.col("e")))
-        docs = step.where("b_label = 'Document'").groupBy("label", "key", F.col("b_key").alias("doc")).agg(F.count("*").alias("n")).withColumn("hops", F.lit(h))
+    for h, walk in enumerate(_walks(seeds, _steps(edges), hops), 1):
+        docs = walk.where("b_label = 'Document'").groupBy("label", "key", F.col("b_key").alias("doc")).agg(F.count("*").alias("n")).withColumn("hops", F.lit(h))
         out = docs if out is None else out.unionByName(docs)
-        at = step.select("label", "key", F.col("b_label").alias("a_label"), F.col("b_key").alias("a_key"), F.array_append("used", F.col("e")).alias("used"))
     return out.select("label", "key", "doc", "hops", "n")
 
 
+def first_paths(seeds: DataFrame, edges: DataFrame, hops: int = 2, most: int = 30) -> DataFrame:
+    """(label, key, doc, hops, n): of each seed the ``most`` first paths to Documents, by hops and document.
+
+    Each task keeps no more than ``most`` paths of a seed and length before they are shuffled, and a seed whose
+    shorter paths suffice walks no further.
+    """
+    steps = durable(_steps(edges), "steps")
+    at = seeds.select("label", "key", F.col("label").alias("a_label"), F.col("key").alias("a_key"), F.array().cast("array<bigint>").alias("used"))
+    kept = None
+    for h in range(1, hops + 1):
+        step = at.join(steps, ["a_label", "a_key"]).where(~F.array_contains("used", F.col("e")))
+        docs = first_per_group(step.where("b_label = 'Document'").select("label", "key", F.col("b_key").alias("doc"), F.lit(h).alias("hops")), ["label", "key"], ["doc"], most)
+        kept = durable(docs if kept is None else first_per_group(kept.unionByName(docs), ["label", "key"], ["hops", "doc"], most), "paths")
+        if h < hops:
+            full = kept.groupBy("label", "key").agg(F.count("*").alias("n")).where(F.col("n") >= most)
+            step = step.select("label", "key", F.col("b_label").alias("a_label"), F.col("b_key").alias("a_key"), F.array_append("used", F.col("e")).alias("used"))
+            at = step.join(full.select("label", "key"), ["label", "key"], "left_anti")
+    return kept.groupBy("label", "key", "doc", "hops").agg(F.count("*").alias("n"))
+
+
 def graph_retrieve(queries: DataFrame, nodes: DataFrame, edges: DataFrame, k: int = 10, hops: int = 2, most_paths: int = 30) -> DataFrame:
     """(query_id, rank, id, score): Documents near the entities a query names, by the sum of 1 / entity rank / hops over paths."""
-    found = keyword_entities(queries, nodes)
-    paths = paths_to_documents(found.select("label", "key").distinct(), edges, hops)
-    w = Window.partitionBy("label", "key").orderBy("hops", "doc").rowsBetween(Window.unboundedPreceding, -1)
-    kept = paths.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).withColumn("n", F.least("n", F.greatest(most_paths - F.col("before"), F.lit(0)))).where("n > 0")
+    found = durable(keyword_entities(queries, nodes), "entities")
+    paths = first_paths(found.select("label", "key").distinct(), edges, hops, most_paths)
     score = F.sum(F.col("n") / F.col("ord") / F.col("hops"))
-    scored = found.join(kept, ["label", "key"]).groupBy("query_id", F.col("doc").alias("id")).agg(score.alias("score"))
+    scored = found.join(paths, ["label", "key"]).groupBy("query_id", F.col("doc").alias("id")).agg(score.alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), "id")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
 
@@ -208,7 +234,7 @@ def canonical_pick(groups: DataFrame, degree: DataFrame) -> DataFrame:
 
 def repoint(edges: DataFrame, picked: DataFrame) -> DataFrame:
     """Edges with duplicates' ends moved to their canonical nodes; edges that become self-loops go, equal ones merge."""
-    moved = picked.where("key <> canon")
+    moved = durable(picked.where("key <> canon").select("label", "key", "canon"), "moved")
     for side in ("src", "dst"):
         m = moved.select(F.col("label").alias(f"{side}_label"), F.col("key").alias(f"{side}_key"), F.col("canon").alias(f"{side}_canon"))
         edges = edges.join(m, [f"{side}_label", f"{side}_key"], "left")
@@ -218,38 +244,101 @@ def repoint(edges: DataFrame, picked: DataFrame) -> DataFrame:
     return out.where("not (t and src_label = dst_label and src_key = dst_key)").select(*EDGE_KEY).distinct()
 
 
-def fuzzy_groups(names: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """(label, key, leader): greedy leaders over names (label, key, norm) in key order.
+def similar_names(names: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """(label, a, b): pairs a < b of keys whose names (label, key, norm) have an indel similarity of at least ``threshold``.
 
-    Two names are alike at an indel similarity of at least ``threshold``, which bounds both the lengths and the edit
-    distance. Candidates meet by exact length bands and a built-in bounded edit distance; only they reach the UDF.
+    An insertion or deletion changes two of a name's character pairs at most, so names that similar share at least
+    (4 * threshold - 3) * n + 1 of them, n being the longer length; in the order of frequency, rare pairs first, they share one
+    among the first n + 2 less that number. Only names that meet there are compared. Blank names are like none.
     """
-    import pandas as pd
-
     from ..functions.metrics import similarity
 
-    n = F.length("norm")
-    shortest = F.ceil(n * threshold / (2 - threshold)).cast("int")
-    a = names.select("label", F.col("key").alias("k1"), F.col("norm").alias("n1"), F.explode(F.sequence(shortest, n)).alias("len"))
-    b = names.select("label", F.col("key").alias("k2"), F.col("norm").alias("n2"), n.alias("len"))
-    most = F.floor((F.length("n1") + F.length("n2")) * (1 - threshold) + 1e-9).cast("int")
-    pairs = a.join(b, ["label", "len"]).where("k1 <> k2 and (length(n1) > length(n2) or k1 < k2)").where(F.levenshtein("n1", "n2") <= most)
-    pairs = pairs.where(similarity("n1", "n2") >= threshold).select("label", F.least("k1", "k2").alias("a"), F.greatest("k1", "k2").alias("b"))
-
-    def lead(pdf: pd.DataFrame) -> pd.DataFrame:
-        leader: dict[str, str] = {}
-        near: dict[str, list[str]] = {}
-        for x, y in zip(pdf["a"], pdf["b"], strict=True):
-            near.setdefault(x, []).append(y)
-        for x in sorted(set(pdf["a"]) | set(pdf["b"])):
-            if x not in leader:
-                leader[x] = x
-                for y in near.get(x, ()):
-                    leader.setdefault(y, x)
-        return pd.DataFrame({"label": pdf["label"].iloc[0], "key": list(leader), "leader": list(leader.values())})
-
-    led = pairs.groupBy("label").applyInPandas(lead, "label string, key string, leader string")
-    return names.select("label", "key").join(led, ["label", "key"], "left").select("label", "key", F.coalesce("leader", "key").alias("leader"))
+    if threshold <= 0.75:
+        raise ValueError("the pair filter needs a threshold above 0.75")
+    edged = F.concat(F.lit("\x02"), F.col("norm"), F.lit("\x03"))
+    own = names.where("norm <> ''").select("label", "key", "norm", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("norm") + 1), lambda i: F.substring(edged, i, 2))).alias("at", "pair"))
+    # The n-th occurrence of a pair in a name is an element of its own.
+    nth = Window.partitionBy("label", "key", "norm", "pair").orderBy("at")
+    own = durable(own.withColumn("nth", F.row_number().over(nth)).drop("at"), "name-pairs")
+    often = own.groupBy("label", "pair", "nth").agg(F.count("*").alias("often"))
+    ordered = F.array_sort(F.collect_list(F.struct("often", "pair", "nth")))
+    shared = F.ceil(F.length("norm") * (4 * threshold - 3) - 1e-9) + 1
+    first = own.join(often, ["label", "pair", "nth"]).groupBy("label", "key", "norm").agg(ordered.alias("p"))
+    keys = first.select("label", "key", "norm", F.explode(F.slice("p", 1, (F.length("norm") + 2 - shared).cast("int"))).alias("p")).select("label", "key", "norm", "p.pair", "p.nth")
+    a = keys.select("label", "pair", "nth", F.col("key").alias("a"), F.col("norm").alias("n1"))
+    b = keys.select("label", "pair", "nth", F.col("key").alias("b"), F.col("norm").alias("n2"))
+    short, long = F.least(F.length("n1"), F.length("n2")), F.greatest(F.length("n1"), F.length("n2"))
+    near = a.join(b, ["label", "pair", "nth"]).where("a < b").where(short + 1e-9 >= long * threshold / (2 - threshold)).select("label", "a", "b", "n1", "n2").distinct()
+    return near.where(similarity("n1", "n2") >= threshold).select("label", "a", "b")
+
+
+def fuzzy_groups(names: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """(label, key, leader): greedy leaders over names (label, key, norm) in key order.
+
+    A name that is like no leader before it leads; any other follows its first leader. A round settles every name whose
+    earlier likes are all settled, so there are as many rounds as the longest such chain, and no task sees a whole label.
+    """
+    pairs = durable(similar_names(names, threshold), "similar")
+    settled = names.select("label", "key").where("false").withColumn("leader", F.lit("").cast("string"))
+    waiting = durable(pairs.select("label", F.col("a").alias("key")).unionByName(pairs.select("label", F.col("b").alias("key"))).distinct(), "waiting")
+    while not waiting.isEmpty():
+        before = pairs.select("label", F.col("b").alias("key"), F.col("a").alias("other"))
+        states = settled.select("label", F.col("key").alias("other"), "leader")
+        seen = before.join(waiting, ["label", "key"], "left_semi").join(states, ["label", "other"], "left")
+        leads = F.col("leader") == F.col("other")
+        found = seen.groupBy("label", "key").agg(F.bool_or(F.col("leader").isNull()).alias("open"), F.min(F.when(leads, F.col("other"))).alias("first"), F.min(F.when(F.col("leader").isNull(), F.col("other"))).alias("first_open"))
+        now = waiting.join(found, ["label", "key"], "left")
+        # A leader settles its follower as soon as no open name before that leader is left.
+        done = now.where(~F.coalesce("open", F.lit(False)) | (F.col("first") < F.col("first_open")))
+        done = done.select("label", "key", F.coalesce("first", "key").alias("leader"))
+        settled = durable(settled.unionByName(done), "settled")
+        waiting = durable(waiting.join(settled, ["label", "key"], "left_anti"), "waiting")
+    return names.select("label", "key").join(settled, ["label", "key"], "left").select("label", "key", F.coalesce("leader", "key").alias("leader"))
+
+
+def canonicalize(nodes: DataFrame, edges: DataFrame, threshold: float = 0.85, labels: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(plan, nodes, edges) with duplicates of one label merged into their canonical nodes.
+
+    plan has (label, key, canon): first nodes of equal normalised names, then, among names that no other equals, names that
+    are similar; of each group the node of most relations stays. A node that stays gains ``aliases``, the other names of its
+    group. The plan alone is the dry run. ``labels`` limits the labels that are merged.
+    """
+    some = nodes if labels is None else nodes.where(F.col("label").isin(*labels))
+    degree = durable(degrees(some, edges), "degrees")
+    exact = durable(exact_groups(some), "exact-groups")
+    single = some.where("name is not null").withColumn("norm", T.normalize_name("name")).where("norm <> ''").join(exact.select("label", "key"), ["label", "key"], "left_anti")
+    similar = fuzzy_groups(single.select("label", "key", "norm"), threshold).select("label", "key", F.concat(F.lit("\x00"), "leader").alias("norm"))
+    many = similar.groupBy("label", "norm").agg(F.count("*").alias("n")).where("n > 1").select("label", "norm")
+    groups = exact.select("label", "norm", "key").unionByName(similar.join(many, ["label", "norm"], "left_semi").select("label", "norm", "key"))
+    plan = durable(canonical_pick(groups, degree).where("key <> canon").select("label", "key", "canon"), "canonical")
+    names = plan.join(nodes.select("label", "key", "name"), ["label", "key"]).groupBy("label", F.col("canon").alias("key")).agg(F.array_sort(F.collect_set("name")).alias("aliases"))
+    kept = nodes.join(plan, ["label", "key"], "left_anti").join(names, ["label", "key"], "left")
+    return plan, kept, repoint(edges, plan)
+
+
+def integrity_report(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: sizes, and counts and shares of orphans, duplicate relations, lacking properties, unknown types, lacking provenance and fragmented names.
+
+    Shares of empty wholes are 0. All relations that repeat a relation between equal names count once for each such pair.
+    """
+    share = lambda part, whole: F.round(T.ratio(F.col(part), F.col(whole)), 6)
+    one = nodes.agg(F.count("*").alias("total_nodes"), F.count_if(F.col("source_text").isNull()).alias("missing_provenance"))
+    parts = [
+        edges.agg(F.count("*").alias("total_relations")),
+        orphans(nodes, edges).agg(F.count("*").alias("orphan_nodes")),
+        duplicate_relations(edges, nodes).agg(F.count("*").alias("duplicate_relations")),
+        missing_properties(nodes).agg(F.count("*").alias("schema_violations")),
+        invalid_predicates(edges).agg(F.count("*").alias("predicates"), F.count_if(~F.col("valid")).alias("invalid_predicates")),
+        fragmentation(nodes).agg(F.count("*").alias("fragmented_entities")),
+    ]
+    for part in parts:
+        one = one.crossJoin(part)  # one row each
+    return one.withColumns({
+        "orphan_ratio": share("orphan_nodes", "total_nodes"),
+        "duplicate_ratio": share("duplicate_relations", "total_relations"),
+        "invalid_predicate_ratio": share("invalid_predicates", "predicates"),
+        "missing_provenance_ratio": share("missing_provenance", "total_nodes"),
+    }).drop("predicates")
 
 
 def subgraph(spark, nodes: DataFrame, edges: DataFrame, query: str, **parameters) -> DataFrame:

@@ -2,30 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import evaluation, extraction, files, graph, prompts, retrieval
-from ..schema import ENTITIES, RELATIONS, TYPE_ALIASES
+from ..operators._durable import durable
+from ..schema import ENTITIES, TYPE_ALIASES
 from . import tables as D
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def register(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(fn: Query) -> Query:
-        QUERIES[fn.__name__] = fn
-        if sql:
-            ORACLES[fn.__name__] = sql
-        return fn
-
-    return add
-
+from .registry import register
 
 # ---- retrieval ------------------------------------------------------------------------------------------
 
@@ -53,6 +37,26 @@ _EVAL = lambda ranked: f"""evaluated AS (SELECT item_id AS query_id, coalesce(1.
   FROM benchmark LEFT JOIN (SELECT query_id, min(rank) AS first FROM {ranked} SEMI JOIN relevant USING (query_id, id) GROUP BY query_id) h ON h.query_id = item_id)"""
 
 
+_ASK_NATIONS = f"""asked AS (SELECT n_nationkey AS query_id, w[i] AS kw, min(i) - 1 AS pos FROM (SELECT n_nationkey, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT n_nationkey, {_TOKENS("'orders of ' || n_name")} AS w FROM nation)) WHERE length(w[i]) > 2 GROUP BY n_nationkey, w[i]),
+hit AS (SELECT kw, label, key, name, row_number() OVER (PARTITION BY kw ORDER BY name, label, key) AS n FROM (SELECT DISTINCT kw FROM asked) JOIN nodes ON name <> '' AND contains(lower(name), kw)),
+cand AS (SELECT query_id, label, key, name, min(pos) AS pos FROM asked JOIN hit USING (kw) WHERE n <= 5 GROUP BY ALL),
+entity AS (SELECT query_id, CAST(ord AS INTEGER) AS ord, label, key, name FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos, name, label, key) AS ord FROM cand) WHERE ord <= 5)"""
+_TWO_HOP = """sym AS (SELECT src_label || src_key || rel_type || dst_key AS e, src_label AS al, src_key AS ak, dst_label AS bl, dst_key AS bk FROM edges UNION ALL SELECT src_label || src_key || rel_type || dst_key, dst_label, dst_key, src_label, src_key FROM edges),
+paths AS (SELECT s.label, s.key, x.bk AS doc, 1 AS hops, count(*) AS n FROM from_nodes s JOIN sym x ON x.al = s.label AND x.ak = s.key WHERE x.bl = 'Document' GROUP BY ALL
+  UNION ALL SELECT s.label, s.key, y.bk, 2, count(*) FROM from_nodes s JOIN sym x ON x.al = s.label AND x.ak = s.key JOIN sym y ON y.al = x.bl AND y.ak = x.bk AND y.e <> x.e WHERE y.bl = 'Document' GROUP BY ALL)"""
+_KEPT = """kept AS (SELECT label, key, doc, hops, greatest(least(n, 30 - before), 0) AS n FROM (SELECT *, coalesce(sum(n) OVER (PARTITION BY label, key ORDER BY hops, doc ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM paths)),
+scored AS (SELECT query_id, doc AS id, round(sum(n / ord / hops), 6) AS score FROM entity JOIN kept USING (label, key) WHERE n > 0 GROUP BY query_id, doc),
+reached AS (SELECT query_id, CAST(rank AS INTEGER) AS rank, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored) WHERE rank <= 10)"""
+_GRAPH = (
+    _ASK_NATIONS.replace("asked", "g_asked").replace("n_nationkey", "item_id").replace("'orders of ' || n_name", "text").replace("FROM nation", "FROM benchmark")
+    + f", from_nodes AS (SELECT DISTINCT label, key FROM entity), {_TWO_HOP}, {_KEPT}, graph AS (SELECT query_id, rank, CAST(substr(id, 2) AS BIGINT) AS id, score FROM reached)"
+)
+_FUSED3 = (
+    _FUSED.replace("fused AS", "fused3 AS").replace("hybrid AS (SELECT * FROM fused ", "hybrid_graph AS (SELECT * FROM fused3 ")
+    .replace("FROM vector)", "FROM vector UNION ALL SELECT query_id, id, rank, 2, 'graph' FROM graph)")
+)
+
+
 @register(f"WITH {_POSTINGS} SELECT term, df, round(idf, 9) AS idf FROM terms")
 def bm25_term_stats(spark, sf):
     docs = D.chunks(spark, sf)
@@ -91,20 +95,8 @@ def hybrid_topk(spark, sf):
 
 
 def _relevant(spark, sf):
-    """Documents that hold a passage: whole passages are sought in one pass over the texts.
-
-    Passages are a fixed query set; the automaton over them is built once a task and is bounded by the passages.
-    """
-    import pandas as pd
-
-    passages = [(r.item_id, r.text) for r in D.table(spark, sf, "benchmark").where("text is not null and text <> ''").collect()]
-
-    def seek(batches):
-        for pdf in batches:
-            hits = [(i, d) for d, t in zip(pdf["doc_id"], pdf["text"], strict=True) for i, p in passages if p in t]
-            yield pd.DataFrame(hits, columns=["query_id", "id"]).astype("int64")
-
-    return D.table(spark, sf, "documents").select("doc_id", "text").where("text is not null").mapInPandas(seek, "query_id long, id long")
+    """Documents that hold a whole passage."""
+    return durable(retrieval.containing(D.chunks(spark, sf), D.questions(spark, sf)), "relevant")
 
 
 @register(f"WITH {_BM25}, {_RELEVANT}, {_EVAL('bm25')} SELECT query_id, round(mrr, 6) AS mrr, recall_1, recall_3, recall_5, recall_10 FROM evaluated")
@@ -116,22 +108,64 @@ def retrieval_eval(spark, sf):
 _MEANS = "count(*) AS n_queries, round(avg(mrr), 6) AS mrr, round(avg(recall_1), 6) AS recall_1, round(avg(recall_3), 6) AS recall_3, round(avg(recall_5), 6) AS recall_5, round(avg(recall_10), 6) AS recall_10"
 
 
+def _graph_list(spark, sf):
+    """Orders near the entities that a passage names; their numbers stand in for documents."""
+    found = graph.graph_retrieve(D.questions(spark, sf), D.nodes(spark, sf), D.edges(spark, sf))
+    return found.withColumn("id", F.substring("id", 2, 20).cast("long"))
+
+
+@register(f"WITH {D.NODES_SQL}, {D.EDGES_SQL}, {_GRAPH} SELECT query_id, rank, id, score FROM graph")
+def graph_topk(spark, sf):
+    return _graph_list(spark, sf)
+
+
+@register(f"WITH {_BM25}, {_VECTOR}, {D.NODES_SQL}, {D.EDGES_SQL}, {_GRAPH}, {_FUSED3} SELECT * FROM hybrid_graph")
+def hybrid_graph_topk(spark, sf):
+    return retrieval.hybrid({"bm25": lambda: bm25_topk(spark, sf), "vector": lambda: vector_topk(spark, sf), "graph": lambda: _graph_list(spark, sf)})
+
+
+_TIERS = {"bm25": "bm25", "vector": "vector", "hybrid_no_graph": "hybrid", "hybrid_graph": "hybrid_graph"}
+
+
 @register(
-    f"WITH {_BM25}, {_VECTOR}, {_FUSED}, {_RELEVANT}, "
-    + ", ".join(_EVAL(t).replace("evaluated AS", f"e_{t} AS", 1) for t in ("bm25", "vector", "hybrid"))
+    f"WITH {_BM25}, {_VECTOR}, {_FUSED}, {D.NODES_SQL}, {D.EDGES_SQL}, {_GRAPH}, {_FUSED3}, {_RELEVANT}, "
+    + ", ".join(_EVAL(t).replace("evaluated AS", f"e_{t} AS", 1) for t in _TIERS.values())
     + " "
-    + " UNION ALL ".join(f"SELECT '{t}' AS tier, {_MEANS} FROM e_{t}" for t in ("bm25", "vector", "hybrid"))
+    + " UNION ALL ".join(f"SELECT '{name}' AS tier, {_MEANS} FROM e_{t}" for name, t in _TIERS.items())
 )
 def tier_ablation(spark, sf):
+    """Each list is made once; the fused tiers take the same lists."""
+    lists = {"bm25": bm25_topk, "vector": vector_topk, "graph": _graph_list}
+    lists = {name: durable(make(spark, sf), f"list-{name}") for name, make in lists.items()}
+    some = {name: lists[name] for name in ("bm25", "vector")}
+    tiers = {**some, "hybrid_no_graph": retrieval.fuse(some), "hybrid_graph": retrieval.fuse(lists)}
     relevant, asked = _relevant(spark, sf), D.questions(spark, sf)
-    tiers = {"bm25": bm25_topk, "vector": vector_topk, "hybrid": hybrid_topk}
     out = None
     for name, tier in tiers.items():
-        r = retrieval.report(retrieval.evaluate(tier(spark, sf), relevant, asked)).select(F.lit(name).alias("tier"), "*")
+        r = retrieval.report(retrieval.evaluate(tier, relevant, asked)).select(F.lit(name).alias("tier"), "*")
         out = r if out is None else out.unionByName(r)
     return out
 
 
+@register(f"""WITH {_BM25}, {_RELEVANT}, {_EVAL('bm25')}, t AS (SELECT query_id, mrr, CASE WHEN query_id % 3 = 0 THEN 'unspecified' WHEN query_id % 3 = 1 THEN 'factual' ELSE 'list' END AS category, (query_id % 17) / 4.0 AS ms FROM evaluated)
+SELECT category, count(*) AS n_queries, round(avg(mrr), 4) AS mrr, round(avg(ms), 2) AS mean_latency_ms FROM t GROUP BY category""")
+def retrieval_eval_by_category(spark, sf):
+    i = F.col("query_id")
+    asked = D.questions(spark, sf).select("query_id", F.when(i % 3 == 1, "factual").when(i % 3 == 2, "list").alias("category"))
+    took = asked.select("query_id", ((i % 17) / 4.0).alias("latency_ms"))
+    return retrieval.report_by_category(retrieval.evaluate(bm25_topk(spark, sf), _relevant(spark, sf), D.questions(spark, sf)), asked, took)
+
+
+@register(f"""WITH {_BM25}, {_RELEVANT}, {_EVAL('bm25')}, w AS (SELECT DISTINCT r.query_id, d.source FROM relevant r JOIN documents d ON d.doc_id = r.id)
+SELECT source, count(*) AS n_queries, round(avg(mrr), 6) AS mrr FROM w JOIN evaluated USING (query_id) GROUP BY source""")
+def retrieval_eval_by_source(spark, sf):
+    """By the sources of the relevant documents."""
+    relevant = _relevant(spark, sf)
+    of = relevant.join(D.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "source"), "id").select("query_id", "source").distinct()
+    found = retrieval.evaluate(bm25_topk(spark, sf), relevant, D.questions(spark, sf))
+    return of.join(found, "query_id").groupBy("source").agg(F.count("*").alias("n_queries"), F.round(F.avg("mrr"), 6).alias("mrr"))
+
+
 @register(f"WITH {_BM25}, {_VECTOR}, {_FUSED} SELECT query_id, source, count(*) AS n FROM hybrid GROUP BY query_id, source")
 def source_breakdown(spark, sf):
     return hybrid_topk(spark, sf).groupBy("query_id", "source").agg(F.count("*").alias("n"))
@@ -298,12 +332,6 @@ def kg_neighbors(spark, sf):
     return graph.neighbors(D.seeds(spark, sf), D.edges(spark, sf))
 
 
-_ASK_NATIONS = f"""asked AS (SELECT n_nationkey AS query_id, w[i] AS kw, min(i) - 1 AS pos FROM (SELECT n_nationkey, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT n_nationkey, {_TOKENS("'orders of ' || n_name")} AS w FROM nation)) WHERE length(w[i]) > 2 GROUP BY n_nationkey, w[i]),
-hit AS (SELECT kw, label, key, name, row_number() OVER (PARTITION BY kw ORDER BY name, label, key) AS n FROM (SELECT DISTINCT kw FROM asked) JOIN nodes ON name <> '' AND contains(lower(name), kw)),
-cand AS (SELECT query_id, label, key, name, min(pos) AS pos FROM asked JOIN hit USING (kw) WHERE n <= 5 GROUP BY ALL),
-entity AS (SELECT query_id, CAST(ord AS INTEGER) AS ord, label, key, name FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos, name, label, key) AS ord FROM cand) WHERE ord <= 5)"""
-
-
 def _nation_questions(spark, sf):
     return D.table(spark, sf, "nation").select(F.col("n_nationkey").alias("query_id"), F.concat(F.lit("orders of "), F.col("n_name")).alias("text"))
 
@@ -313,21 +341,13 @@ def kg_keyword_entities(spark, sf):
     return graph.keyword_entities(_nation_questions(spark, sf), D.nodes(spark, sf))
 
 
-_TWO_HOP = """sym AS (SELECT src_label || src_key || rel_type || dst_key AS e, src_label AS al, src_key AS ak, dst_label AS bl, dst_key AS bk FROM edges UNION ALL SELECT src_label || src_key || rel_type || dst_key, dst_label, dst_key, src_label, src_key FROM edges),
-paths AS (SELECT s.label, s.key, x.bk AS doc, 1 AS hops, count(*) AS n FROM from_nodes s JOIN sym x ON x.al = s.label AND x.ak = s.key WHERE x.bl = 'Document' GROUP BY ALL
-  UNION ALL SELECT s.label, s.key, y.bk, 2, count(*) FROM from_nodes s JOIN sym x ON x.al = s.label AND x.ak = s.key JOIN sym y ON y.al = x.bl AND y.ak = x.bk AND y.e <> x.e WHERE y.bl = 'Document' GROUP BY ALL)"""
-
-
 @register(f"WITH {_E}, from_nodes AS (SELECT 'Location' AS label, 'n' || n_nationkey AS key FROM nation), {_TWO_HOP} SELECT * FROM paths")
 def kg_two_hop(spark, sf):
     seeds = D.table(spark, sf, "nation").select(F.lit("Location").alias("label"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("key"))
     return graph.paths_to_documents(seeds, D.edges(spark, sf))
 
 
-@register(f"""WITH {_N}, {_E}, {_ASK_NATIONS}, from_nodes AS (SELECT DISTINCT label, key FROM entity), {_TWO_HOP},
-kept AS (SELECT label, key, doc, hops, greatest(least(n, 30 - before), 0) AS n FROM (SELECT *, coalesce(sum(n) OVER (PARTITION BY label, key ORDER BY hops, doc ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM paths)),
-scored AS (SELECT query_id, doc AS id, round(sum(n / ord / hops), 6) AS score FROM entity JOIN kept USING (label, key) WHERE n > 0 GROUP BY query_id, doc)
-SELECT query_id, CAST(rank AS INTEGER) AS rank, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored) WHERE rank <= 10""")
+@register(f"WITH {_N}, {_E}, {_ASK_NATIONS}, from_nodes AS (SELECT DISTINCT label, key FROM entity), {_TWO_HOP}, {_KEPT} SELECT * FROM reached")
 def graph_retrieve(spark, sf):
     return graph.graph_retrieve(_nation_questions(spark, sf), D.nodes(spark, sf), D.edges(spark, sf))
 
@@ -500,6 +520,3 @@ def context_format(spark, sf):
     docs = D.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
     found = hybrid_topk(spark, sf).join(docs, "id").select("query_id", "rank", "source", F.col("id").cast("string").alias("document_id"), "text")
     return prompts.format_context(found)
-
-
-VALID_TYPES = [*ENTITIES, *RELATIONS]

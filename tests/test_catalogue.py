@@ -1,7 +1,8 @@
 import pytest
 from compare import DATA, connect, rows
 
-from quire.plans.catalogue import ORACLES, QUERIES
+from quire.plans import catalogue, knowledge, stores  # noqa: F401
+from quire.plans.registry import ORACLES, QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
