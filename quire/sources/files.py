@@ -229,7 +229,8 @@ def read_config(text: str, env: dict[str, str] | None = None) -> dict:
 
     Values are numbers, true, false, null or text, which may be quoted; comments start with a hash after white space.
     """
-    lines = [(len(line) - len(line.lstrip()), line.strip()) for raw in expand_env(text, env).splitlines() if (line := re.sub(r"(^|\s)#.*$", "", raw).rstrip()).strip()]
+    comment = re.compile(r"""^((?:[^"'#]|"[^"]*"|'[^']*'|(?<=\S)#|["'])*?)(?:(?:^|\s)#.*)?$""")
+    lines = [(len(line) - len(line.lstrip()), line.strip()) for raw in expand_env(text, env).splitlines() if (line := comment.match(raw)[1].rstrip()).strip()]
 
     def value(v: str):
         if len(v) > 1 and v[0] == v[-1] and v[0] in "\"'":
@@ -249,6 +250,8 @@ def read_config(text: str, env: dict[str, str] | None = None) -> dict:
         while at < len(lines) and lines[at][0] == depth:
             content = lines[at][1]
             if isinstance(out, list):
+                if not content.startswith("- "):
+                    break
                 out.append(value(content[2:].strip()))
                 at += 1
                 continue
