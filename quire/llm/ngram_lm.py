@@ -24,7 +24,7 @@ from .decontaminate import words_of
 
 ALPHA = 0.4
 ORDER = 2
-BATCH_CHARS = 12_000_000
+BATCH_CHARS = 8_000_000
 """Of a batch at most, on average; small tables make ``MIN_BATCHES`` smaller ones, so that all tasks have work."""
 MIN_BATCHES = 64
 MIN_BATCH_CHARS = 1_000_000
@@ -44,14 +44,15 @@ class Batch:
             words = words_of(text)
             for w in set(words).difference(vocabulary):
                 vocabulary[w] = len(vocabulary)
-            numbers.append(np.fromiter(map(vocabulary.__getitem__, words), np.int64, len(words)))
+            numbers.append(np.fromiter(map(vocabulary.__getitem__, words), np.int32, len(words)))
             sizes.append(len(words))
         h = xxhash.xxh3_64_intdigest
         hashes = np.fromiter(map(h, vocabulary), np.uint64, len(vocabulary))
-        ids = np.concatenate(numbers) if numbers else np.empty(0, np.int64)
+        ids = np.concatenate(numbers) if numbers else np.empty(0, np.int32)
+        del numbers
         self.sizes = np.array(sizes, np.int64)
-        self.doc = np.repeat(np.arange(len(sizes)), self.sizes)
-        self.place = np.arange(len(ids)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        self.doc = np.repeat(np.arange(len(sizes), dtype=np.int32), self.sizes)
+        self.place = (np.arange(len(ids)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)).astype(np.int32)
         self.distinct: list[np.ndarray] = []
         self.counts: list[np.ndarray] = []
         self.inverse: list[np.ndarray] = []  # for words from place n-1 of their document
@@ -65,9 +66,9 @@ class Batch:
                 gram ^= gram >> np.uint64(29)
             at = np.flatnonzero(self.place >= n - 1)
             found, inverse, counts = np.unique(gram[at], return_inverse=True, return_counts=True)
-            self.where.append(at)
+            self.where.append(at.astype(np.int32))
             self.distinct.append(found)
-            self.inverse.append(inverse)
+            self.inverse.append(inverse.astype(np.int32))
             self.counts.append(counts)
 
     def entries(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,7 +79,7 @@ class Batch:
 
     def own_counts(self, n: int) -> np.ndarray:
         """For each word with an n-gram: how often its document holds that n-gram."""
-        key = self.doc[self.where[n - 1]] * max(1, len(self.distinct[n - 1])) + self.inverse[n - 1]
+        key = self.doc[self.where[n - 1]] * np.int64(max(1, len(self.distinct[n - 1]))) + self.inverse[n - 1]
         _, inverse, counts = np.unique(key, return_inverse=True, return_counts=True)
         return counts[inverse]
 
