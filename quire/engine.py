@@ -45,7 +45,9 @@ class Engine:
         if "vectors" in self.tables and self.embedded is not None:
             lists["vector"] = lambda: self._vector_list(self.embedded(queries))
         if self.nodes is not None and self.edges is not None:
-            lists["graph"] = lambda: graph.graph_retrieve(queries, self.nodes, self.edges, self.list_k, self.hops).withColumn("id", F.concat(F.lit("graph_"), "id"))
+            lists["graph"] = lambda: graph.graph_retrieve(
+                queries, self.nodes, self.edges, self.list_k, self.hops
+            ).withColumn("id", F.concat(F.lit("graph_"), "id"))
         return retrieval.hybrid(lists, self.k, self.rrf_k)
 
     def _vector_list(self, queries: DataFrame) -> DataFrame:
@@ -53,14 +55,20 @@ class Engine:
         numbered = self.tables["vectors"].withColumn("n", F.xxhash64("id"))
         asked = queries.withColumn("q", F.xxhash64(F.lit("query"), F.col("query_id").cast("string")))
         found = retrieval.cosine_top_k(numbered.select(F.col("n").alias("id"), "v"), asked.select(F.col("q").alias("query_id"), "v"), self.list_k)
-        named = found.join(asked.select(F.col("q"), F.col("query_id").alias("of")), F.col("query_id") == F.col("q")).join(numbered.select("n", F.col("id").alias("chunk")), F.col("id") == F.col("n"))
+        named = found.join(
+            asked.select(F.col("q"), F.col("query_id").alias("of")), F.col("query_id") == F.col("q")
+        ).join(numbered.select("n", F.col("id").alias("chunk")), F.col("id") == F.col("n"))
         return named.select(F.col("of").alias("query_id"), "rank", F.col("chunk").alias("id"), "score")
 
     def prompts(self, queries: DataFrame, history: DataFrame | None = None) -> DataFrame:
         """(query_id, prompt): the context that is found, the last turns of ``history`` (conv_id = query_id, turn, role, text) and the question."""
         found = self.retrieve(queries)
         texts = self.tables["chunks"].select(F.col("chunk_id").alias("id"), "document_id", "text")
-        context = prompts.format_context(found.join(texts, "id", "left").select("query_id", "rank", "source", F.coalesce("document_id", "id").alias("document_id"), F.coalesce("text", "id").alias("text")))
+        context = prompts.format_context(
+            found.join(texts, "id", "left").select(
+                "query_id", "rank", "source", F.coalesce("document_id", "id").alias("document_id"), F.coalesce("text", "id").alias("text")
+            )
+        )
         rows = queries.join(context, "query_id", "left")
         if history is None:
             rows = rows.withColumn("history", F.lit(None).cast("string"))
@@ -83,7 +91,9 @@ class Engine:
         yield from stream_answer(prompt, self.generator)
 
 
-def build_graph(docs: DataFrame, extractor, done: DataFrame | None = None, share: tuple[int, int] | None = None, metadata: DataFrame | None = None) -> dict[str, DataFrame]:
+def build_graph(
+    docs: DataFrame, extractor, done: DataFrame | None = None, share: tuple[int, int] | None = None, metadata: DataFrame | None = None
+) -> dict[str, DataFrame]:
     """nodes, edges and statistics of a graph from pages (extraction, text, file) by an extractor of (entities, relations).
 
     Files among ``done`` (file_name, state) that are completed or skipped are left out, failed ones run again; ``share`` is
@@ -141,9 +151,15 @@ def process_files(files: DataFrame, parse, method: str = "hybrid", recognise=Non
     each = small.select(F.col("path").alias("document_id"), "content").join(native, "document_id", "left").join(failed, "document_id", "left")
     each = each.withColumn("skipped", extraction.file_guard(F.lit(0), F.col("total_pages")))
     each = each.withColumn("plan", F.when(F.col("skipped").isNull(), extraction.batch_plan(F.lit(method), F.col("overall_coverage"), threshold)))
-    read = S.recognise(each.withColumn("image", F.when(F.col("plan") == "run_ocr", F.col("content"))), recognise) if recognise else each.withColumns({"ocr_text": F.lit(None).cast("string"), "ocr_error": F.lit(None).cast("string")})
+    read = S.recognise(
+        each.withColumn("image", F.when(F.col("plan") == "run_ocr", F.col("content"))), recognise
+    ) if recognise else each.withColumns({"ocr_text": F.lit(None).cast("string"), "ocr_error": F.lit(None).cast("string")})
     used = extraction.route(F.col("error").isNull() & F.col("text").isNotNull(), F.col("overall_coverage"), F.col("ocr_text").isNotNull(), threshold)
-    done = read.select("document_id", "total_pages", "overall_coverage", "skipped", "plan", F.when(F.col("skipped").isNull(), used).alias("method"), F.when(used == "ocr", F.col("ocr_text")).otherwise(F.col("text")).alias("text"), F.coalesce("error", F.when(F.col("plan") == "run_ocr", F.col("ocr_error"))).alias("error"))
+    done = read.select(
+        "document_id", "total_pages", "overall_coverage", "skipped", "plan", F.when(F.col("skipped").isNull(), used).alias("method"),
+        F.when(used == "ocr", F.col("ocr_text")).otherwise(F.col("text")).alias("text"),
+        F.coalesce("error", F.when(F.col("plan") == "run_ocr", F.col("ocr_error"))).alias("error")
+    )
     large = sized.where("skipped is not null").select(F.col("path").alias("document_id"), "skipped")
     return done.unionByName(large, allowMissingColumns=True)
 

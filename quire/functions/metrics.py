@@ -79,4 +79,8 @@ def all_metrics(predicted, truth):
     """Struct of the distances and of both lengths."""
     from .text import word_count
 
-    return F.struct(cer(predicted, truth).alias("cer"), wer(predicted, truth).alias("wer"), similarity(predicted, truth).alias("similarity"), F.length(predicted).alias("predicted_length"), F.length(truth).alias("truth_length"), word_count(predicted).alias("predicted_words"), word_count(truth).alias("truth_words"))
+    return F.struct(
+        cer(predicted, truth).alias("cer"), wer(predicted, truth).alias("wer"), similarity(predicted, truth).alias("similarity"),
+        F.length(predicted).alias("predicted_length"), F.length(truth).alias("truth_length"),
+        word_count(predicted).alias("predicted_words"), word_count(truth).alias("truth_words")
+    )

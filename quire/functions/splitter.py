@@ -60,9 +60,16 @@ def chunk_pages(pages: DataFrame, size: int = SIZE, overlap: int = OVERLAP, leas
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             pdf = pdf.assign(chunk=[list(enumerate(split_text(t, size, overlap))) for t in pdf["text"]]).explode("chunk").dropna(subset="chunk")
-            yield pd.DataFrame({"document_id": pdf["document_id"], "page_number": pdf["page_number"], "chunk_index": [c[0] for c in pdf["chunk"]], "text": [c[1] for c in pdf["chunk"]]})
+            yield pd.DataFrame(
+                {
+                    "document_id": pdf["document_id"], "page_number": pdf["page_number"], "chunk_index": [c[0] for c in pdf["chunk"]],
+                    "text": [c[1] for c in pdf["chunk"]]
+                }
+            )
 
     long_enough = F.length(T.strip("text")) >= least
-    rows = pages.where(long_enough).select(F.col("document_id").cast("string").alias("document_id"), F.col("page_number").cast("int").alias("page_number"), "text")
+    rows = pages.where(long_enough).select(
+        F.col("document_id").cast("string").alias("document_id"), F.col("page_number").cast("int").alias("page_number"), "text"
+    )
     chunks = rows.mapInPandas(split, "document_id string, page_number int, chunk_index int, text string").where(long_enough)
     return chunks.select(T.chunk_id("document_id", "page_number", "chunk_index").alias("chunk_id"), "text", "document_id", "page_number", "chunk_index")

@@ -60,7 +60,10 @@ def is_garbage(text: Column | str, top_share: float = 0.4, at_least: int = 200)
 def pick_for_index(native: Column | str, ocr: Column | str, prefer: str = "longer") -> Column:
     """Native or recognised text of a page: garbage gives way, then the preference decides."""
     a, b = F.coalesce(col(native), F.lit("")), F.coalesce(col(ocr), F.lit(""))
-    choice = {"native": F.when(a != "", a).otherwise(b), "ocr": F.when(b != "", b).otherwise(a), "longer": F.when(F.length(a) >= F.length(b), a).otherwise(b)}[prefer]
+    choice = {
+        "native": F.when(a != "", a).otherwise(b), "ocr": F.when(b != "", b).otherwise(a),
+        "longer": F.when(F.length(a) >= F.length(b), a).otherwise(b)
+    }[prefer]
     return F.when(is_garbage(a), b).otherwise(choice)
 
 
@@ -95,7 +98,9 @@ def path_type(path: Column | str) -> Column:
     parts = F.split(col(path), "/")
     parent = F.when(F.size(parts) > 1, F.element_at(parts, -2)).otherwise("")
     name = F.element_at(parts, -1)
-    return F.when((parent != "") & ~parent.isin("batch2", "batch3", "batch4"), parent).when(F.contains(name, F.lit("-")), F.element_at(F.split(name, "-"), 1)).otherwise("unknown")
+    return F.when(
+        (parent != "") & ~parent.isin("batch2", "batch3", "batch4"), parent
+    ).when(F.contains(name, F.lit("-")), F.element_at(F.split(name, "-"), 1)).otherwise("unknown")
 
 
 def batch_folder(path: Column | str) -> Column:

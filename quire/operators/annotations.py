@@ -35,7 +35,10 @@ def save_texts(store: DataFrame, rows: DataFrame) -> DataFrame:
 def training_export(store: DataFrame) -> DataFrame:
     """Gold-A rows under the names of the training format, with their rates nested."""
     nested = F.struct("cer_native", "cer_ocr", "wer_native", "wer_ocr").alias("metrics")
-    return store.select("pdf_path", "page_number", F.col("edited_text").alias("ground_truth"), F.col("native_text").alias("native_raw"), F.col("ocr_text").alias("ocr_raw"), "native_success", "ocr_success", "ocr_error", nested, "selected_method")
+    return store.select(
+        "pdf_path", "page_number", F.col("edited_text").alias("ground_truth"), F.col("native_text").alias("native_raw"),
+        F.col("ocr_text").alias("ocr_raw"), "native_success", "ocr_success", "ocr_error", nested, "selected_method"
+    )
 
 
 def _scores(items: str, missing: str, partial: bool) -> dict[str, Column]:
@@ -59,7 +62,9 @@ def with_judgment_metrics(rows: DataFrame) -> DataFrame:
     out |= {f"relation_{k}": F.round(v, 4) for k, v in _scores("relation_annotations", "missing_relations", False).items()}
     n = F.size("entity_annotations") + F.size("relation_annotations")
     flagged = lambda c: F.size(F.filter(c, lambda x: F.coalesce(x["is_hallucinated"], F.lit(False))))
-    valid = F.size(F.filter("entity_annotations", lambda x: schema_valid(x["entity_type"]))) + F.size(F.filter("relation_annotations", lambda x: schema_valid(x["relation_type"])))
+    valid = F.size(F.filter("entity_annotations", lambda x: schema_valid(x["entity_type"]))) + F.size(
+        F.filter("relation_annotations", lambda x: schema_valid(x["relation_type"]))
+    )
     out["hallucination_rate"] = F.round(T.ratio(flagged("entity_annotations") + flagged("relation_annotations"), n), 4)
     out["schema_validity_rate"] = F.round(T.ratio(valid, n, 1.0), 4)
     return rows.withColumns(out)

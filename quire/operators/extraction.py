@@ -27,7 +27,9 @@ def route(native_ok: Column, coverage: Column, ocr_ok: Column, threshold: float
 
 def batch_plan(method: Column, coverage: Column, threshold: float = NATIVE_THRESHOLD) -> Column:
     """What a batch does with a document: run recognition, or skip it with a marker."""
-    return F.when(method == "native", "native_only").when((method == "hybrid") & (F.coalesce(coverage, F.lit(0.0)) >= threshold), "skipped_due_to_high_native_coverage").otherwise("run_ocr")
+    return F.when(method == "native", "native_only").when(
+        (method == "hybrid") & (F.coalesce(coverage, F.lit(0.0)) >= threshold), "skipped_due_to_high_native_coverage"
+    ).otherwise("run_ocr")
 
 
 def file_guard(size_bytes: Column, pages: Column, max_mb: float = MAX_MB, max_pages: int = MAX_PAGES) -> Column:
@@ -39,7 +41,11 @@ def document_summary(pages: DataFrame) -> DataFrame:
     """Per document_id of pages (page_number, native_ok, ocr_ok, coverage): rates, mean and summed coverage, failed pages."""
     ok = lambda c: F.concat(F.count_if(F.col(c)).cast("string"), F.lit("/"), F.count("*").cast("string"))
     failed = lambda c: F.array_sort(F.collect_list(F.when(~F.coalesce(F.col(c), F.lit(False)), F.col("page_number"))))
-    return pages.groupBy("document_id").agg(ok("native_ok").alias("native_success_rate"), ok("ocr_ok").alias("ocr_success_rate"), F.avg("coverage").alias("average_native_coverage"), F.sum("coverage").alias("summed_native_coverage"), failed("native_ok").alias("native_failed_pages"), failed("ocr_ok").alias("ocr_failed_pages"))
+    return pages.groupBy("document_id").agg(
+        ok("native_ok").alias("native_success_rate"), ok("ocr_ok").alias("ocr_success_rate"),
+        F.avg("coverage").alias("average_native_coverage"), F.sum("coverage").alias("summed_native_coverage"),
+        failed("native_ok").alias("native_failed_pages"), failed("ocr_ok").alias("ocr_failed_pages")
+    )
 
 
 def join_pages(pages: DataFrame) -> DataFrame:
@@ -53,7 +59,12 @@ def rule_entities(docs: DataFrame) -> DataFrame:
 
     Values are kept where first seen; all reference kinds share what they have seen, so an earlier kind wins.
     """
-    found = [F.transform(F.regexp_extract_all(F.col("text"), F.lit(EMAIL), F.lit(0)), lambda m: F.struct(F.lit(0).alias("pat"), F.lit("Person").alias("type"), F.lit("email").alias("kind"), m.alias("value"), m.alias("source_text")))]
+    found = [
+        F.transform(
+            F.regexp_extract_all(F.col("text"), F.lit(EMAIL), F.lit(0)),
+            lambda m: F.struct(F.lit(0).alias("pat"), F.lit("Person").alias("type"), F.lit("email").alias("kind"), m.alias("value"), m.alias("source_text"))
+        )
+    ]
     for i, (kind, pattern) in enumerate(REFERENCES.items(), 1):
         values, whole = (F.regexp_extract_all(F.col("text"), F.lit(pattern), F.lit(g)) for g in (1, 0))
         found.append(F.zip_with(values, whole, _reference(i, kind)))
@@ -63,7 +74,10 @@ def rule_entities(docs: DataFrame) -> DataFrame:
     order = Window.partitionBy("doc_id").orderBy("pos")
     name = F.when(F.col("pat") == 0, F.element_at(F.split("value", "@"), 1)).otherwise(F.col("value"))
     parts = kept.select("doc_id", F.row_number().over(order).alias("ord"), "type", name.alias("name"), "kind", "source_text", F.lit(0.6).alias("confidence"))
-    own = docs.select("doc_id", F.lit(0).alias("ord"), F.lit("Document").alias("type"), F.col("doc_id").cast("string").alias("name"), F.lit("document").alias("kind"), F.lit("").alias("source_text"), F.lit(1.0).alias("confidence"))
+    own = docs.select(
+        "doc_id", F.lit(0).alias("ord"), F.lit("Document").alias("type"), F.col("doc_id").cast("string").alias("name"),
+        F.lit("document").alias("kind"), F.lit("").alias("source_text"), F.lit(1.0).alias("confidence")
+    )
     return own.unionByName(parts)
 
 
@@ -74,7 +88,9 @@ def _reference(i: int, kind: str):
 def rule_relations(entities: DataFrame) -> DataFrame:
     """(doc_id, ord, source, rel_type, target): each found entity from its document."""
     rel = F.when(F.col("type") == "Person", "MENTIONS_PERSON").otherwise("HAS_REFERENCE")
-    return entities.where("ord > 0").select("doc_id", "ord", F.col("doc_id").cast("string").alias("source"), rel.alias("rel_type"), F.col("name").alias("target"))
+    return entities.where("ord > 0").select(
+        "doc_id", "ord", F.col("doc_id").cast("string").alias("source"), rel.alias("rel_type"), F.col("name").alias("target")
+    )
 
 
 def parse_answer(answer: Column | str, schema: str) -> Column:

@@ -74,6 +74,18 @@ def diverse_sample(files: DataFrame, strata: list[str], key: str, target: int =
     return sure.unionByName(drawn).select(key, *strata, "role")
 
 
+def unselected(files: DataFrame, selected: DataFrame, key: str) -> DataFrame:
+    """Files that a selection left out."""
+    return files.join(selected.select(key), key, "left_anti")
+
+
+def lookup(rows: DataFrame, order: list[str], **keys) -> DataFrame:
+    """The first row, by ``order``, whose columns have these values, or none."""
+    for name, value in keys.items():
+        rows = rows.where(F.col(name).eqNullSafe(F.lit(value)))
+    return rows.orderBy(*order).limit(1)
+
+
 def fixed_mix(files: DataFrame, shares: dict[str, float], stratum: str, key: str, target: int = 100, seed: int = 42) -> DataFrame:
     """(key, stratum): ``target`` files in fixed shares of the named strata, each share drawn by a hash of key and seed."""
     quota = F.lit(None).cast("int")

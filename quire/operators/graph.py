@@ -44,7 +44,9 @@ def entity_problem(name: Column | str, type_: Column | str) -> Column:
     """Why an entity is refused on import, or null: blank, a type with a blank, or a dotted type of lower-case start."""
     t = T.col(type_)
     blank = lambda c: F.coalesce(T.strip(c) == "", F.lit(True))
-    return F.when(blank(t), "blank type").when(blank(T.col(name)), "blank name").when(F.contains(t, F.lit(" ")), "blank in type").when(F.contains(t, F.lit(".")) & ~F.rlike(t, F.lit(r"^\p{Lu}")), "dotted type")
+    return F.when(blank(t), "blank type").when(blank(T.col(name)), "blank name").when(F.contains(t, F.lit(" ")), "blank in type").when(
+        F.contains(t, F.lit(".")) & ~F.rlike(t, F.lit(r"^\p{Lu}")), "dotted type"
+    )
 
 
 def node_key(type_: Column | str, name: Column | str, properties: Column | str) -> Column:
@@ -71,11 +73,19 @@ def merge_edges(rows: DataFrame, nodes: DataFrame, properties: list[str], order:
 
 def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(kind, name, n): nodes by label and relations by type."""
-    return nodes.groupBy(F.col("label").alias("name")).agg(F.count("*").alias("n")).select(F.lit("node").alias("kind"), "name", "n").unionByName(edges.groupBy(F.col("rel_type").alias("name")).agg(F.count("*").alias("n")).select(F.lit("relation").alias("kind"), "name", "n"))
+    count = lambda df, kind, by: df.groupBy(F.col(by).alias("name")).agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "name", "n")
+    return count(nodes, "node", "label").unionByName(count(edges, "relation", "rel_type"))
+
+
+def largest_first(counted: DataFrame) -> DataFrame:
+    """Statistics (kind, name, n) with the largest of each kind first."""
+    return counted.orderBy("kind", F.desc("n"), "name")
 
 
 def _ends(edges: DataFrame) -> DataFrame:
-    return edges.select(F.col("src_label").alias("label"), F.col("src_key").alias("key")).unionAll(edges.select(F.col("dst_label").alias("label"), F.col("dst_key").alias("key")))
+    return edges.select(F.col("src_label").alias("label"), F.col("src_key").alias("key")).unionAll(
+        edges.select(F.col("dst_label").alias("label"), F.col("dst_key").alias("key"))
+    )
 
 
 def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -85,7 +95,9 @@ def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(label, key, degree); a self-loop counts once."""
     loop = (F.col("src_label") == F.col("dst_label")) & (F.col("src_key") == F.col("dst_key"))
-    ends = edges.select(F.col("src_label").alias("label"), F.col("src_key").alias("key")).unionAll(edges.where(~loop).select(F.col("dst_label").alias("label"), F.col("dst_key").alias("key")))
+    ends = edges.select(F.col("src_label").alias("label"), F.col("src_key").alias("key")).unionAll(
+        edges.where(~loop).select(F.col("dst_label").alias("label"), F.col("dst_key").alias("key"))
+    )
     return nodes.select("label", "key").join(ends.groupBy("label", "key").agg(F.count("*").alias("degree")), ["label", "key"], "left").fillna(0, ["degree"])
 
 
@@ -93,7 +105,10 @@ def duplicate_relations(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(src, rel_type, dst, n) by display names where n > 1."""
     shown = nodes.select("label", "key", F.coalesce("name", "key").alias("shown"))
     for side in ("src", "dst"):
-        edges = edges.join(shown.select(F.col("label").alias(f"{side}_label"), F.col("key").alias(f"{side}_key"), F.col("shown").alias(side)), [f"{side}_label", f"{side}_key"])
+        edges = edges.join(
+            shown.select(F.col("label").alias(f"{side}_label"), F.col("key").alias(f"{side}_key"), F.col("shown").alias(side)),
+            [f"{side}_label", f"{side}_key"]
+        )
     return edges.groupBy("src", "rel_type", "dst").agg(F.count("*").alias("n")).where("n > 1")
 
 
@@ -115,13 +130,18 @@ def invalid_predicates(edges: DataFrame) -> DataFrame:
 
 def provenance(nodes: DataFrame) -> DataFrame:
     """(label, n, missing, blank, missing_share) of column source_text."""
-    return nodes.groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("source_text").isNull()).alias("missing"), F.count_if(F.col("source_text") == "").alias("blank")).withColumn("missing_share", F.round(F.col("missing") / F.col("n"), 6))
+    return nodes.groupBy("label").agg(
+        F.count("*").alias("n"), F.count_if(F.col("source_text").isNull()).alias("missing"),
+        F.count_if(F.col("source_text") == "").alias("blank")
+    ).withColumn("missing_share", F.round(F.col("missing") / F.col("n"), 6))
 
 
 def fragmentation(nodes: DataFrame) -> DataFrame:
     """(label, norm, variants, n): names of a label that differ only in case and outer blanks."""
     norm = T.fragment_key("name")
-    return nodes.where(F.col("name").isNotNull() & (norm != "")).groupBy("label", norm.alias("norm")).agg(F.array_sort(F.collect_set("name")).alias("names"), F.count("*").alias("n")).where("n > 1").select("label", "norm", F.array_join("names", "|").alias("variants"), "n")
+    return nodes.where(F.col("name").isNotNull() & (norm != "")).groupBy("label", norm.alias("norm")).agg(
+        F.array_sort(F.collect_set("name")).alias("names"), F.count("*").alias("n")
+    ).where("n > 1").select("label", "norm", F.array_join("names", "|").alias("variants"), "n")
 
 
 def neighbors(seeds: DataFrame, edges: DataFrame, rel_types: list[str] | None = None) -> DataFrame:
@@ -130,7 +150,10 @@ def neighbors(seeds: DataFrame, edges: DataFrame, rel_types: list[str] | None =
         edges = edges.where(F.col("rel_type").isin(*rel_types))
     sides = []
     for direction, own, other in (("outgoing", "src", "dst"), ("incoming", "dst", "src")):
-        e = edges.select(F.col(f"{own}_label").alias("label"), F.col(f"{own}_key").alias("key"), F.lit(direction).alias("direction"), "rel_type", F.col(f"{other}_label").alias("n_label"), F.col(f"{other}_key").alias("n_key"))
+        e = edges.select(
+            F.col(f"{own}_label").alias("label"), F.col(f"{own}_key").alias("key"), F.lit(direction).alias("direction"), "rel_type",
+            F.col(f"{other}_label").alias("n_label"), F.col(f"{other}_key").alias("n_key")
+        )
         sides.append(seeds.select("label", "key").join(e, ["label", "key"]))
     return sides[0].unionByName(sides[1])
 
@@ -146,7 +169,17 @@ def keyword_entities(queries: DataFrame, nodes: DataFrame, per_keyword: int = 5,
     if not lengths:
         lengths = [1]
     low = F.lower("name")
-    grams = F.array_distinct(F.flatten(F.transform(F.lit(lengths), lambda n: F.when(F.length(low) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - n + 1, F.lit(1))), lambda i: F.substring(low, i, n))).otherwise(F.array().cast("array<string>")))))
+    grams = F.array_distinct(
+        F.flatten(
+            F.transform(
+                F.lit(lengths),
+                lambda n: F.when(
+                    F.length(low) >= n,
+                    F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - n + 1, F.lit(1))), lambda i: F.substring(low, i, n))
+                ).otherwise(F.array().cast("array<string>"))
+            )
+        )
+    )
     named = nodes.where("name is not null and name <> ''").select("label", "key", "name", F.explode(grams).alias("kw"))
     ranked = first_per_group(named.join(words.select("kw").distinct(), "kw", "left_semi"), ["kw"], ["name", "label", "key"], per_keyword)
     found = words.join(ranked, "kw")
@@ -198,11 +231,17 @@ def first_paths(seeds: DataFrame, edges: DataFrame, hops: int = 2, most: int = 3
     kept = None
     for h in range(1, hops + 1):
         step = at.join(steps, ["a_label", "a_key"]).where(~F.array_contains("used", F.col("e")))
-        docs = first_per_group(step.where("b_label = 'Document'").select("label", "key", F.col("b_key").alias("doc"), F.lit(h).alias("hops")), ["label", "key"], ["doc"], most)
+        docs = first_per_group(
+            step.where("b_label = 'Document'").select("label", "key", F.col("b_key").alias("doc"), F.lit(h).alias("hops")),
+            ["label", "key"], ["doc"], most
+        )
         kept = durable(docs if kept is None else first_per_group(kept.unionByName(docs), ["label", "key"], ["hops", "doc"], most), "paths")
         if h < hops:
             full = kept.groupBy("label", "key").agg(F.count("*").alias("n")).where(F.col("n") >= most)
-            step = step.select("label", "key", F.col("b_label").alias("a_label"), F.col("b_key").alias("a_key"), F.array_append("used", F.col("e")).alias("used"))
+            step = step.select(
+                "label", "key", F.col("b_label").alias("a_label"), F.col("b_key").alias("a_key"),
+                F.array_append("used", F.col("e")).alias("used")
+            )
             at = step.join(full.select("label", "key"), ["label", "key"], "left_anti")
     return kept.groupBy("label", "key", "doc", "hops").agg(F.count("*").alias("n"))
 
@@ -256,7 +295,10 @@ def similar_names(names: DataFrame, threshold: float = 0.85) -> DataFrame:
     if threshold <= 0.75:
         raise ValueError("the pair filter needs a threshold above 0.75")
     edged = F.concat(F.lit("\x02"), F.col("norm"), F.lit("\x03"))
-    own = names.where("norm <> ''").select("label", "key", "norm", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("norm") + 1), lambda i: F.substring(edged, i, 2))).alias("at", "pair"))
+    own = names.where("norm <> ''").select(
+        "label", "key", "norm",
+        F.posexplode(F.transform(F.sequence(F.lit(1), F.length("norm") + 1), lambda i: F.substring(edged, i, 2))).alias("at", "pair")
+    )
     # The n-th occurrence of a pair in a name is an element of its own.
     nth = Window.partitionBy("label", "key", "norm", "pair").orderBy("at")
     own = durable(own.withColumn("nth", F.row_number().over(nth)).drop("at"), "name-pairs")
@@ -264,11 +306,15 @@ def similar_names(names: DataFrame, threshold: float = 0.85) -> DataFrame:
     ordered = F.array_sort(F.collect_list(F.struct("often", "pair", "nth")))
     shared = F.ceil(F.length("norm") * (4 * threshold - 3) - 1e-9) + 1
     first = own.join(often, ["label", "pair", "nth"]).groupBy("label", "key", "norm").agg(ordered.alias("p"))
-    keys = first.select("label", "key", "norm", F.explode(F.slice("p", 1, (F.length("norm") + 2 - shared).cast("int"))).alias("p")).select("label", "key", "norm", "p.pair", "p.nth")
+    keys = first.select(
+        "label", "key", "norm", F.explode(F.slice("p", 1, (F.length("norm") + 2 - shared).cast("int"))).alias("p")
+    ).select("label", "key", "norm", "p.pair", "p.nth")
     a = keys.select("label", "pair", "nth", F.col("key").alias("a"), F.col("norm").alias("n1"))
     b = keys.select("label", "pair", "nth", F.col("key").alias("b"), F.col("norm").alias("n2"))
     short, long = F.least(F.length("n1"), F.length("n2")), F.greatest(F.length("n1"), F.length("n2"))
-    near = a.join(b, ["label", "pair", "nth"]).where("a < b").where(short + 1e-9 >= long * threshold / (2 - threshold)).select("label", "a", "b", "n1", "n2").distinct()
+    near = a.join(b, ["label", "pair", "nth"]).where("a < b").where(
+        short + 1e-9 >= long * threshold / (2 - threshold)
+    ).select("label", "a", "b", "n1", "n2").distinct()
     return near.where(similarity("n1", "n2") >= threshold).select("label", "a", "b")
 
 
@@ -286,7 +332,10 @@ def fuzzy_groups(names: DataFrame, threshold: float = 0.85) -> DataFrame:
         states = settled.select("label", F.col("key").alias("other"), "leader")
         seen = before.join(waiting, ["label", "key"], "left_semi").join(states, ["label", "other"], "left")
         leads = F.col("leader") == F.col("other")
-        found = seen.groupBy("label", "key").agg(F.bool_or(F.col("leader").isNull()).alias("open"), F.min(F.when(leads, F.col("other"))).alias("first"), F.min(F.when(F.col("leader").isNull(), F.col("other"))).alias("first_open"))
+        found = seen.groupBy("label", "key").agg(
+            F.bool_or(F.col("leader").isNull()).alias("open"), F.min(F.when(leads, F.col("other"))).alias("first"),
+            F.min(F.when(F.col("leader").isNull(), F.col("other"))).alias("first_open")
+        )
         now = waiting.join(found, ["label", "key"], "left")
         # A leader settles its follower as soon as no open name before that leader is left.
         done = now.where(~F.coalesce("open", F.lit(False)) | (F.col("first") < F.col("first_open")))
@@ -306,12 +355,16 @@ def canonicalize(nodes: DataFrame, edges: DataFrame, threshold: float = 0.85, la
     some = nodes if labels is None else nodes.where(F.col("label").isin(*labels))
     degree = durable(degrees(some, edges), "degrees")
     exact = durable(exact_groups(some), "exact-groups")
-    single = some.where("name is not null").withColumn("norm", T.normalize_name("name")).where("norm <> ''").join(exact.select("label", "key"), ["label", "key"], "left_anti")
+    single = some.where("name is not null").withColumn("norm", T.normalize_name("name")).where("norm <> ''").join(
+        exact.select("label", "key"), ["label", "key"], "left_anti"
+    )
     similar = fuzzy_groups(single.select("label", "key", "norm"), threshold).select("label", "key", F.concat(F.lit("\x00"), "leader").alias("norm"))
     many = similar.groupBy("label", "norm").agg(F.count("*").alias("n")).where("n > 1").select("label", "norm")
     groups = exact.select("label", "norm", "key").unionByName(similar.join(many, ["label", "norm"], "left_semi").select("label", "norm", "key"))
     plan = durable(canonical_pick(groups, degree).where("key <> canon").select("label", "key", "canon"), "canonical")
-    names = plan.join(nodes.select("label", "key", "name"), ["label", "key"]).groupBy("label", F.col("canon").alias("key")).agg(F.array_sort(F.collect_set("name")).alias("aliases"))
+    names = plan.join(
+        nodes.select("label", "key", "name"), ["label", "key"]
+    ).groupBy("label", F.col("canon").alias("key")).agg(F.array_sort(F.collect_set("name")).alias("aliases"))
     kept = nodes.join(plan, ["label", "key"], "left_anti").join(names, ["label", "key"], "left")
     return plan, kept, repoint(edges, plan)
 

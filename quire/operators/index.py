@@ -47,7 +47,9 @@ def build_index(chunks: DataFrame, folder: str, vectors: DataFrame | None = None
 def append_chunks(chunks: DataFrame, folder: str, vectors: DataFrame | None = None) -> None:
     """Add chunks, and their vectors, to an index; those whose id it has already are left out."""
     spark = chunks.sparkSession
-    fresh = chunks.join(spark.read.parquet(f"{folder}/chunks").select("chunk_id"), "chunk_id", "left_anti").select(*spark.read.parquet(f"{folder}/chunks").columns)
+    fresh = chunks.join(
+        spark.read.parquet(f"{folder}/chunks").select("chunk_id"), "chunk_id", "left_anti"
+    ).select(*spark.read.parquet(f"{folder}/chunks").columns)
     from ._durable import durable
 
     fresh = durable(fresh, "fresh-chunks")
@@ -81,4 +83,7 @@ def search_index(index: dict[str, DataFrame], queries: DataFrame, k: int = 10) -
 
 def index_statistics(chunks: DataFrame) -> DataFrame:
     """One row: documents, pages, chunks and terms' worth of text of chunks (chunk_id, document_id, page_number, text)."""
-    return chunks.agg(F.count_distinct("document_id").alias("documents"), F.count_distinct("document_id", "page_number").alias("pages"), F.count("*").alias("chunks"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("characters"))
+    return chunks.agg(
+        F.count_distinct("document_id").alias("documents"), F.count_distinct("document_id", "page_number").alias("pages"),
+        F.count("*").alias("chunks"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("characters")
+    )

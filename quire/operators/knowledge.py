@@ -68,11 +68,18 @@ def answer_entities(parsed: DataFrame) -> DataFrame:
     has_id = F.coalesce(F.col("properties")["doc_id"], F.lit("")) != ""
     others = F.map_filter("properties", lambda k, v: k != "doc_id")
     own_id = F.map_concat(others, F.create_map(F.lit("doc_id"), F.col("extraction")))
-    cleaned = known.withColumns({"name": T.clean_entity_name("name", "type", "extraction"), "properties": F.when(is_document & ~has_id, own_id).otherwise(F.col("properties"))})
+    cleaned = known.withColumns(
+        {"name": T.clean_entity_name("name", "type", "extraction"), "properties": F.when(is_document & ~has_id, own_id).otherwise(F.col("properties"))}
+    )
     named = cleaned.where(F.col("name") == F.col("extraction")).select("extraction").distinct()
-    lacking = parsed.where("parsed is not null").select("extraction", F.greatest(F.size("parsed.entities"), F.lit(0)).alias("ord")).join(named, "extraction", "left_anti")
+    lacking = parsed.where("parsed is not null").select(
+        "extraction", F.greatest(F.size("parsed.entities"), F.lit(0)).alias("ord")
+    ).join(named, "extraction", "left_anti")
     title = F.create_map(F.lit("doc_id"), F.col("extraction"), F.lit("title"), F.col("extraction"))
-    added = lacking.select("extraction", "ord", F.col("extraction").alias("name"), F.lit("Document").alias("type"), title.alias("properties"), F.lit(1.0).alias("confidence"), F.lit("").alias("source_text"))
+    added = lacking.select(
+        "extraction", "ord", F.col("extraction").alias("name"), F.lit("Document").alias("type"), title.alias("properties"),
+        F.lit(1.0).alias("confidence"), F.lit("").alias("source_text")
+    )
     return cleaned.select(*ENTITY_COLUMNS).unionByName(added)
 
 
@@ -94,7 +101,10 @@ def extract(docs: DataFrame, answers: DataFrame) -> tuple[DataFrame, DataFrame]:
     ruled = extraction.rule_entities(rest.select(F.col("extraction").alias("doc_id"), "text"))
     kind = F.when(F.col("ord") > 0, F.create_map(F.lit("type"), F.col("kind"))).otherwise(_no_properties())
     own = ruled.select(F.col("doc_id").alias("extraction"), "ord", "name", "type", kind.alias("properties"), "confidence", "source_text")
-    links = extraction.rule_relations(ruled).select(F.col("doc_id").alias("extraction"), "ord", "source", "target", F.col("rel_type").alias("type"), _no_properties().alias("properties"), F.lit(0.6).alias("confidence"), F.lit("").alias("source_text"))
+    links = extraction.rule_relations(ruled).select(
+        F.col("doc_id").alias("extraction"), "ord", "source", "target", F.col("rel_type").alias("type"),
+        _no_properties().alias("properties"), F.lit(0.6).alias("confidence"), F.lit("").alias("source_text")
+    )
     return entities.unionByName(own), relations.unionByName(links)
 
 
@@ -109,17 +119,30 @@ def tagged_extraction(docs: DataFrame, confidence: tuple[float, float] = (0.7, 0
     from ..schema import DOCUMENT_RELATION, PREPOSITION_RELATION
 
     m = F.col("m")
-    found = docs.select("extraction", F.posexplode("mentions").alias("ord", "m")).select("extraction", (F.col("ord") + 1).alias("ord"), T.strip(m["text"]).alias("name"), graph.ner_type(m["label"]).alias("type"), m["label"].alias("label"), m["sentence"].alias("source_text"))
+    found = docs.select("extraction", F.posexplode("mentions").alias("ord", "m")).select(
+        "extraction", (F.col("ord") + 1).alias("ord"), T.strip(m["text"]).alias("name"), graph.ner_type(m["label"]).alias("type"),
+        m["label"].alias("label"), m["sentence"].alias("source_text")
+    )
     found = found.where("type is not null and name <> ''")
-    first = found.groupBy("extraction", F.lower("name").alias("k"), "type").agg(F.min_by(F.struct("ord", "name", "label", "source_text"), "ord").alias("e")).select("extraction", "type", "e.*")
+    first = found.groupBy("extraction", F.lower("name").alias("k"), "type").agg(
+        F.min_by(F.struct("ord", "name", "label", "source_text"), "ord").alias("e")
+    ).select("extraction", "type", "e.*")
     method = [F.lit("extraction_method"), F.lit("classical")]
     reference = F.when(F.col("type") == "Reference", F.create_map(*method, F.lit("type"), F.col("label"))).otherwise(F.create_map(*method))
     entities = first.select("extraction", "ord", "name", "type", reference.alias("properties"), F.lit(confidence[0]).alias("confidence"), "source_text")
-    own = docs.select("extraction", F.lit(0).alias("ord"), F.col("extraction").alias("name"), F.lit("Document").alias("type"), F.create_map(*method).alias("properties"), F.lit(1.0).alias("confidence"), F.lit("").alias("source_text"))
-    links = entities.select("extraction", F.col("ord").cast("long").alias("ord"), F.col("extraction").alias("source"), F.col("name").alias("target"), _lookup(F.col("type"), DOCUMENT_RELATION).alias("type"), "source_text").where("type is not null")
+    own = docs.select(
+        "extraction", F.lit(0).alias("ord"), F.col("extraction").alias("name"), F.lit("Document").alias("type"),
+        F.create_map(*method).alias("properties"), F.lit(1.0).alias("confidence"), F.lit("").alias("source_text")
+    )
+    links = entities.select(
+        "extraction", F.col("ord").cast("long").alias("ord"), F.col("extraction").alias("source"), F.col("name").alias("target"),
+        _lookup(F.col("type"), DOCUMENT_RELATION).alias("type"), "source_text"
+    ).where("type is not null")
 
     token = docs.select("extraction", F.explode("tokens").alias("t")).select("extraction", "t.*")
-    covering = docs.select("extraction", F.explode("mentions").alias("m")).select("extraction", F.explode(F.sequence("m.first", "m.last")).alias("i"), T.strip(F.col("m.text")).alias("name"))
+    covering = docs.select("extraction", F.explode("mentions").alias("m")).select(
+        "extraction", F.explode(F.sequence("m.first", "m.last")).alias("i"), T.strip(F.col("m.text")).alias("name")
+    )
     named = covering.join(entities.select("extraction", "name").distinct(), ["extraction", "name"], "left_semi").dropDuplicates(["extraction", "i"])
     of = lambda side, i: named.select("extraction", F.col("i").alias(i), F.col("name").alias(side))
     root = token.where("dep = 'ROOT'").select("extraction", F.col("i").alias("root"), F.col("sentence").alias("source_text"))
@@ -129,11 +152,16 @@ def tagged_extraction(docs: DataFrame, confidence: tuple[float, float] = (0.7, 0
     verbs = verbs.select("extraction", (F.lit(1 << 32) + F.col("root")).alias("ord"), "source", "target", F.lit("RELATED_TO").alias("type"), "source_text")
     prep = token.where("dep = 'prep'").withColumn("type", _lookup(F.lower("text"), PREPOSITION_RELATION)).where("type is not null")
     prep = prep.select("extraction", F.col("i").alias("root"), F.col("head").alias("s"), "type", F.col("sentence").alias("source_text"))
-    prep = prep.join(child(["pobj", "pcomp"], "o"), ["extraction", "root"]).join(of("source", "s"), ["extraction", "s"]).join(of("target", "o"), ["extraction", "o"])
+    prep = prep.join(
+        child(["pobj", "pcomp"], "o"), ["extraction", "root"]
+    ).join(of("source", "s"), ["extraction", "s"]).join(of("target", "o"), ["extraction", "o"])
     prep = prep.select("extraction", (F.lit(1 << 32) + F.col("root")).alias("ord"), "source", "target", "type", "source_text")
     each = links.unionByName(verbs).unionByName(prep)
     once = each.groupBy("extraction", "source", "target", "type").agg(F.min_by(F.struct("ord", "source_text"), "ord").alias("r"))
-    relations = once.select("extraction", "r.ord", "source", "target", "type", F.create_map(*method).alias("properties"), F.lit(confidence[1]).alias("confidence"), "r.source_text")
+    relations = once.select(
+        "extraction", "r.ord", "source", "target", "type", F.create_map(*method).alias("properties"),
+        F.lit(confidence[1]).alias("confidence"), "r.source_text"
+    )
     return own.unionByName(entities), relations.select(*RELATION_COLUMNS)
 
 
@@ -168,10 +196,15 @@ def imported_properties(entities: DataFrame, order: str = "seq") -> DataFrame:
     good = importable(entities).where("problem is null")
     key_name = F.when(F.col("label") == "Document", "doc_id").when(F.col("label") == "Reference", "value").otherwise("name")
     method = F.coalesce(F.col("properties")["extraction_method"], F.lit("llm"))
-    own = F.array(_pair(key_name, F.col("key")), _pair(F.lit("_confidence"), F.col("confidence").cast("string")), _pair(F.lit("_source_text"), F.col("source_text")), _pair(F.lit("_extraction_method"), method))
+    own = F.array(
+        _pair(key_name, F.col("key")), _pair(F.lit("_confidence"), F.col("confidence").cast("string")),
+        _pair(F.lit("_source_text"), F.col("source_text")), _pair(F.lit("_extraction_method"), method)
+    )
     given = F.transform(F.map_entries(F.coalesce("properties", _no_properties())), lambda e: _pair(e["key"], e["value"]))
     rest = F.filter(given, lambda p: ~p["property"].isin("_confidence", "_source_text", "_extraction_method") & (p["property"] != key_name))
-    each = good.select("label", "key", F.col(order).alias("at"), F.explode(F.concat(own, rest)).alias("p")).select("label", "key", "at", "p.*").where("value is not null")
+    each = good.select(
+        "label", "key", F.col(order).alias("at"), F.explode(F.concat(own, rest)).alias("p")
+    ).select("label", "key", "at", "p.*").where("value is not null")
     return each.groupBy("label", "key", "property").agg(F.max_by("value", "at").alias("value"))
 
 
@@ -192,7 +225,10 @@ def placed_relations(relations: DataFrame, entities: DataFrame) -> DataFrame:
     known = good.groupBy("extraction", "name").agg(F.max_by(F.struct("label", "key"), "ord").alias("n"))
     typed = relations.where(~_blank(F.col("type")))
     for side, end in (("src", "source"), ("dst", "target")):
-        typed = typed.join(known.select("extraction", F.col("name").alias(end), F.col("n.label").alias(f"{side}_label"), F.col("n.key").alias(f"{side}_key")), ["extraction", end])
+        typed = typed.join(
+            known.select("extraction", F.col("name").alias(end), F.col("n.label").alias(f"{side}_label"), F.col("n.key").alias(f"{side}_key")),
+            ["extraction", end]
+        )
     return typed.withColumnRenamed("type", "rel_type")
 
 
@@ -205,7 +241,10 @@ def imported_edges(relations: DataFrame, entities: DataFrame, order: str = "seq"
 
 def import_statistics(relations: DataFrame, entities: DataFrame) -> DataFrame:
     """One row: documents, entities and relations that are imported, and those that fail. Relations without an end do neither."""
-    e = importable(entities).agg(F.count_distinct("extraction").alias("documents_processed"), F.count_if(F.col("problem").isNull()).alias("entities_created"), F.count_if(F.col("problem").isNotNull()).alias("entities_failed"))
+    e = importable(entities).agg(
+        F.count_distinct("extraction").alias("documents_processed"), F.count_if(F.col("problem").isNull()).alias("entities_created"),
+        F.count_if(F.col("problem").isNotNull()).alias("entities_failed")
+    )
     placed = placed_relations(relations, entities).agg(F.count("*").alias("relations_created"))
     failed = relations.agg(F.count_if(_blank(F.col("type"))).alias("relations_failed"))
     return e.crossJoin(placed).crossJoin(failed)  # one row each

@@ -51,7 +51,9 @@ def document_coverage(pages: DataFrame) -> DataFrame:
 def export_text(pages: DataFrame, limit: int = 10_000, suffix: str = "\n\n[Text truncated...]") -> DataFrame:
     """(document_id, text): recognised text of each page, or else the native one, in order and joined by blank lines, cut at ``limit``."""
     own = F.struct("page_number", T.pick_for_export("native", "ocr").alias("text"))
-    joined = pages.groupBy("document_id").agg(F.array_sort(F.collect_list(own)).alias("p")).select("document_id", F.array_join(F.filter(F.transform("p", lambda p: p["text"]), lambda t: t != ""), "\n\n").alias("text"))
+    joined = pages.groupBy("document_id").agg(F.array_sort(F.collect_list(own)).alias("p")).select(
+        "document_id", F.array_join(F.filter(F.transform("p", lambda p: p["text"]), lambda t: t != ""), "\n\n").alias("text")
+    )
     return joined.withColumn("text", F.when(F.length("text") > limit, F.concat(F.left("text", F.lit(limit)), F.lit(suffix))).otherwise(F.col("text")))
 
 
@@ -59,7 +61,10 @@ def whole_recognition(pages: DataFrame) -> DataFrame:
     """(document_id, text, error): page texts in order joined by blank lines; a document of no page image is an error."""
     own = F.when(F.col("text").isNotNull(), F.struct("page_number", "text"))
     found = pages.groupBy("document_id").agg(F.array_sort(F.collect_list(own)).alias("p"))
-    return found.select("document_id", F.array_join(F.transform("p", lambda p: p["text"]), "\n\n").alias("text"), F.when(F.size("p") == 0, "no images").alias("error"))
+    return found.select(
+        "document_id", F.array_join(F.transform("p", lambda p: p["text"]), "\n\n").alias("text"),
+        F.when(F.size("p") == 0, "no images").alias("error")
+    )
 
 
 def both_methods(native: DataFrame, ocr: DataFrame) -> DataFrame:
@@ -93,7 +98,9 @@ def flat_metrics(pages: DataFrame) -> DataFrame:
 def evaluate_predictions(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     """(document_id, page_number, metrics...) of pages that both tables have; pages pair by key."""
     both = predicted.join(truth.select("document_id", "page_number", F.col("text").alias("truth")), ["document_id", "page_number"])
-    return both.select("document_id", "page_number", metrics.all_metrics(F.col("text"), F.col("truth")).alias("metrics")).select("document_id", "page_number", "metrics.*")
+    return both.select(
+        "document_id", "page_number", metrics.all_metrics(F.col("text"), F.col("truth")).alias("metrics")
+    ).select("document_id", "page_number", "metrics.*")
 
 
 def extraction_benchmark(runs: DataFrame, truth: DataFrame) -> DataFrame:
@@ -112,4 +119,7 @@ def extraction_benchmark(runs: DataFrame, truth: DataFrame) -> DataFrame:
 def corpus_profile(pages: DataFrame) -> DataFrame:
     """(batch, documents, pages, min_pages, median_pages, max_pages) of pages (batch, document_id)."""
     per = pages.groupBy("batch", "document_id").agg(F.count("*").alias("n"))
-    return per.groupBy("batch").agg(F.count("*").alias("documents"), F.sum("n").alias("pages"), F.min("n").alias("min_pages"), F.median("n").alias("median_pages"), F.max("n").alias("max_pages"))
+    return per.groupBy("batch").agg(
+        F.count("*").alias("documents"), F.sum("n").alias("pages"), F.min("n").alias("min_pages"), F.median("n").alias("median_pages"),
+        F.max("n").alias("max_pages")
+    )

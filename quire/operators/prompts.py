@@ -15,13 +15,17 @@ def format_context(results: DataFrame, chars: int = 500, graph_chars: int = 300)
     w = Window.partitionBy("query_id", "source").orderBy("rank")
     n = F.row_number().over(w)
     graph = F.col("source") == "graph"
-    line = F.when(graph, F.concat(F.lit("- "), F.left("text", F.lit(graph_chars)))).otherwise(F.concat(n.cast("string"), F.lit(". ["), F.coalesce("document_id", F.lit("unknown")), F.lit("] "), F.left("text", F.lit(chars))))
+    line = F.when(graph, F.concat(F.lit("- "), F.left("text", F.lit(graph_chars)))).otherwise(
+        F.concat(n.cast("string"), F.lit(". ["), F.coalesce("document_id", F.lit("unknown")), F.lit("] "), F.left("text", F.lit(chars)))
+    )
     ord_ = F.lit(None).cast("int")
     head = F.lit(None).cast("string")
     for i, (source, title) in enumerate(HEADINGS.items()):
         ord_ = F.when(F.col("source") == source, i).otherwise(ord_)
         head = F.when(F.col("source") == source, F.lit(title)).otherwise(head)
-    lines = results.select("query_id", ord_.alias("ord"), n.alias("n"), F.when(n == 1, F.concat(head, F.lit("\n"), line)).otherwise(line).alias("line")).where("ord is not null")
+    lines = results.select(
+        "query_id", ord_.alias("ord"), n.alias("n"), F.when(n == 1, F.concat(head, F.lit("\n"), line)).otherwise(line).alias("line")
+    ).where("ord is not null")
     ordered = F.array_sort(F.collect_list(F.struct("ord", "n", "line")))
     return lines.groupBy("query_id").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("context"))
 

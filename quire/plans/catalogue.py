@@ -23,33 +23,47 @@ _BM25 = _POSTINGS + f""",
 asked AS (SELECT item_id AS query_id, term, count(*) AS qtf FROM (SELECT item_id, unnest({_TOKENS("text")}) AS term FROM benchmark) GROUP BY item_id, term),
 bm25_scored AS (SELECT query_id, id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
   FROM asked JOIN terms USING (term) JOIN post USING (term), corpus GROUP BY query_id, id),
-bm25 AS (SELECT query_id, rank, id, score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM bm25_scored WHERE score > 0) WHERE rank <= 10)"""
+bm25 AS (SELECT query_id, rank, id, score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
+  id) AS INTEGER) AS rank FROM bm25_scored WHERE score > 0) WHERE rank <= 10)"""
 _VECTOR = """unit AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE embedding IS NOT NULL),
-vector_scored AS (SELECT a.id AS query_id, b.id AS id, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM unit a JOIN unit b ON a.id % 50 = 0 AND a.id <> b.id),
-vector AS (SELECT query_id, rank, id, score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM vector_scored) WHERE rank <= 10)"""
+vector_scored AS (SELECT a.id AS query_id, b.id AS id, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM unit a
+  JOIN unit b ON a.id % 50 = 0 AND a.id <> b.id),
+vector AS (SELECT query_id, rank, id, score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
+  id) AS INTEGER) AS rank FROM vector_scored) WHERE rank <= 10)"""
 _FUSED = """fused AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank, id, score, source FROM (
   SELECT query_id, id, round(sum(1.0 / (60 + rank)), 9) AS score, arg_min(source, ord) AS source FROM (
     SELECT query_id, id, rank, 0 AS ord, 'bm25' AS source FROM bm25 UNION ALL SELECT query_id, id, rank, 1, 'vector' FROM vector) GROUP BY query_id, id)),
 hybrid AS (SELECT * FROM fused WHERE rank <= 8)"""
 _RELEVANT = "relevant AS (SELECT item_id AS query_id, doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 _EVAL = lambda ranked: f"""evaluated AS (SELECT item_id AS query_id, coalesce(1.0 / first, 0) AS mrr, CASE WHEN first <= 1 THEN 1.0 ELSE 0 END AS recall_1,
-  CASE WHEN first <= 3 THEN 1.0 ELSE 0 END AS recall_3, CASE WHEN first <= 5 THEN 1.0 ELSE 0 END AS recall_5, CASE WHEN first <= 10 THEN 1.0 ELSE 0 END AS recall_10
-  FROM benchmark LEFT JOIN (SELECT query_id, min(rank) AS first FROM {ranked} SEMI JOIN relevant USING (query_id, id) GROUP BY query_id) h ON h.query_id = item_id)"""
+  CASE WHEN first <= 3 THEN 1.0 ELSE 0 END AS recall_3, CASE WHEN first <= 5 THEN 1.0 ELSE 0 END AS recall_5, CASE
+  WHEN first <= 10 THEN 1.0 ELSE 0 END AS recall_10
+  FROM benchmark LEFT JOIN (SELECT query_id, min(rank) AS first FROM {ranked} SEMI JOIN relevant USING (query_id, id)
+  GROUP BY query_id) h ON h.query_id = item_id)"""
 
 
-_ASK_NATIONS = f"""asked AS (SELECT n_nationkey AS query_id, w[i] AS kw, min(i) - 1 AS pos FROM (SELECT n_nationkey, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT n_nationkey, {_TOKENS("'orders of ' || n_name")} AS w FROM nation)) WHERE length(w[i]) > 2 GROUP BY n_nationkey, w[i]),
-hit AS (SELECT kw, label, key, name, row_number() OVER (PARTITION BY kw ORDER BY name, label, key) AS n FROM (SELECT DISTINCT kw FROM asked) JOIN nodes ON name <> '' AND contains(lower(name), kw)),
+_ASK_NATIONS = f"""asked AS (SELECT n_nationkey AS query_id, w[i] AS kw, min(i) - 1 AS pos FROM (SELECT n_nationkey, w, unnest(range(1,
+  len(w) + 1)) AS i FROM (SELECT n_nationkey, {_TOKENS("'orders of ' || n_name")} AS w FROM nation)) WHERE length(w[i]) > 2 GROUP BY n_nationkey, w[i]),
+hit AS (SELECT kw, label, key, name, row_number() OVER (PARTITION BY kw ORDER BY name, label, key) AS n FROM (SELECT DISTINCT kw FROM asked)
+  JOIN nodes ON name <> '' AND contains(lower(name), kw)),
 cand AS (SELECT query_id, label, key, name, min(pos) AS pos FROM asked JOIN hit USING (kw) WHERE n <= 5 GROUP BY ALL),
-entity AS (SELECT query_id, CAST(ord AS INTEGER) AS ord, label, key, name FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos, name, label, key) AS ord FROM cand) WHERE ord <= 5)"""
-_TWO_HOP = """sym AS (SELECT src_label || src_key || rel_type || dst_key AS e, src_label AS al, src_key AS ak, dst_label AS bl, dst_key AS bk FROM edges UNION ALL SELECT src_label || src_key || rel_type || dst_key, dst_label, dst_key, src_label, src_key FROM edges),
-paths AS (SELECT s.label, s.key, x.bk AS doc, 1 AS hops, count(*) AS n FROM from_nodes s JOIN sym x ON x.al = s.label AND x.ak = s.key WHERE x.bl = 'Document' GROUP BY ALL
-  UNION ALL SELECT s.label, s.key, y.bk, 2, count(*) FROM from_nodes s JOIN sym x ON x.al = s.label AND x.ak = s.key JOIN sym y ON y.al = x.bl AND y.ak = x.bk AND y.e <> x.e WHERE y.bl = 'Document' GROUP BY ALL)"""
-_KEPT = """kept AS (SELECT label, key, doc, hops, greatest(least(n, 30 - before), 0) AS n FROM (SELECT *, coalesce(sum(n) OVER (PARTITION BY label, key ORDER BY hops, doc ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM paths)),
+entity AS (SELECT query_id, CAST(ord AS INTEGER) AS ord, label, key, name FROM (SELECT *, row_number() OVER (PARTITION BY query_id
+  ORDER BY pos, name, label, key) AS ord FROM cand) WHERE ord <= 5)"""
+_TWO_HOP = """sym AS (SELECT src_label || src_key || rel_type || dst_key AS e, src_label AS al, src_key AS ak, dst_label AS bl,
+  dst_key AS bk FROM edges UNION ALL SELECT src_label || src_key || rel_type || dst_key, dst_label, dst_key, src_label, src_key FROM edges),
+paths AS (SELECT s.label, s.key, x.bk AS doc, 1 AS hops, count(*) AS n FROM from_nodes s JOIN sym x ON x.al = s.label AND x.ak = s.key
+  WHERE x.bl = 'Document' GROUP BY ALL
+  UNION ALL SELECT s.label, s.key, y.bk, 2, count(*) FROM from_nodes s JOIN sym x ON x.al = s.label AND x.ak = s.key
+  JOIN sym y ON y.al = x.bl AND y.ak = x.bk AND y.e <> x.e WHERE y.bl = 'Document' GROUP BY ALL)"""
+_KEPT = """kept AS (SELECT label, key, doc, hops, greatest(least(n, 30 - before), 0) AS n FROM (SELECT *,
+  coalesce(sum(n) OVER (PARTITION BY label, key ORDER BY hops, doc ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM paths)),
 scored AS (SELECT query_id, doc AS id, round(sum(n / ord / hops), 6) AS score FROM entity JOIN kept USING (label, key) WHERE n > 0 GROUP BY query_id, doc),
-reached AS (SELECT query_id, CAST(rank AS INTEGER) AS rank, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored) WHERE rank <= 10)"""
+reached AS (SELECT query_id, CAST(rank AS INTEGER) AS rank, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id
+  ORDER BY score DESC, id) AS rank FROM scored) WHERE rank <= 10)"""
 _GRAPH = (
     _ASK_NATIONS.replace("asked", "g_asked").replace("n_nationkey", "item_id").replace("'orders of ' || n_name", "text").replace("FROM nation", "FROM benchmark")
-    + f", from_nodes AS (SELECT DISTINCT label, key FROM entity), {_TWO_HOP}, {_KEPT}, graph AS (SELECT query_id, rank, CAST(substr(id, 2) AS BIGINT) AS id, score FROM reached)"
+    + f", from_nodes AS (SELECT DISTINCT label, key FROM entity), {_TWO_HOP}, {_KEPT}, graph AS (SELECT query_id, rank, CAST(substr(id, 2) AS "
+      f"BIGINT) AS id, score FROM reached)"
 )
 _FUSED3 = (
     _FUSED.replace("fused AS", "fused3 AS").replace("hybrid AS (SELECT * FROM fused ", "hybrid_graph AS (SELECT * FROM fused3 ")
@@ -105,7 +119,10 @@ def retrieval_eval(spark, sf):
     return found.withColumn("mrr", F.round("mrr", 6))
 
 
-_MEANS = "count(*) AS n_queries, round(avg(mrr), 6) AS mrr, round(avg(recall_1), 6) AS recall_1, round(avg(recall_3), 6) AS recall_3, round(avg(recall_5), 6) AS recall_5, round(avg(recall_10), 6) AS recall_10"
+_MEANS = (
+    "count(*) AS n_queries, round(avg(mrr), 6) AS mrr, round(avg(recall_1), 6) AS recall_1, round(avg(recall_3), 6) AS recall_3, "
+    "round(avg(recall_5), 6) AS recall_5, round(avg(recall_10), 6) AS recall_10"
+)
 
 
 def _graph_list(spark, sf):
@@ -147,7 +164,8 @@ def tier_ablation(spark, sf):
     return out
 
 
-@register(f"""WITH {_BM25}, {_RELEVANT}, {_EVAL('bm25')}, t AS (SELECT query_id, mrr, CASE WHEN query_id % 3 = 0 THEN 'unspecified' WHEN query_id % 3 = 1 THEN 'factual' ELSE 'list' END AS category, (query_id % 17) / 4.0 AS ms FROM evaluated)
+@register(f"""WITH {_BM25}, {_RELEVANT}, {_EVAL('bm25')}, t AS (SELECT query_id, mrr, CASE WHEN query_id % 3 = 0 THEN 'unspecified'
+  WHEN query_id % 3 = 1 THEN 'factual' ELSE 'list' END AS category, (query_id % 17) / 4.0 AS ms FROM evaluated)
 SELECT category, count(*) AS n_queries, round(avg(mrr), 4) AS mrr, round(avg(ms), 2) AS mean_latency_ms FROM t GROUP BY category""")
 def retrieval_eval_by_category(spark, sf):
     i = F.col("query_id")
@@ -183,40 +201,61 @@ def garbage_pages(spark, sf):
     return D.table(spark, sf, "documents").select("doc_id", T.is_garbage("text").alias("garbage"))
 
 
-@register(f"""SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '{_WS}+'), lambda w: w <> '')) AS INTEGER) AS word_count, CAST(length(text) AS INTEGER) AS char_count,
+@register(f"""SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '{_WS}+'), lambda w: w <> '')) AS INTEGER) AS word_count,
+  CAST(length(text) AS INTEGER) AS char_count,
   round(least(length(text) * 20 / 484704.0, 1.0), 4) AS coverage, CAST(length(text) // 4 AS BIGINT) AS tokens FROM documents""")
 def page_stats(spark, sf):
-    return D.table(spark, sf, "documents").select("doc_id", T.word_count("text").alias("word_count"), F.length("text").alias("char_count"), T.page_coverage(F.length("text"), F.lit(612.0), F.lit(792.0)).alias("coverage"), T.token_estimate("text").alias("tokens"))
+    return D.table(spark, sf, "documents").select(
+        "doc_id", T.word_count("text").alias("word_count"), F.length("text").alias("char_count"),
+        T.page_coverage(F.length("text"), F.lit(612.0), F.lit(792.0)).alias("coverage"), T.token_estimate("text").alias("tokens")
+    )
 
 
-@register("SELECT doc_id, md5(CASE WHEN doc_id % 2 = 0 THEN text ELSE left(text, 100) END) AS index_md5, left(CASE WHEN length(left(text, 9)) > length(text) THEN left(text, 9) ELSE text END, 8000) = text AS whole FROM documents")
+@register(
+    "SELECT doc_id, md5(CASE WHEN doc_id % 2 = 0 THEN text ELSE left(text, 100) END) AS index_md5, left(CASE WHEN length(left(text, 9)) > "
+    "length(text) THEN left(text, 9) ELSE text END, 8000) = text AS whole FROM documents"
+)
 def text_pick(spark, sf):
     docs = D.table(spark, sf, "documents")
     native = F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise("")
     ocr = F.when(F.col("doc_id") % 2 == 0, F.left("text", F.lit(50))).otherwise(F.left("text", F.lit(100)))
-    return docs.select("doc_id", F.md5(T.pick_for_index(native, ocr)).alias("index_md5"), (T.pick_for_graph("text", F.left("text", F.lit(9))) == F.col("text")).alias("whole"))
+    return docs.select(
+        "doc_id", F.md5(T.pick_for_index(native, ocr)).alias("index_md5"),
+        (T.pick_for_graph("text", F.left("text", F.lit(9))) == F.col("text")).alias("whole")
+    )
 
 
 @register("""SELECT doc_id, CASE WHEN cov >= 0.8 THEN 'native' WHEN doc_id % 3 <> 0 THEN 'ocr' ELSE 'native_fallback' END AS method,
-  CASE WHEN cov >= 0.8 THEN 'skipped_due_to_high_native_coverage' ELSE 'run_ocr' END AS plan, CASE WHEN n_chars / 1048576.0 > 0.02 THEN 'file too large' WHEN n_chars // 500 > 20 THEN 'too many pages' END AS skipped
+  CASE WHEN cov >= 0.8 THEN 'skipped_due_to_high_native_coverage' ELSE 'run_ocr' END AS plan, CASE
+  WHEN n_chars / 1048576.0 > 0.02 THEN 'file too large' WHEN n_chars // 500 > 20 THEN 'too many pages' END AS skipped
   FROM (SELECT doc_id, n_chars, least(n_chars * 20 / 484704.0, 1.0) AS cov FROM documents)""")
 def routing_decision(spark, sf):
     cov = F.least(F.col("n_chars") * 20 / 484704.0, F.lit(1.0))
-    return D.table(spark, sf, "documents").select("doc_id", extraction.route(F.lit(True), cov, F.col("doc_id") % 3 != 0).alias("method"), extraction.batch_plan(F.lit("hybrid"), cov).alias("plan"), extraction.file_guard(F.col("n_chars"), F.floor(F.col("n_chars") / 500), max_mb=0.02).alias("skipped"))
+    return D.table(spark, sf, "documents").select(
+        "doc_id", extraction.route(F.lit(True), cov, F.col("doc_id") % 3 != 0).alias("method"),
+        extraction.batch_plan(F.lit("hybrid"), cov).alias("plan"),
+        extraction.file_guard(F.col("n_chars"), F.floor(F.col("n_chars") / 500), max_mb=0.02).alias("skipped")
+    )
 
 
-@register(f"""WITH {D.VARIANTS_SQL} SELECT key, trim(regexp_replace(regexp_replace(regexp_replace(lower(name), '^{_WS}+|{_WS}+$', '', 'g'), '[^\\p{{L}}\\p{{N}}_\\s\\x1c-\\x1f\\x85\\p{{Z}}]', ' ', 'g'), '{_WS}+', ' ', 'g')) AS norm FROM variants""")
+@register(
+    f"""WITH {D.VARIANTS_SQL} SELECT key, trim(regexp_replace(regexp_replace(regexp_replace(lower(name), '^{_WS}+|{_WS}+$', '', 'g'),
+  '[^\\p{{L}}\\p{{N}}_\\s\\x1c-\\x1f\\x85\\p{{Z}}]', ' ', 'g'), '{_WS}+', ' ', 'g')) AS norm FROM variants"""
+)
 def normalize_names(spark, sf):
     return D.variants(spark, sf).select("key", T.normalize_name("name").alias("norm"))
 
 
-@register("""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'batch2' WHEN doc_id % 4 = 1 THEN 'batch3' WHEN doc_id % 4 = 2 THEN 'unknown' ELSE 'batch4' END AS batch,
+@register("""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'batch2' WHEN doc_id % 4 = 1 THEN 'batch3'
+  WHEN doc_id % 4 = 2 THEN 'unknown' ELSE 'batch4' END AS batch,
   CASE WHEN doc_id % 4 = 0 THEN 'GS' WHEN doc_id % 4 = 1 THEN source WHEN doc_id % 4 = 2 THEN 'x' ELSE 'unknown' END AS doc_type,
   CASE WHEN doc_id % 4 = 1 THEN source ELSE '' END AS folder FROM documents""")
 def path_types(spark, sf):
     i = F.col("doc_id")
     name = i.cast("string")
-    path = F.when(i % 4 == 0, F.concat(F.lit("data/batch2/GS-"), name, F.lit(".pdf"))).when(i % 4 == 1, F.concat(F.lit("data/batch3/"), F.col("source"), F.lit("/"), name, F.lit(".pdf"))).when(i % 4 == 2, F.concat(F.lit("x/"), name)).otherwise(F.concat(F.lit("batch4/"), name))
+    path = F.when(i % 4 == 0, F.concat(F.lit("data/batch2/GS-"), name, F.lit(".pdf"))).when(
+        i % 4 == 1, F.concat(F.lit("data/batch3/"), F.col("source"), F.lit("/"), name, F.lit(".pdf"))
+    ).when(i % 4 == 2, F.concat(F.lit("x/"), name)).otherwise(F.concat(F.lit("batch4/"), name))
     folder = F.when(i % 4 == 1, T.batch_folder(path)).otherwise("")
     return D.table(spark, sf, "documents").select("doc_id", T.path_batch(path).alias("batch"), T.path_type(path).alias("doc_type"), folder.alias("folder"))
 
@@ -224,10 +263,15 @@ def path_types(spark, sf):
 # ---- extraction -----------------------------------------------------------------------------------------
 
 _RULES = ", ".join(
-    f"p{i} AS (SELECT doc_id, {i} AS pat, i AS pos, v[i] AS value, s[i] AS source_text, '{kind}' AS kind FROM (SELECT doc_id, v, s, unnest(range(1, len(v) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{p}', {g}) AS v, regexp_extract_all(text, '{p}', 0) AS s FROM documents)))"
+    f"p{i} AS (SELECT doc_id, {i} AS pat, i AS pos, v[i] AS value, s[i] AS source_text, '{kind}' AS kind FROM (SELECT doc_id, v, s, "
+    f"unnest(range(1, len(v) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{p}', {g}) AS v, regexp_extract_all(text, '{p}', 0) AS "
+    f"s FROM documents)))"
     for i, (kind, p, g) in enumerate([("email", extraction.EMAIL, 0), *((k, p, 1) for k, p in extraction.REFERENCES.items())])
-) + """, rules AS (SELECT *, row_number() OVER (PARTITION BY doc_id, pat = 0, value ORDER BY pat, pos) AS n FROM (SELECT * FROM p0 UNION ALL SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3)),
-found AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pat, pos) AS INTEGER) AS ord, CASE WHEN pat = 0 THEN 'Person' ELSE 'Reference' END AS type, CASE WHEN pat = 0 THEN split_part(value, '@', 1) ELSE value END AS name, kind, source_text, CAST(0.6 AS DOUBLE) AS confidence FROM rules WHERE n = 1)"""
+) + """, rules AS (SELECT *, row_number() OVER (PARTITION BY doc_id, pat = 0, value ORDER BY pat, pos) AS n FROM (SELECT * FROM p0 UNION ALL
+  SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3)),
+found AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pat, pos) AS INTEGER) AS ord, CASE
+  WHEN pat = 0 THEN 'Person' ELSE 'Reference' END AS type, CASE WHEN pat = 0 THEN split_part(value, '@', 1) ELSE value END AS name, kind,
+  source_text, CAST(0.6 AS DOUBLE) AS confidence FROM rules WHERE n = 1)"""
 
 
 @register(f"WITH {_RULES} SELECT * FROM found UNION ALL SELECT doc_id, 0, 'Document', CAST(doc_id AS VARCHAR), 'document', '', 1.0 FROM documents")
@@ -235,26 +279,39 @@ def rule_extract_entities(spark, sf):
     return extraction.rule_entities(D.table(spark, sf, "documents").select("doc_id", "text"))
 
 
-@register(f"WITH {_RULES} SELECT doc_id, ord, CAST(doc_id AS VARCHAR) AS source, CASE WHEN type = 'Person' THEN 'MENTIONS_PERSON' ELSE 'HAS_REFERENCE' END AS rel_type, name AS target FROM found")
+@register(
+    f"WITH {_RULES} SELECT doc_id, ord, CAST(doc_id AS VARCHAR) AS source, CASE WHEN type = 'Person' THEN 'MENTIONS_PERSON' ELSE "
+    f"'HAS_REFERENCE' END AS rel_type, name AS target FROM found"
+)
 def rule_extract_relations(spark, sf):
     return extraction.rule_relations(rule_extract_entities(spark, sf))
 
 
-_RAW_TYPE = "CASE event_type WHEN 'click' THEN 'Company' WHEN 'view' THEN 'City' WHEN 'purchase' THEN 'DATE' WHEN 'signup' THEN 'bug.report' ELSE 'Some Type' END"
+_RAW_TYPE = (
+    "CASE event_type WHEN 'click' THEN 'Company' WHEN 'view' THEN 'City' WHEN 'purchase' THEN 'DATE' WHEN 'signup' THEN 'bug.report' "
+    "ELSE 'Some Type' END"
+)
 
 
 def _raw_types(spark, sf):
     t = F.col("event_type")
     raw = F.when(t == "click", "Company").when(t == "view", "City").when(t == "purchase", "DATE").when(t == "signup", "bug.report").otherwise("Some Type")
-    return D.table(spark, sf, "events").select("event_id", raw.alias("type"), F.when(F.col("user_id") % 10 == 0, " ").otherwise(F.col("user_id").cast("string")).alias("name"))
+    return D.table(spark, sf, "events").select(
+        "event_id", raw.alias("type"), F.when(F.col("user_id") % 10 == 0, " ").otherwise(F.col("user_id").cast("string")).alias("name")
+    )
 
 
-@register("SELECT raw AS type, CASE " + " ".join(f"WHEN raw IN ({', '.join(map(repr, names))}) THEN '{t}'" for t, names in TYPE_ALIASES.items()) + f" WHEN raw IN ({', '.join(map(repr, ENTITIES))}) THEN raw END AS mapped, count(*) AS n FROM (SELECT {_RAW_TYPE} AS raw FROM events) GROUP BY raw, mapped")
+@register(
+    "SELECT raw AS type, CASE " + " ".join(
+        f"WHEN raw IN ({', '.join(map(repr, names))}) THEN '{t}'" for t, names in TYPE_ALIASES.items()
+    ) + f" WHEN raw IN ({', '.join(map(repr, ENTITIES))}) THEN raw END AS mapped, count(*) AS n FROM (SELECT {_RAW_TYPE} AS raw FROM events) GROUP BY raw, mapped"
+)
 def type_remap(spark, sf):
     return _raw_types(spark, sf).groupBy("type", graph.remap_entity_type("type").alias("mapped")).agg(F.count("*").alias("n"))
 
 
-@register(f"""SELECT problem, count(*) AS n FROM (SELECT CASE WHEN trim(name) = '' THEN 'blank name' WHEN contains(type, ' ') THEN 'blank in type' WHEN contains(type, '.') AND NOT regexp_matches(type, '^\\p{{Lu}}') THEN 'dotted type' END AS problem
+@register(f"""SELECT problem, count(*) AS n FROM (SELECT CASE WHEN trim(name) = '' THEN 'blank name' WHEN contains(type,
+  ' ') THEN 'blank in type' WHEN contains(type, '.') AND NOT regexp_matches(type, '^\\p{{Lu}}') THEN 'dotted type' END AS problem
   FROM (SELECT {_RAW_TYPE} AS type, CASE WHEN user_id % 10 = 0 THEN ' ' ELSE CAST(user_id AS VARCHAR) END AS name FROM events)) GROUP BY problem""")
 def entity_guards(spark, sf):
     return _raw_types(spark, sf).groupBy(graph.entity_problem("name", "type").alias("problem")).agg(F.count("*").alias("n"))
@@ -265,19 +322,31 @@ def entity_guards(spark, sf):
 _N, _E, _R = D.NODES_SQL, D.EDGES_SQL, D.RAW_EDGES_SQL
 
 
-@register("""WITH raw AS (SELECT 'Person' AS label, 'c' || o_custkey AS key, o_orderkey AS seq, o_orderpriority AS role, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderstatus END AS title FROM orders)
-SELECT label, key, arg_max(role, seq) FILTER (WHERE role IS NOT NULL) AS role, arg_max(title, seq) FILTER (WHERE title IS NOT NULL) AS title FROM raw GROUP BY label, key""")
+@register("""WITH raw AS (SELECT 'Person' AS label, 'c' || o_custkey AS key, o_orderkey AS seq, o_orderpriority AS role, CASE
+  WHEN o_orderkey % 3 <> 0 THEN o_orderstatus END AS title FROM orders)
+SELECT label, key, arg_max(role, seq) FILTER (WHERE role IS NOT NULL) AS role, arg_max(title, seq) FILTER (WHERE title IS NOT NULL) AS title
+  FROM raw GROUP BY label, key""")
 def kg_nodes_merge(spark, sf):
-    rows = D.table(spark, sf, "orders").select(F.lit("Person").alias("label"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("key"), F.col("o_orderkey").alias("seq"), F.col("o_orderpriority").alias("role"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderstatus")).alias("title"))
+    rows = D.table(spark, sf, "orders").select(
+        F.lit("Person").alias("label"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("key"),
+        F.col("o_orderkey").alias("seq"), F.col("o_orderpriority").alias("role"),
+        F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderstatus")).alias("title")
+    )
     return graph.merge_nodes(rows, ["role", "title"])
 
 
-@register(f"WITH {_R} SELECT src_label, src_key, rel_type, dst_label, dst_key, arg_max(weight, seq) FILTER (WHERE weight IS NOT NULL) AS weight FROM raw_edges GROUP BY ALL")
+@register(
+    f"WITH {_R} SELECT src_label, src_key, rel_type, dst_label, dst_key, arg_max(weight, seq) FILTER (WHERE weight IS NOT NULL) AS weight FROM "
+    f"raw_edges GROUP BY ALL"
+)
 def kg_edges_merge(spark, sf):
     return graph.merge_edges(D.raw_edges(spark, sf), D.nodes(spark, sf), ["weight"])
 
 
-@register(f"WITH {_N}, {_E} SELECT 'node' AS kind, label AS name, count(*) AS n FROM nodes GROUP BY label UNION ALL SELECT 'relation', rel_type, count(*) FROM edges GROUP BY rel_type")
+@register(
+    f"WITH {_N}, {_E} SELECT 'node' AS kind, label AS name, count(*) AS n FROM nodes GROUP BY label UNION ALL SELECT 'relation', rel_type, "
+    f"count(*) FROM edges GROUP BY rel_type"
+)
 def kg_stats(spark, sf):
     return graph.stats(D.nodes(spark, sf), D.edges(spark, sf))
 
@@ -290,12 +359,19 @@ def kg_orphans(spark, sf):
     return graph.orphans(D.nodes(spark, sf), D.edges(spark, sf)).select("label", "key", F.coalesce("name", "key").alias("shown"))
 
 
-@register(f"WITH {_N}, {_E}, {_ENDS}, d AS (SELECT label, key, count(*) AS degree FROM ends GROUP BY ALL) SELECT label, key, coalesce(degree, 0) AS degree FROM nodes LEFT JOIN d USING (label, key)")
+@register(
+    f"WITH {_N}, {_E}, {_ENDS}, d AS (SELECT label, key, count(*) AS degree FROM ends GROUP BY ALL) SELECT label, key, coalesce(degree, 0) AS "
+    f"degree FROM nodes LEFT JOIN d USING (label, key)"
+)
 def kg_degree(spark, sf):
     return graph.degrees(D.nodes(spark, sf), D.edges(spark, sf))
 
 
-@register(f"WITH {_N}, {_R}, s AS (SELECT label, key, coalesce(name, key) AS shown FROM nodes) SELECT a.shown AS src, rel_type, b.shown AS dst, count(*) AS n FROM raw_edges JOIN s a ON a.label = src_label AND a.key = src_key JOIN s b ON b.label = dst_label AND b.key = dst_key GROUP BY ALL HAVING count(*) > 1")
+@register(
+    f"WITH {_N}, {_R}, s AS (SELECT label, key, coalesce(name, key) AS shown FROM nodes) SELECT a.shown AS src, rel_type, b.shown AS dst, "
+    f"count(*) AS n FROM raw_edges JOIN s a ON a.label = src_label AND a.key = src_key JOIN s b ON b.label = dst_label AND b.key = dst_key "
+    f"GROUP BY ALL HAVING count(*) > 1"
+)
 def kg_duplicates(spark, sf):
     return graph.duplicate_relations(D.raw_edges(spark, sf), D.nodes(spark, sf))
 
@@ -305,28 +381,43 @@ def kg_conformance(spark, sf):
     return graph.missing_properties(D.nodes(spark, sf))
 
 
-@register(f"WITH {_N}, v AS (SELECT label, key, CASE label WHEN 'Document' THEN 'title' ELSE 'name' END AS property FROM nodes WHERE prop IS NULL) SELECT label, key, property FROM (SELECT *, row_number() OVER (PARTITION BY label, property ORDER BY key) AS n FROM v) WHERE n <= 20")
+@register(
+    f"WITH {_N}, v AS (SELECT label, key, CASE label WHEN 'Document' THEN 'title' ELSE 'name' END AS property FROM nodes WHERE prop IS NULL) "
+    f"SELECT label, key, property FROM (SELECT *, row_number() OVER (PARTITION BY label, property ORDER BY key) AS n FROM v) WHERE n <= 20"
+)
 def kg_conformance_report(spark, sf):
     return graph.first_per_group(kg_conformance(spark, sf), ["label", "property"], ["key"], 20)
 
 
-@register("SELECT DISTINCT CASE event_type WHEN 'click' THEN 'MENTIONS_ORG' WHEN 'view' THEN 'RELATED_TO' ELSE event_type END AS rel_type, event_type IN ('click', 'view') AS valid FROM events")
+@register(
+    "SELECT DISTINCT CASE event_type WHEN 'click' THEN 'MENTIONS_ORG' WHEN 'view' THEN 'RELATED_TO' ELSE event_type END AS rel_type, "
+    "event_type IN ('click', 'view') AS valid FROM events"
+)
 def kg_invalid_predicates(spark, sf):
     t = F.col("event_type")
-    return graph.invalid_predicates(D.table(spark, sf, "events").select(F.when(t == "click", "MENTIONS_ORG").when(t == "view", "RELATED_TO").otherwise(t).alias("rel_type")))
+    return graph.invalid_predicates(
+        D.table(spark, sf, "events").select(F.when(t == "click", "MENTIONS_ORG").when(t == "view", "RELATED_TO").otherwise(t).alias("rel_type"))
+    )
 
 
-@register(f"WITH {_N} SELECT label, count(*) AS n, count(*) FILTER (WHERE source_text IS NULL) AS missing, count(*) FILTER (WHERE source_text = '') AS blank, round(count(*) FILTER (WHERE source_text IS NULL) / count(*), 6) AS missing_share FROM nodes GROUP BY label")
+@register(
+    f"WITH {_N} SELECT label, count(*) AS n, count(*) FILTER (WHERE source_text IS NULL) AS missing, count(*) FILTER (WHERE source_text = '') "
+    f"AS blank, round(count(*) FILTER (WHERE source_text IS NULL) / count(*), 6) AS missing_share FROM nodes GROUP BY label"
+)
 def kg_provenance(spark, sf):
     return graph.provenance(D.nodes(spark, sf))
 
 
-@register(f"WITH {D.VARIANTS_SQL} SELECT label, lower(trim(name)) AS norm, array_to_string(list_sort(list_distinct(list(name))), '|') AS variants, count(*) AS n FROM variants GROUP BY label, lower(trim(name)) HAVING count(*) > 1")
+@register(
+    f"WITH {D.VARIANTS_SQL} SELECT label, lower(trim(name)) AS norm, array_to_string(list_sort(list_distinct(list(name))), '|') AS variants, "
+    f"count(*) AS n FROM variants GROUP BY label, lower(trim(name)) HAVING count(*) > 1"
+)
 def kg_fragmentation(spark, sf):
     return graph.fragmentation(D.variants(spark, sf))
 
 
-@register(f"""WITH {_E}, {D.SEEDS_SQL} SELECT label, key, 'outgoing' AS direction, rel_type, dst_label AS n_label, dst_key AS n_key FROM seeds JOIN edges ON src_label = label AND src_key = key
+@register(f"""WITH {_E}, {D.SEEDS_SQL} SELECT label, key, 'outgoing' AS direction, rel_type, dst_label AS n_label, dst_key AS n_key
+  FROM seeds JOIN edges ON src_label = label AND src_key = key
 UNION ALL SELECT label, key, 'incoming', rel_type, src_label, src_key FROM seeds JOIN edges ON dst_label = label AND dst_key = key""")
 def kg_neighbors(spark, sf):
     return graph.neighbors(D.seeds(spark, sf), D.edges(spark, sf))
@@ -353,8 +444,15 @@ def graph_retrieve(spark, sf):
 
 
 _NORM = "trim(regexp_replace(regexp_replace(lower(name), '[^\\p{L}\\p{N}_\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
-_GROUPS = f"named AS (SELECT label, key, name, {_NORM} AS norm FROM variants), grp AS (SELECT label, norm, key, name FROM (SELECT *, count(*) OVER (PARTITION BY label, norm) AS c FROM named) WHERE c > 1)"
-_PICK = f"{_GROUPS}, {_ENDS}, deg AS (SELECT label, key, count(*) AS degree FROM ends GROUP BY ALL), pick AS (SELECT label, norm, key, first_value(key) OVER (PARTITION BY label, norm ORDER BY coalesce(degree, 0) DESC, key) AS canon FROM grp LEFT JOIN deg USING (label, key))"
+_GROUPS = (
+    f"named AS (SELECT label, key, name, {_NORM} AS norm FROM variants), grp AS (SELECT label, norm, key, name FROM (SELECT *, count(*) "
+    f"OVER (PARTITION BY label, norm) AS c FROM named) WHERE c > 1)"
+)
+_PICK = (
+    f"{_GROUPS}, {_ENDS}, deg AS (SELECT label, key, count(*) AS degree FROM ends GROUP BY ALL), pick AS (SELECT label, norm, key, "
+    f"first_value(key) OVER (PARTITION BY label, norm ORDER BY coalesce(degree, 0) DESC, key) AS canon FROM grp LEFT JOIN deg USING "
+    f"(label, key))"
+)
 
 
 @register(f"WITH {D.VARIANTS_SQL}, {_GROUPS} SELECT * FROM grp")
@@ -369,7 +467,8 @@ def canon_pick(spark, sf):
 
 
 @register(f"""WITH {D.VARIANTS_SQL}, {_E}, {_PICK}, m AS (SELECT label, key, canon FROM pick WHERE key <> canon)
-SELECT DISTINCT src_label, coalesce(a.canon, src_key) AS src_key, rel_type, dst_label, coalesce(b.canon, dst_key) AS dst_key FROM edges LEFT JOIN m a ON a.label = src_label AND a.key = src_key LEFT JOIN m b ON b.label = dst_label AND b.key = dst_key
+SELECT DISTINCT src_label, coalesce(a.canon, src_key) AS src_key, rel_type, dst_label, coalesce(b.canon, dst_key) AS dst_key FROM edges LEFT
+  JOIN m a ON a.label = src_label AND a.key = src_key LEFT JOIN m b ON b.label = dst_label AND b.key = dst_key
 WHERE NOT ((a.canon IS NOT NULL OR b.canon IS NOT NULL) AND src_label = dst_label AND coalesce(a.canon, src_key) = coalesce(b.canon, dst_key))""")
 def canon_repoint(spark, sf):
     return graph.repoint(D.edges(spark, sf), canon_pick(spark, sf))
@@ -377,31 +476,49 @@ def canon_repoint(spark, sf):
 
 @register()
 def canon_fuzzy(spark, sf):
-    names = D.table(spark, sf, "part").select(F.lit("Technology").alias("label"), F.concat(F.lit("p"), F.lpad(F.col("p_partkey").cast("string"), 9, "0")).alias("key"), T.normalize_name("p_name").alias("norm"))
+    names = D.table(spark, sf, "part").select(
+        F.lit("Technology").alias("label"), F.concat(F.lit("p"), F.lpad(F.col("p_partkey").cast("string"), 9, "0")).alias("key"),
+        T.normalize_name("p_name").alias("norm")
+    )
     return graph.fuzzy_groups(names)
 
 
 # ---- evaluation -----------------------------------------------------------------------------------------
 
-_JUDGED = "judged AS (SELECT d.source AS page, CASE WHEN quality = 1 THEN 'correct' WHEN l.doc_id % 2 = 0 THEN 'partial' ELSE 'wrong' END AS judgment, toxic = 1 AS hallucinated FROM labels l JOIN documents d USING (doc_id)), missing AS (SELECT source AS page, count(*) FILTER (WHERE doc_id % 10 = 0) AS n_missing FROM documents GROUP BY source)"
-_SCORES = f"""{_JUDGED}, c AS (SELECT page, count(*) AS n, count(*) FILTER (WHERE judgment = 'correct') AS k, count(*) FILTER (WHERE judgment = 'partial') AS p, count(*) FILTER (WHERE hallucinated) AS h FROM judged GROUP BY page),
-pr AS (SELECT page, n, (k + p) / n AS precision, CASE WHEN k + coalesce(n_missing, 0) = 0 THEN 0 ELSE k / (k + coalesce(n_missing, 0)) END AS recall, h / n AS hallucination FROM c LEFT JOIN missing USING (page)),
+_JUDGED = (
+    "judged AS (SELECT d.source AS page, CASE WHEN quality = 1 THEN 'correct' WHEN l.doc_id % 2 = 0 THEN 'partial' ELSE 'wrong' END AS "
+    "judgment, toxic = 1 AS hallucinated FROM labels l JOIN documents d USING (doc_id)), missing AS (SELECT source AS page, count(*) "
+    "FILTER (WHERE doc_id % 10 = 0) AS n_missing FROM documents GROUP BY source)"
+)
+_SCORES = f"""{_JUDGED}, c AS (SELECT page, count(*) AS n, count(*) FILTER (WHERE judgment = 'correct') AS k,
+  count(*) FILTER (WHERE judgment = 'partial') AS p, count(*) FILTER (WHERE hallucinated) AS h FROM judged GROUP BY page),
+pr AS (SELECT page, n, (k + p) / n AS precision, CASE WHEN k + coalesce(n_missing, 0) = 0 THEN 0 ELSE k / (k + coalesce(n_missing,
+  0)) END AS recall, h / n AS hallucination FROM c LEFT JOIN missing USING (page)),
 scores AS (SELECT *, CASE WHEN precision + recall = 0 THEN 0 ELSE 2 * precision * recall / (precision + recall) END AS f1 FROM pr)"""
 
 
 def _scores(spark, sf):
     docs = D.table(spark, sf, "documents")
-    judged = D.table(spark, sf, "labels").join(docs.select("doc_id", F.col("source").alias("page")), "doc_id").select("page", F.when(F.col("quality") == 1, "correct").when(F.col("doc_id") % 2 == 0, "partial").otherwise("wrong").alias("judgment"), (F.col("toxic") == 1).alias("hallucinated"))
+    judged = D.table(spark, sf, "labels").join(docs.select("doc_id", F.col("source").alias("page")), "doc_id").select(
+        "page", F.when(F.col("quality") == 1, "correct").when(F.col("doc_id") % 2 == 0, "partial").otherwise("wrong").alias("judgment"),
+        (F.col("toxic") == 1).alias("hallucinated")
+    )
     missing = docs.groupBy(F.col("source").alias("page")).agg(F.count_if(F.col("doc_id") % 10 == 0).alias("n_missing"))
     return evaluation.page_scores(judged, missing)
 
 
-@register(f"WITH {_SCORES} SELECT page, n, round(precision, 6) AS precision, round(recall, 6) AS recall, round(hallucination, 6) AS hallucination, round(f1, 6) AS f1 FROM scores")
+@register(
+    f"WITH {_SCORES} SELECT page, n, round(precision, 6) AS precision, round(recall, 6) AS recall, round(hallucination, 6) AS hallucination, "
+    f"round(f1, 6) AS f1 FROM scores"
+)
 def gold_b_pages(spark, sf):
     return _scores(spark, sf).select("page", "n", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "hallucination", "f1")])
 
 
-@register(f"WITH {_SCORES} SELECT count(*) AS pages, round(avg(precision), 4) AS precision, round(avg(recall), 4) AS recall, round(avg(f1), 4) AS f1, round(avg(hallucination), 4) AS hallucination FROM scores")
+@register(
+    f"WITH {_SCORES} SELECT count(*) AS pages, round(avg(precision), 4) AS precision, round(avg(recall), 4) AS recall, round(avg(f1), 4) AS "
+    f"f1, round(avg(hallucination), 4) AS hallucination FROM scores"
+)
 def gold_b_report(spark, sf):
     return evaluation.macro_report(_scores(spark, sf))
 
@@ -410,17 +527,26 @@ def gold_b_report(spark, sf):
   round(avg(CASE WHEN toxic = 0 THEN (doc_id % 97) / 97.0 END), 6) AS mean_cer_native, round(avg((doc_id % 89) / 89.0), 6) AS mean_cer_ocr FROM labels""")
 def gold_a_summary(spark, sf):
     i = F.col("doc_id")
-    pages = D.table(spark, sf, "labels").select(F.when(F.col("quality") == 1, "native").otherwise("ocr").alias("selected_method"), (F.col("toxic") == 0).alias("native_success"), F.lit(True).alias("ocr_success"), ((i % 97) / 97.0).alias("cer_native"), ((i % 89) / 89.0).alias("cer_ocr"))
+    pages = D.table(spark, sf, "labels").select(
+        F.when(F.col("quality") == 1, "native").otherwise("ocr").alias("selected_method"), (F.col("toxic") == 0).alias("native_success"),
+        F.lit(True).alias("ocr_success"), ((i % 97) / 97.0).alias("cer_native"), ((i % 89) / 89.0).alias("cer_ocr")
+    )
     return evaluation.method_votes(pages)
 
 
 def _results(spark, sf):
     i = F.col("event_id")
-    return D.table(spark, sf, "events").select(F.col("event_type").alias("method"), (i % 9 + 1).alias("total_pages"), F.abs("value").alias("processing_time"), (i % 512).cast("double").alias("memory_peak"), F.when(i % 4 != 0, (i % 31) / 31.0).alias("cer"), F.when(i % 20 == 0, 1).otherwise(0).alias("n_errors"))
+    return D.table(spark, sf, "events").select(
+        F.col("event_type").alias("method"), (i % 9 + 1).alias("total_pages"), F.abs("value").alias("processing_time"),
+        (i % 512).cast("double").alias("memory_peak"), F.when(i % 4 != 0, (i % 31) / 31.0).alias("cer"),
+        ((i % 37) / 37.0).alias("wer"), F.when(i % 3 != 0, (i % 41) / 41.0).alias("similarity"), F.when(i % 20 == 0, 1).otherwise(0).alias("n_errors")
+    )
 
 
-_COMPARED = """compared AS (SELECT event_type AS method, count(*) AS n, round(CASE WHEN sum(abs(value)) = 0 THEN 0 ELSE sum(event_id % 9 + 1) / sum(abs(value)) END, 6) AS pages_per_second, round(avg(event_id % 512), 6) AS mean_memory,
-  round(avg(CASE WHEN event_id % 4 <> 0 THEN (event_id % 31) / 31.0 END), 6) AS mean_cer FROM events WHERE event_id % 20 <> 0 GROUP BY event_type)"""
+_COMPARED = """compared AS (SELECT event_type AS method, count(*) AS n, round(CASE
+  WHEN sum(abs(value)) = 0 THEN 0 ELSE sum(event_id % 9 + 1) / sum(abs(value)) END, 6) AS pages_per_second, round(avg(event_id % 512), 6) AS mean_memory,
+  round(avg(CASE WHEN event_id % 4 <> 0 THEN (event_id % 31) / 31.0 END), 6) AS mean_cer, round(avg((event_id % 37) / 37.0), 6) AS mean_wer,
+  round(avg(CASE WHEN event_id % 3 <> 0 THEN (event_id % 41) / 41.0 END), 6) AS mean_similarity FROM events WHERE event_id % 20 <> 0 GROUP BY event_type)"""
 
 
 @register(f"WITH {_COMPARED} SELECT * FROM compared")
@@ -428,17 +554,27 @@ def method_compare(spark, sf):
     return evaluation.compare_methods(_results(spark, sf))
 
 
-@register(f"WITH {_COMPARED} SELECT (SELECT method FROM compared ORDER BY pages_per_second DESC, method DESC LIMIT 1) AS fastest, (SELECT method FROM compared ORDER BY mean_memory, method LIMIT 1) AS leanest, (SELECT method FROM compared ORDER BY mean_cer, method LIMIT 1) AS most_accurate")
+@register(
+    f"WITH {_COMPARED} SELECT (SELECT method FROM compared ORDER BY pages_per_second DESC, method DESC LIMIT 1) AS fastest, (SELECT method "
+    f"FROM compared ORDER BY mean_memory, method LIMIT 1) AS leanest, (SELECT method FROM compared ORDER BY mean_cer, method LIMIT 1) AS "
+    f"most_accurate"
+)
 def best_performers(spark, sf):
     return evaluation.best_performers(method_compare(spark, sf))
 
 
-@register("SELECT event_type AS metric, count(value) AS n, round(avg(value), 6) AS mean, round(median(value), 6) AS median, round(stddev_samp(value), 6) AS std FROM events GROUP BY event_type")
+@register(
+    "SELECT event_type AS metric, count(value) AS n, round(avg(value), 6) AS mean, round(median(value), 6) AS median, "
+    "round(stddev_samp(value), 6) AS std FROM events GROUP BY event_type"
+)
 def metric_summary(spark, sf):
     return evaluation.metric_summary(D.table(spark, sf, "events").select(F.col("event_type").alias("metric"), "value"))
 
 
-@register("SELECT doc_id, metric, least(value, 1.0) AS value FROM (SELECT doc_id, 'quality' AS metric, CAST(quality AS DOUBLE) AS value FROM labels UNION ALL SELECT doc_id, 'toxic', CAST(toxic AS DOUBLE) FROM labels)")
+@register(
+    "SELECT doc_id, metric, least(value, 1.0) AS value FROM (SELECT doc_id, 'quality' AS metric, CAST(quality AS DOUBLE) AS value FROM labels "
+    "UNION ALL SELECT doc_id, 'toxic', CAST(toxic AS DOUBLE) FROM labels)"
+)
 def metric_unpivot(spark, sf):
     wide = D.table(spark, sf, "labels").select("doc_id", F.col("quality").cast("double").alias("quality"), F.col("toxic").cast("double").alias("toxic"))
     return wide.unpivot("doc_id", ["quality", "toxic"], "metric", "value").withColumn("value", F.least("value", F.lit(1.0)))
@@ -455,17 +591,28 @@ def cer_wer_similarity(spark, sf):
 
     noisy = F.regexp_replace("text", "(.{16}).", "$1#")
     pairs = D.table(spark, sf, "benchmark").select("item_id", "text", noisy.alias("noisy"))
-    return pairs.select("item_id", F.round(metrics.cer("noisy", "text"), 6).alias("cer"), F.round(metrics.wer("noisy", "text"), 6).alias("wer"), F.round(metrics.similarity("noisy", "text"), 6).alias("similarity"), F.round(metrics.cer_levenshtein(F.col("noisy"), F.col("text")), 6).alias("cer_levenshtein"))
+    return pairs.select(
+        "item_id", F.round(metrics.cer("noisy", "text"), 6).alias("cer"), F.round(metrics.wer("noisy", "text"), 6).alias("wer"),
+        F.round(metrics.similarity("noisy", "text"), 6).alias("similarity"),
+        F.round(metrics.cer_levenshtein(F.col("noisy"), F.col("text")), 6).alias("cer_levenshtein")
+    )
 
 
 # ---- files, chunks, prompts -----------------------------------------------------------------------------
 
-_LOG = "log AS (SELECT user_id, arg_max(CASE event_type WHEN 'click' THEN 'processed' WHEN 'view' THEN 'in_progress' WHEN 'purchase' THEN 'failed' ELSE 'skipped' END, event_id) AS state FROM events GROUP BY user_id)"
+_LOG = (
+    "log AS (SELECT user_id, arg_max(CASE event_type WHEN 'click' THEN 'processed' WHEN 'view' THEN 'in_progress' WHEN 'purchase' THEN "
+    "'failed' ELSE 'skipped' END, event_id) AS state FROM events GROUP BY user_id)"
+)
 
 
 def _states(spark, sf):
     t = F.col("event_type")
-    log = D.table(spark, sf, "events").select(F.col("user_id").alias("file_name"), F.when(t == "click", "processed").when(t == "view", "in_progress").when(t == "purchase", "failed").otherwise("skipped").alias("state"), F.col("event_id").alias("seq"))
+    log = D.table(spark, sf, "events").select(
+        F.col("user_id").alias("file_name"),
+        F.when(t == "click", "processed").when(t == "view", "in_progress").when(t == "purchase", "failed").otherwise("skipped").alias("state"),
+        F.col("event_id").alias("seq")
+    )
     return files.current_states(log)
 
 
@@ -474,7 +621,9 @@ def file_state_counts(spark, sf):
     return files.state_counts(_states(spark, sf))
 
 
-@register(f"WITH {_LOG} SELECT doc_id AS file_name FROM documents WHERE doc_id NOT IN (SELECT user_id FROM log WHERE state IN ('processed', 'failed', 'skipped'))")
+@register(
+    f"WITH {_LOG} SELECT doc_id AS file_name FROM documents WHERE doc_id NOT IN (SELECT user_id FROM log WHERE state IN ('processed', 'failed', 'skipped'))"
+)
 def file_resume_antijoin(spark, sf):
     return files.pending(D.table(spark, sf, "documents").select(F.col("doc_id").alias("file_name")), _states(spark, sf))
 
@@ -484,10 +633,12 @@ def shard_assign(spark, sf):
     return files.shards(D.table(spark, sf, "documents").select("doc_id"), "doc_id", 7).select("doc_id", "place", "shard")
 
 
-@register("""WITH r AS (SELECT doc_id, lang, source, h, row_number() OVER (PARTITION BY lang, source ORDER BY h) AS k FROM (SELECT doc_id, lang, source, sha256(doc_id || '|42') AS h FROM documents)),
+@register("""WITH r AS (SELECT doc_id, lang, source, h, row_number() OVER (PARTITION BY lang, source ORDER BY h) AS k FROM (SELECT doc_id,
+  lang, source, sha256(doc_id || '|42') AS h FROM documents)),
 rest AS (SELECT *, row_number() OVER (ORDER BY h) AS n FROM r WHERE k > 2), t AS (SELECT count(*) AS taken FROM r WHERE k <= 2)
 SELECT doc_id, lang, source, 'primary' AS role FROM r WHERE k <= 2
-UNION ALL SELECT doc_id, lang, source, CASE WHEN n <= greatest(0, 400 - taken) THEN 'primary' ELSE 'reserve' END FROM rest, t WHERE n <= greatest(0, 400 - taken) + 200""")
+UNION ALL SELECT doc_id, lang, source, CASE WHEN n <= greatest(0, 400 - taken) THEN 'primary' ELSE 'reserve' END FROM rest, t
+  WHERE n <= greatest(0, 400 - taken) + 200""")
 def diverse_sample(spark, sf):
     return files.diverse_sample(D.table(spark, sf, "documents"), ["lang", "source"], "doc_id", target=400)
 
@@ -501,7 +652,10 @@ def chunk_split(spark, sf):
 
 
 _RECENT = "recent AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 6)"
-_HISTORY = f"{_RECENT}, history AS (SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN 'User' ELSE 'Assistant' END || ': ' || coalesce(text, ''), chr(10) ORDER BY turn) AS history FROM recent GROUP BY conv_id)"
+_HISTORY = (
+    f"{_RECENT}, history AS (SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN 'User' ELSE 'Assistant' END || ': ' || "
+    f"coalesce(text, ''), chr(10) ORDER BY turn) AS history FROM recent GROUP BY conv_id)"
+)
 
 
 @register(f"WITH {_RECENT} SELECT conv_id, turn, role, text FROM recent")
@@ -509,13 +663,21 @@ def chat_history_window(spark, sf):
     return prompts.recent_history(D.table(spark, sf, "conversations")).select("conv_id", "turn", "role", "text")
 
 
-@register(f"WITH {_HISTORY} SELECT conv_id, '=== CONVERSATION HISTORY ===' || chr(10) || chr(10) || history || chr(10) || chr(10) || '=== QUESTION ===' || chr(10) || chr(10) || 'Why?' AS prompt FROM history")
+@register(
+    f"WITH {_HISTORY} SELECT conv_id, '=== CONVERSATION HISTORY ===' || chr(10) || chr(10) || history || chr(10) || chr(10) || '=== QUESTION "
+    f"===' || chr(10) || chr(10) || 'Why?' AS prompt FROM history"
+)
 def prompt_build(spark, sf):
-    return prompts.history_block(D.table(spark, sf, "conversations")).select("conv_id", prompts.build_prompt(F.col("history"), F.lit(None).cast("string"), F.lit("Why?")).alias("prompt"))
+    return prompts.history_block(D.table(spark, sf, "conversations")).select(
+        "conv_id", prompts.build_prompt(F.col("history"), F.lit(None).cast("string"), F.lit("Why?")).alias("prompt")
+    )
 
 
-@register(f"""WITH {_BM25}, {_VECTOR}, {_FUSED}, l AS (SELECT query_id, hybrid.source, row_number() OVER (PARTITION BY query_id, hybrid.source ORDER BY rank) AS n, id, left(text, 500) AS t FROM hybrid JOIN documents ON doc_id = id)
-SELECT query_id, string_agg(CASE WHEN n = 1 THEN CASE source WHEN 'bm25' THEN '[KEYWORD MATCHES]' ELSE '[SEMANTIC MATCHES]' END || chr(10) ELSE '' END || n || '. [' || id || '] ' || t, chr(10) ORDER BY source, n) AS context FROM l GROUP BY query_id""")
+@register(f"""WITH {_BM25}, {_VECTOR}, {_FUSED}, l AS (SELECT query_id, hybrid.source, row_number() OVER (PARTITION BY query_id,
+  hybrid.source ORDER BY rank) AS n, id, left(text, 500) AS t FROM hybrid JOIN documents ON doc_id = id)
+SELECT query_id, string_agg(CASE WHEN n = 1 THEN CASE source
+  WHEN 'bm25' THEN '[KEYWORD MATCHES]' ELSE '[SEMANTIC MATCHES]' END || chr(10) ELSE '' END || n || '. [' || id || '] ' || t, chr(10)
+  ORDER BY source, n) AS context FROM l GROUP BY query_id""")
 def context_format(spark, sf):
     docs = D.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
     found = hybrid_topk(spark, sf).join(docs, "id").select("query_id", "rank", "source", F.col("id").cast("string").alias("document_id"), "text")

@@ -19,19 +19,30 @@ def _pages(spark, sf):
     i = F.col("doc_id")
     stem = F.concat(F.col("source"), F.lit("-"), F.floor(i / 3).cast("string"), F.lit("-x"))
     ocr = F.when(i % 5 != 0, F.left("text", F.lit(40))).otherwise("")
-    return D.table(spark, sf, "documents").select(stem.alias("stem"), stem.alias("document_id"), (i % 3 + 1).alias("place"), (i % 3 + 1).alias("page_number"), F.left("text", F.lit(30)).alias("native"), ocr.alias("ocr"), F.least(F.col("n_chars") / 4001.0, F.lit(1.0)).alias("coverage"))
+    return D.table(spark, sf, "documents").select(
+        stem.alias("stem"), stem.alias("document_id"), (i % 3 + 1).alias("place"), (i % 3 + 1).alias("page_number"),
+        F.left("text", F.lit(30)).alias("native"), ocr.alias("ocr"), F.least(F.col("n_chars") / 4001.0, F.lit(1.0)).alias("coverage")
+    )
 
 
-_PAGES = "pages AS (SELECT source || '-' || (doc_id // 3) || '-x' AS document_id, doc_id % 3 + 1 AS page_number, left(text, 30) AS native, CASE WHEN doc_id % 5 <> 0 THEN left(text, 40) ELSE '' END AS ocr, least(n_chars / 4001.0, 1.0) AS coverage FROM documents)"
+_PAGES = (
+    "pages AS (SELECT source || '-' || (doc_id // 3) || '-x' AS document_id, doc_id % 3 + 1 AS page_number, left(text, 30) AS native, "
+    "CASE WHEN doc_id % 5 <> 0 THEN left(text, 40) ELSE '' END AS ocr, least(n_chars / 4001.0, 1.0) AS coverage FROM documents)"
+)
 
 
-@register(f"""WITH {_PAGES} SELECT document_id, page_number, split_part(document_id, '-', 1) AS tracker, split_part(document_id, '-', 2) AS bug_id, document_id || '_page_' || page_number AS page_id,
+@register(f"""WITH {_PAGES} SELECT document_id, page_number, split_part(document_id, '-', 1) AS tracker, split_part(document_id, '-',
+  2) AS bug_id, document_id || '_page_' || page_number AS page_id,
   document_id || '_page_' || lpad(CAST(page_number AS VARCHAR), 4, '0') || '.png' AS image FROM pages""")
 def page_names(spark, sf):
-    return _pages(spark, sf).select("document_id", "page_number", pages.tracker("stem").alias("tracker"), pages.bug_id("stem").alias("bug_id"), pages.page_document_id("stem", "place").alias("page_id"), pages.image_name("stem", "page_number").alias("image"))
+    return _pages(spark, sf).select(
+        "document_id", "page_number", pages.tracker("stem").alias("tracker"), pages.bug_id("stem").alias("bug_id"),
+        pages.page_document_id("stem", "place").alias("page_id"), pages.image_name("stem", "page_number").alias("image")
+    )
 
 
-@register(f"""WITH {_PAGES}, j AS (SELECT document_id, string_agg(CASE WHEN ocr <> '' THEN ocr ELSE native END, chr(10) || chr(10) ORDER BY page_number, CASE WHEN ocr <> '' THEN ocr ELSE native END) FILTER (WHERE native <> '') AS t FROM pages GROUP BY document_id)
+@register(f"""WITH {_PAGES}, j AS (SELECT document_id, string_agg(CASE WHEN ocr <> '' THEN ocr ELSE native END, chr(10) || chr(10)
+  ORDER BY page_number, CASE WHEN ocr <> '' THEN ocr ELSE native END) FILTER (WHERE native <> '') AS t FROM pages GROUP BY document_id)
 SELECT document_id, md5(CASE WHEN length(t) > 100 THEN left(t, 100) || chr(10) || chr(10) || '[Text truncated...]' ELSE t END) AS text_md5 FROM j""")
 def document_export(spark, sf):
     return pages.export_text(_pages(spark, sf), 100).select("document_id", F.md5("text").alias("text_md5"))
@@ -42,13 +53,18 @@ def document_coverage(spark, sf):
     return pages.document_coverage(_pages(spark, sf))
 
 
-@register(f"WITH {_PAGES} SELECT split_part(document_id, '-', 1) AS batch, count(*) AS documents, CAST(sum(n) AS BIGINT) AS pages, min(n) AS min_pages, median(n) AS median_pages, max(n) AS max_pages FROM (SELECT document_id, count(*) AS n FROM pages GROUP BY document_id) GROUP BY batch")
+@register(
+    f"WITH {_PAGES} SELECT split_part(document_id, '-', 1) AS batch, count(*) AS documents, CAST(sum(n) AS BIGINT) AS pages, min(n) AS "
+    f"min_pages, median(n) AS median_pages, max(n) AS max_pages FROM (SELECT document_id, count(*) AS n FROM pages GROUP BY document_id) GROUP "
+    f"BY batch"
+)
 def corpus_profile(spark, sf):
     return pages.corpus_profile(_pages(spark, sf).select(pages.tracker("stem").alias("batch"), "document_id"))
 
 
 @register(f"""WITH {_PAGES}, n AS (SELECT * FROM pages WHERE page_number <> 1), o AS (SELECT * FROM pages WHERE page_number <> 2 AND ocr <> '')
-SELECT coalesce(n.document_id || '_' || n.page_number, o.document_id || '_' || o.page_number) AS document_id, n.native AS native_text, n.coverage AS native_coverage, o.ocr AS ocr_text
+SELECT coalesce(n.document_id || '_' || n.page_number, o.document_id || '_' || o.page_number) AS document_id, n.native AS native_text,
+  n.coverage AS native_coverage, o.ocr AS ocr_text
 FROM n FULL JOIN o ON n.document_id = o.document_id AND n.page_number = o.page_number""")
 def both_methods(spark, sf):
     p = _pages(spark, sf).withColumn("document_id", F.concat_ws("_", "document_id", F.col("page_number").cast("string")))
@@ -58,26 +74,38 @@ def both_methods(spark, sf):
     return pages.both_methods(native, ocr).select("document_id", "native_text", "native_coverage", "ocr_text")
 
 
-@register(f"WITH {_PAGES}, e AS (SELECT DISTINCT document_id AS stem FROM pages) SELECT stem, place, md5(native) AS page_md5 FROM (SELECT stem, unnest([1, 2, 3, 4]) AS place FROM e) x LEFT JOIN pages ON document_id = stem AND page_number = place")
+@register(
+    f"WITH {_PAGES}, e AS (SELECT DISTINCT document_id AS stem FROM pages) SELECT stem, place, md5(native) AS page_md5 FROM (SELECT stem, "
+    f"unnest([1, 2, 3, 4]) AS place FROM e) x LEFT JOIN pages ON document_id = stem AND page_number = place"
+)
 def source_pages(spark, sf):
     p = _pages(spark, sf)
     asked = p.select("stem").distinct().select("stem", F.explode(F.array(*[F.lit(n).cast("long") for n in (1, 2, 3, 4)])).alias("place"))
-    return pages.source_text(asked, p.select("stem", "place", F.col("native").alias("text"))).select("stem", F.col("place").cast("int").alias("place"), F.md5("source_page").alias("page_md5"))
+    return pages.source_text(asked, p.select("stem", "place", F.col("native").alias("text"))).select(
+        "stem", F.col("place").cast("int").alias("place"), F.md5("source_page").alias("page_md5")
+    )
 
 
 def _rated(spark, sf):
     i = F.col("doc_id")
     rate = lambda n: (i % n) / float(n)
-    return D.table(spark, sf, "labels").select("doc_id", (F.col("toxic") == 0).alias("ocr_success"), rate(97).alias("cer_native"), rate(89).alias("cer_ocr"), rate(83).alias("wer_native"), rate(79).alias("wer_ocr"))
+    return D.table(spark, sf, "labels").select(
+        "doc_id", (F.col("toxic") == 0).alias("ocr_success"), rate(97).alias("cer_native"), rate(89).alias("cer_ocr"),
+        rate(83).alias("wer_native"), rate(79).alias("wer_ocr")
+    )
 
 
-@register("""SELECT doc_id, round(n - o, 6) AS cer_gain, round((doc_id % 83) / 83.0 - (doc_id % 79) / 79.0, 6) AS wer_gain, CASE WHEN n > o THEN 'ocr' ELSE 'native' END AS better, NOT coalesce(toxic = 0, false) OR o > 0.9 AS ocr_failed
+@register("""SELECT doc_id, round(n - o, 6) AS cer_gain, round((doc_id % 83) / 83.0 - (doc_id % 79) / 79.0, 6) AS wer_gain, CASE
+  WHEN n > o THEN 'ocr' ELSE 'native' END AS better, NOT coalesce(toxic = 0, false) OR o > 0.9 AS ocr_failed
 FROM (SELECT doc_id, toxic, (doc_id % 97) / 97.0 AS n, (doc_id % 89) / 89.0 AS o FROM labels)""")
 def method_differences(spark, sf):
     rated = _rated(spark, sf)
     failed = pages.failures(rated, "ocr").select("doc_id").distinct().withColumn("ocr_failed", F.lit(True))
     found = pages.method_differences(rated).join(failed, "doc_id", "left")
-    return found.select("doc_id", F.round("cer_gain", 6).alias("cer_gain"), F.round("wer_gain", 6).alias("wer_gain"), "better", F.coalesce("ocr_failed", F.lit(False)).alias("ocr_failed"))
+    return found.select(
+        "doc_id", F.round("cer_gain", 6).alias("cer_gain"), F.round("wer_gain", 6).alias("wer_gain"), "better",
+        F.coalesce("ocr_failed", F.lit(False)).alias("ocr_failed")
+    )
 
 
 # ---- annotation stores ----------------------------------------------------------------------------------------
@@ -92,8 +120,10 @@ def _texts(spark, sf):
     return old, docs.withColumn("timestamp", F.lit("2026-01-02"))
 
 
-_RATES = """SELECT 'd' || doc_id AS pdf_path, md5(text) AS truth_md5, CASE WHEN doc_id % 4 = 0 THEN 1.0 ELSE 0.0 END AS cer_native, CASE WHEN doc_id % 4 = 0 THEN 1.0 ELSE 0.0 END AS wer_native,
-  CASE WHEN doc_id % 5 = 0 OR doc_id % 3 = 0 THEN 1.0 ELSE 0.0 END AS cer_ocr, CASE WHEN doc_id % 5 = 0 OR doc_id % 3 = 0 THEN 1.0 ELSE 0.0 END AS wer_ocr FROM documents"""
+_RATES = """SELECT 'd' || doc_id AS pdf_path, md5(text) AS truth_md5, CASE WHEN doc_id % 4 = 0 THEN 1.0 ELSE 0.0 END AS cer_native, CASE
+  WHEN doc_id % 4 = 0 THEN 1.0 ELSE 0.0 END AS wer_native,
+  CASE WHEN doc_id % 5 = 0 OR doc_id % 3 = 0 THEN 1.0 ELSE 0.0 END AS cer_ocr, CASE
+  WHEN doc_id % 5 = 0 OR doc_id % 3 = 0 THEN 1.0 ELSE 0.0 END AS wer_ocr FROM documents"""
 
 
 @register(_RATES)
@@ -101,7 +131,10 @@ def gold_a_store(spark, sf):
     old, new = _texts(spark, sf)
     empty = annotations.with_text_metrics(old.where("false"))
     saved = annotations.save_texts(annotations.save_texts(empty, old), new)
-    return annotations.training_export(saved).select("pdf_path", F.md5("ground_truth").alias("truth_md5"), "metrics.cer_native", "metrics.wer_native", "metrics.cer_ocr", "metrics.wer_ocr")
+    return annotations.training_export(saved).select(
+        "pdf_path", F.md5("ground_truth").alias("truth_md5"), "metrics.cer_native", "metrics.wer_native", "metrics.cer_ocr",
+        "metrics.wer_ocr"
+    )
 
 
 def _judged(spark, sf):
@@ -116,16 +149,28 @@ def _judged(spark, sf):
     page = D.table(spark, sf, "labels").groupBy((i % 50).alias("p")).agg(
         F.collect_list(entity).alias("entity_annotations"), F.collect_list(F.when(i % 2 == 1, relation)).alias("relation_annotations"),
         F.collect_list(F.when(i % 3 == 0, missing)).alias("missing_entities"), F.collect_list(F.when(i % 6 == 1, absent)).alias("missing_relations"))
-    return page.select(F.concat(F.lit("p"), F.col("p").cast("string")).alias("document_id"), F.lit(1).alias("page_number"), F.lit("t").alias("timestamp"), "*").drop("p")
-
-
-_JUDGED = """l AS (SELECT doc_id % 50 AS p, doc_id, CASE WHEN quality = 1 THEN 'correct' WHEN doc_id % 2 = 0 THEN 'partial' ELSE 'wrong' END AS j, coalesce(toxic = 1, false) AS h FROM labels),
-c AS (SELECT p, count(*) AS n, count(*) FILTER (WHERE j = 'correct') AS k, count(*) FILTER (WHERE j IN ('correct', 'partial')) AS kp, count(*) FILTER (WHERE doc_id % 3 = 0) AS m, count(*) FILTER (WHERE h) AS h,
-  count(*) FILTER (WHERE doc_id % 2 = 1) AS rn, count(*) FILTER (WHERE doc_id % 2 = 1 AND j = 'correct') AS rk, count(*) FILTER (WHERE doc_id % 6 = 1) AS rm, count(*) FILTER (WHERE doc_id % 7 <> 0) AS v FROM l GROUP BY p),
-r AS (SELECT *, kp / n AS ep, CASE WHEN k + m = 0 THEN 0 ELSE k / (k + m) END AS er, CASE WHEN rn = 0 THEN 0 ELSE rk / rn END AS rp, CASE WHEN rk + rm = 0 THEN 0 ELSE rk / (rk + rm) END AS rr FROM c),
-saved AS (SELECT 'p' || p AS document_id, round(ep, 4) AS entity_precision, round(er, 4) AS entity_recall, round(CASE WHEN ep + er = 0 THEN 0 ELSE 2 * ep * er / (ep + er) END, 4) AS entity_f1,
-  round(rp, 4) AS relation_precision, round(rr, 4) AS relation_recall, round(CASE WHEN rp + rr = 0 THEN 0 ELSE 2 * rp * rr / (rp + rr) END, 4) AS relation_f1, round(h / (n + rn), 4) AS hallucination_rate, round((v + rn) / (n + rn), 4) AS schema_validity_rate FROM r)"""
-_MEASURES = ["entity_precision", "entity_recall", "entity_f1", "relation_precision", "relation_recall", "relation_f1", "hallucination_rate", "schema_validity_rate"]
+    return page.select(
+        F.concat(F.lit("p"), F.col("p").cast("string")).alias("document_id"), F.lit(1).alias("page_number"), F.lit("t").alias("timestamp"),
+        "*"
+    ).drop("p")
+
+
+_JUDGED = """l AS (SELECT doc_id % 50 AS p, doc_id, CASE WHEN quality = 1 THEN 'correct'
+  WHEN doc_id % 2 = 0 THEN 'partial' ELSE 'wrong' END AS j, coalesce(toxic = 1, false) AS h FROM labels),
+c AS (SELECT p, count(*) AS n, count(*) FILTER (WHERE j = 'correct') AS k, count(*) FILTER (WHERE j IN ('correct', 'partial')) AS kp,
+  count(*) FILTER (WHERE doc_id % 3 = 0) AS m, count(*) FILTER (WHERE h) AS h,
+  count(*) FILTER (WHERE doc_id % 2 = 1) AS rn, count(*) FILTER (WHERE doc_id % 2 = 1 AND j = 'correct') AS rk,
+  count(*) FILTER (WHERE doc_id % 6 = 1) AS rm, count(*) FILTER (WHERE doc_id % 7 <> 0) AS v FROM l GROUP BY p),
+r AS (SELECT *, kp / n AS ep, CASE WHEN k + m = 0 THEN 0 ELSE k / (k + m) END AS er, CASE WHEN rn = 0 THEN 0 ELSE rk / rn END AS rp, CASE
+  WHEN rk + rm = 0 THEN 0 ELSE rk / (rk + rm) END AS rr FROM c),
+saved AS (SELECT 'p' || p AS document_id, round(ep, 4) AS entity_precision, round(er, 4) AS entity_recall, round(CASE
+  WHEN ep + er = 0 THEN 0 ELSE 2 * ep * er / (ep + er) END, 4) AS entity_f1,
+  round(rp, 4) AS relation_precision, round(rr, 4) AS relation_recall, round(CASE WHEN rp + rr = 0 THEN 0 ELSE 2 * rp * rr / (rp + rr) END,
+  4) AS relation_f1, round(h / (n + rn), 4) AS hallucination_rate, round((v + rn) / (n + rn), 4) AS schema_validity_rate FROM r)"""
+_MEASURES = [
+    "entity_precision", "entity_recall", "entity_f1", "relation_precision", "relation_recall", "relation_f1", "hallucination_rate",
+    "schema_validity_rate"
+]
 
 
 def _saved(spark, sf):
@@ -138,23 +183,38 @@ def gold_b_store(spark, sf):
     return _saved(spark, sf).select("document_id", *[F.col(m).cast("double").alias(m) for m in _MEASURES])
 
 
-@register(f"WITH {_JUDGED} SELECT count(*) AS total, count(entity_f1) AS annotated, " + ", ".join(f"round(avg({m}), 4) AS mean_{m}" for m in _MEASURES) + " FROM saved")
+@register(
+    f"WITH {_JUDGED} SELECT count(*) AS total, count(entity_f1) AS annotated, " + ", ".join(
+        f"round(avg({m}), 4) AS mean_{m}" for m in _MEASURES
+    ) + " FROM saved"
+)
 def gold_b_statistics(spark, sf):
     return annotations.store_statistics(_saved(spark, sf))
 
 
-@register("SELECT source AS page, n, round(k / n, 6) AS precision, round(CASE WHEN k + m = 0 THEN 0 ELSE k / (k + m) END, 6) AS recall FROM (SELECT source, count(*) AS n, count(*) FILTER (WHERE quality = 1) AS k FROM labels JOIN documents USING (doc_id) GROUP BY source) JOIN (SELECT source, count(*) FILTER (WHERE doc_id % 10 = 0) AS m FROM documents GROUP BY source) USING (source)")
+@register(
+    "SELECT source AS page, n, round(k / n, 6) AS precision, round(CASE WHEN k + m = 0 THEN 0 ELSE k / (k + m) END, 6) AS recall FROM (SELECT "
+    "source, count(*) AS n, count(*) FILTER (WHERE quality = 1) AS k FROM labels JOIN documents USING (doc_id) GROUP BY source) JOIN (SELECT "
+    "source, count(*) FILTER (WHERE doc_id % 10 = 0) AS m FROM documents GROUP BY source) USING (source)"
+)
 def relation_scores(spark, sf):
     docs = D.table(spark, sf, "documents")
-    judged = D.table(spark, sf, "labels").join(docs.select("doc_id", F.col("source").alias("page")), "doc_id").select("page", F.when(F.col("quality") == 1, "correct").otherwise("wrong").alias("judgment"))
+    judged = D.table(spark, sf, "labels").join(docs.select("doc_id", F.col("source").alias("page")), "doc_id").select(
+        "page", F.when(F.col("quality") == 1, "correct").otherwise("wrong").alias("judgment")
+    )
     missing = docs.groupBy(F.col("source").alias("page")).agg(F.count_if(F.col("doc_id") % 10 == 0).alias("n_missing"))
     return annotations.relation_scores(judged, missing).select("page", "n", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
 
 
-@register("""SELECT doc_id, 'n' || doc_id AS name, lang AS entity_type FROM documents UNION ALL SELECT doc_id, 'm', 'City' FROM documents WHERE doc_id % 2 = 0""")
+@register(
+    """SELECT doc_id, 'n' || doc_id AS name, lang AS entity_type FROM documents UNION ALL SELECT doc_id, 'm', 'City' FROM documents WHERE doc_id % 2 = 0"""
+)
 def missing_items(spark, sf):
     i = F.col("doc_id").cast("string")
-    text = F.concat(F.lit(" n"), i, F.lit(" |  "), F.col("lang"), F.lit("\n | nameless\nno type\n"), F.when(F.col("doc_id") % 2 == 0, "m|City|more").otherwise(""))
+    text = F.concat(
+        F.lit(" n"), i, F.lit(" |  "), F.col("lang"), F.lit("\n | nameless\nno type\n"),
+        F.when(F.col("doc_id") % 2 == 0, "m|City|more").otherwise("")
+    )
     found = D.table(spark, sf, "documents").select("doc_id", F.explode(annotations.missing_items(text, ["name", "entity_type"])).alias("x"))
     return found.select("doc_id", "x.*")
 
@@ -163,10 +223,16 @@ def missing_items(spark, sf):
 
 
 def _chunks(spark, sf):
-    return D.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), "text", F.col("source").alias("document_id"), (F.col("doc_id") % 9).cast("int").alias("page_number"))
+    return D.table(spark, sf, "documents").select(
+        F.col("doc_id").cast("string").alias("chunk_id"), "text", F.col("source").alias("document_id"),
+        (F.col("doc_id") % 9).cast("int").alias("page_number")
+    )
 
 
-@register("SELECT count(DISTINCT source) AS documents, count(DISTINCT source || '|' || (doc_id % 9)) AS pages, count(*) AS chunks, CAST(sum(length(text)) AS BIGINT) AS characters FROM documents")
+@register(
+    "SELECT count(DISTINCT source) AS documents, count(DISTINCT source || '|' || (doc_id % 9)) AS pages, count(*) AS chunks, "
+    "CAST(sum(length(text)) AS BIGINT) AS characters FROM documents"
+)
 def index_statistics(spark, sf):
     return index.index_statistics(_chunks(spark, sf))
 
@@ -193,17 +259,27 @@ def index_search(spark, sf):
 
 # ---- files and evaluation -------------------------------------------------------------------------------------------
 
-_LOG = "log AS (SELECT user_id AS file_name, arg_max(CASE event_type WHEN 'click' THEN 'completed' WHEN 'view' THEN 'processing' WHEN 'purchase' THEN 'failed' ELSE 'skipped' END, event_id) AS state, arg_max(CASE WHEN event_type = 'purchase' THEN 'ocr' END, event_id) AS wrong, max(event_id) AS seq FROM events GROUP BY user_id)"
+_LOG = (
+    "log AS (SELECT user_id AS file_name, arg_max(CASE event_type WHEN 'click' THEN 'completed' WHEN 'view' THEN 'processing' WHEN "
+    "'purchase' THEN 'failed' ELSE 'skipped' END, event_id) AS state, arg_max(CASE WHEN event_type = 'purchase' THEN 'ocr' END, event_id) "
+    "AS wrong, max(event_id) AS seq FROM events GROUP BY user_id)"
+)
 
 
 def _events_log(spark, sf):
     t = F.col("event_type")
     state = F.when(t == "click", "completed").when(t == "view", "processing").when(t == "purchase", "failed").otherwise("skipped")
     failed = lambda v: F.when(t == "purchase", F.lit(v))
-    return D.table(spark, sf, "events").select(F.col("user_id").alias("file_name"), state.alias("state"), failed("ocr").alias("stage"), failed("timeout").alias("error"), F.when(state == "skipped", "too large").alias("reason"), F.col("event_id").alias("seq"))
+    return D.table(spark, sf, "events").select(
+        F.col("user_id").alias("file_name"), state.alias("state"), failed("ocr").alias("stage"), failed("timeout").alias("error"),
+        F.when(state == "skipped", "too large").alias("reason"), F.col("event_id").alias("seq")
+    )
 
 
-@register(f"WITH {_LOG} SELECT file_name, state, CASE WHEN state = 'failed' THEN 'ocr' END AS stage, CASE WHEN state = 'failed' THEN 'timeout' END AS error, CASE WHEN state = 'skipped' THEN 'too large' END AS reason FROM log WHERE state IN ('failed', 'skipped')")
+@register(
+    f"WITH {_LOG} SELECT file_name, state, CASE WHEN state = 'failed' THEN 'ocr' END AS stage, CASE WHEN state = 'failed' THEN 'timeout' END "
+    f"AS error, CASE WHEN state = 'skipped' THEN 'too large' END AS reason FROM log WHERE state IN ('failed', 'skipped')"
+)
 def files_not_processed(spark, sf):
     return files.in_state(files.latest_events(_events_log(spark, sf)), "failed", "skipped")
 
@@ -221,7 +297,10 @@ def states_reset(spark, sf):
     return files.reset(states, states.where("file_name % 3 = 0").select("file_name"))
 
 
-@register("WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256(doc_id || '|42')) AS n FROM documents WHERE lang IN ('en', 'fr', 'de')) SELECT doc_id, lang FROM r WHERE n <= CASE lang WHEN 'en' THEN 20 WHEN 'fr' THEN 10 ELSE 10 END")
+@register(
+    "WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256(doc_id || '|42')) AS n FROM documents WHERE lang IN "
+    "('en', 'fr', 'de')) SELECT doc_id, lang FROM r WHERE n <= CASE lang WHEN 'en' THEN 20 WHEN 'fr' THEN 10 ELSE 10 END"
+)
 def fixed_mix(spark, sf):
     return files.fixed_mix(D.table(spark, sf, "documents"), {"en": 0.5, "fr": 0.25, "de": 0.25}, "lang", "doc_id", target=40)
 
@@ -231,11 +310,34 @@ def type_counts(spark, sf):
     return files.type_counts(D.table(spark, sf, "documents").select(F.concat_ws("/", F.lit("data"), "source", F.lit("f.pdf")).alias("path")))
 
 
-@register("""SELECT item_id, CAST((len(list_filter(['d' || item_id, 'x', 'd' || (item_id + 1)], lambda x: x = 'd' || (item_id + 1) OR x = 'c' || item_id))) / 2.0 AS DOUBLE) AS recall_3, CAST(0 AS DOUBLE) AS recall_1, round(1.0 / 3, 6) AS mrr,
+@register("""SELECT item_id, CAST((len(list_filter(['d' || item_id, 'x', 'd' || (item_id + 1)],
+  lambda x: x = 'd' || (item_id + 1) OR x = 'c' || item_id))) / 2.0 AS DOUBLE) AS recall_3, CAST(0 AS DOUBLE) AS recall_1, round(1.0 / 3, 6) AS mrr,
   'c' || item_id || ',' || 'd' || (item_id + 1) AS relevant FROM benchmark""")
 def id_list_scores(spark, sf):
     i = F.col("item_id")
     d, c = lambda n: F.concat(F.lit("d"), n.cast("string")), F.concat(F.lit("c"), i.cast("string"))
-    rows = D.table(spark, sf, "benchmark").select("item_id", F.array(d(i), F.lit("x"), d(i + 1)).alias("got"), retrieval.relevant_ids(F.array(d(i + 1)), F.array(c, d(i + 1))).alias("want"))
+    rows = D.table(spark, sf, "benchmark").select(
+        "item_id", F.array(d(i), F.lit("x"), d(i + 1)).alias("got"),
+        retrieval.relevant_ids(F.array(d(i + 1)), F.array(c, d(i + 1))).alias("want")
+    )
     recall = lambda k: retrieval.id_list_recall(F.col("got"), F.col("want"), k).alias(f"recall_{k}")
-    return rows.select("item_id", recall(3), recall(1), F.round(retrieval.id_list_mrr(F.col("got"), F.col("want")), 6).alias("mrr"), F.array_join("want", ",").alias("relevant"))
+    return rows.select(
+        "item_id", recall(3), recall(1), F.round(retrieval.id_list_mrr(F.col("got"), F.col("want")), 6).alias("mrr"),
+        F.array_join("want", ",").alias("relevant")
+    )
+
+
+@register("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def files_unselected(spark, sf):
+    return files.unselected(D.table(spark, sf, "documents").select("doc_id"), D.table(spark, sf, "labels"), "doc_id")
+
+
+@register("SELECT doc_id, source FROM documents WHERE source = 'src1' ORDER BY doc_id LIMIT 1")
+def file_lookup(spark, sf):
+    return files.lookup(D.table(spark, sf, "documents").select("doc_id", "source"), ["doc_id"], source="src1")
+
+
+@register("SELECT doc_id, quality, toxic, quality - toxic AS net FROM labels")
+def flat_metrics(spark, sf):
+    nested = F.struct("quality", "toxic", (F.col("quality") - F.col("toxic")).alias("net")).alias("metrics")
+    return pages.flat_metrics(D.table(spark, sf, "labels").select("doc_id", nested))

@@ -96,7 +96,9 @@ def generate_answers(prompts: DataFrame, generate: Generator) -> DataFrame:
                     rows.append((query_id, prompt, None, str(e)))
             yield pd.DataFrame(rows, columns=["query_id", "prompt", "answer", "error"])
 
-    return prompts.select("query_id", "prompt").mapInPandas(run, f"query_id {prompts.schema['query_id'].dataType.simpleString()}, prompt string, answer string, error string")
+    return prompts.select("query_id", "prompt").mapInPandas(
+        run, f"query_id {prompts.schema['query_id'].dataType.simpleString()}, prompt string, answer string, error string"
+    )
 
 
 def stream_answer(prompt: str, generate: Generator, whole: Callable[[str], str] | None = None) -> Iterator[dict]:

@@ -15,12 +15,23 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as X
 
-PAGE = "STRUCT<page_number INT, native STRUCT<text STRING, tables ARRAY<ARRAY<ARRAY<STRING>>>, coverage DOUBLE, word_count INT, char_count INT, success BOOLEAN, error STRING, processing_time_ms INT>, ocr STRUCT<text STRING, success BOOLEAN, error STRING, image_path STRING, processing_time_ms INT>>"
-RESULT = f"source_pdf STRING, total_pages INT, pages ARRAY<{PAGE}>, summary STRUCT<native_success_rate STRING, ocr_success_rate STRING, average_native_coverage DOUBLE, ocr_failed_pages ARRAY<INT>, native_failed_pages ARRAY<INT>, total_processing_time_seconds DOUBLE, extracted_at STRING>"
+PAGE = (
+    "STRUCT<page_number INT, native STRUCT<text STRING, tables ARRAY<ARRAY<ARRAY<STRING>>>, coverage DOUBLE, word_count INT, char_count "
+    "INT, success BOOLEAN, error STRING, processing_time_ms INT>, ocr STRUCT<text STRING, success BOOLEAN, error STRING, image_path "
+    "STRING, processing_time_ms INT>>"
+)
+RESULT = (
+    f"source_pdf STRING, total_pages INT, pages ARRAY<{PAGE}>, summary STRUCT<native_success_rate STRING, ocr_success_rate STRING, "
+    f"average_native_coverage DOUBLE, ocr_failed_pages ARRAY<INT>, native_failed_pages ARRAY<INT>, total_processing_time_seconds DOUBLE, "
+    f"extracted_at STRING>"
+)
 ENTITY = "STRUCT<name STRING, type STRING, properties MAP<STRING,STRING>, confidence DOUBLE, source_text STRING>"
 RELATION = "STRUCT<source STRING, target STRING, type STRING, properties MAP<STRING,STRING>, confidence DOUBLE, source_text STRING>"
 EXTRACTION = f"source_document STRING, entities ARRAY<{ENTITY}>, relations ARRAY<{RELATION}>, processing_metadata MAP<STRING,STRING>"
-EVAL_QUERY = "query_id STRING, question STRING, relevant_document_ids ARRAY<STRING>, relevant_chunk_ids ARRAY<STRING>, expected_entities ARRAY<STRING>, category STRING, difficulty STRING, notes STRING"
+EVAL_QUERY = (
+    "query_id STRING, question STRING, relevant_document_ids ARRAY<STRING>, relevant_chunk_ids ARRAY<STRING>, expected_entities "
+    "ARRAY<STRING>, category STRING, difficulty STRING, notes STRING"
+)
 
 
 def binary_files(spark: SparkSession, folder: str, pattern: str = "*.pdf", recursive: bool = False) -> DataFrame:
@@ -58,13 +69,18 @@ def processed_results(spark: SparkSession, root: str) -> DataFrame:
 
 def result_pages(documents: DataFrame) -> DataFrame:
     """(document_id, source_pdf, pos, page_number, native, ocr), pos from 1 in file order."""
-    return documents.select(F.col("stem").alias("document_id"), "source_pdf", F.posexplode("pages").alias("p", "page")).select("document_id", "source_pdf", (F.col("p") + 1).alias("pos"), "page.*")
+    return documents.select(
+        F.col("stem").alias("document_id"), "source_pdf", F.posexplode("pages").alias("p", "page")
+    ).select("document_id", "source_pdf", (F.col("p") + 1).alias("pos"), "page.*")
 
 
 def combined_text(documents: DataFrame) -> DataFrame:
     """(document_id, text, tables): native texts joined by blank lines, all tables in order."""
     texts = F.transform("pages", lambda p: F.coalesce(p["native"]["text"], F.lit("")))
-    return documents.select(F.col("stem").alias("document_id"), F.array_join(texts, "\n\n").alias("text"), F.flatten(F.transform("pages", lambda p: F.coalesce(p["native"]["tables"], F.array()))).alias("tables"))
+    return documents.select(
+        F.col("stem").alias("document_id"), F.array_join(texts, "\n\n").alias("text"),
+        F.flatten(F.transform("pages", lambda p: F.coalesce(p["native"]["tables"], F.array()))).alias("tables")
+    )
 
 
 def nonempty_tables(tables):
@@ -86,7 +102,10 @@ def extraction_rows(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     out = []
     for field, ends in (("entities", ["name", "type"]), ("relations", ["source", "target", "type"])):
         each = found.select("file", own.alias("extraction"), F.col("ord").alias("at"), F.posexplode(field).alias("ord", "x"))
-        rest = [F.coalesce("x.properties", F.create_map().cast("map<string,string>")).alias("properties"), F.coalesce("x.confidence", F.lit(1.0)).alias("confidence"), F.coalesce("x.source_text", F.lit("")).alias("source_text")]
+        rest = [
+            F.coalesce("x.properties", F.create_map().cast("map<string,string>")).alias("properties"),
+            F.coalesce("x.confidence", F.lit(1.0)).alias("confidence"), F.coalesce("x.source_text", F.lit("")).alias("source_text")
+        ]
         out.append(each.select("file", "extraction", "ord", *[F.col(f"x.{e}").alias(e) for e in ends], *rest, F.struct("file", "at", "ord").alias("seq")))
     return out[0], out[1]
 
@@ -111,7 +130,10 @@ def eval_queries(spark: SparkSession, path: str) -> DataFrame:
 def text_files(spark: SparkSession, folder: str, pattern: str = "*.txt") -> DataFrame:
     """(document_id, text), one row a file."""
     df = spark.read.option("wholetext", "true").option("pathGlobFilter", pattern).text(folder)
-    return df.select(F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"\.[^.]*$", "").alias("document_id"), F.col("value").alias("text"))
+    return df.select(
+        F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"\.[^.]*$", "").alias("document_id"),
+        F.col("value").alias("text")
+    )
 
 
 def file_list(spark: SparkSession, path: str) -> DataFrame:
@@ -119,7 +141,10 @@ def file_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("path")).where("path <> ''")
 
 
-def parse_documents(files: DataFrame, parse: Callable[[bytes], list[dict]], schema: str = "page_number int, text string, tables array<array<array<string>>>, width double, height double") -> DataFrame:
+def parse_documents(
+    files: DataFrame, parse: Callable[[bytes], list[dict]],
+    schema: str = "page_number int, text string, tables array<array<array<string>>>, width double, height double"
+) -> DataFrame:
     """Pages of binary files by an injected parser; a file that fails gives one row with its error."""
     kinds = T.StructType.fromDDL(schema)
 
@@ -130,7 +155,10 @@ def parse_documents(files: DataFrame, parse: Callable[[bytes], list[dict]], sche
                     rows, error = parse(content.as_py()), None
                 except Exception as e:  # one bad file is a row, not a failed job
                     rows, error = [{}], str(e)
-                columns = [pa.array([path] * len(rows)), *(pa.array([r.get(f.name) for r in rows], to_arrow_type(f.dataType)) for f in kinds), pa.array([error] * len(rows), pa.string())]
+                columns = [
+                    pa.array([path] * len(rows)), *(pa.array([r.get(f.name) for r in rows], to_arrow_type(f.dataType)) for f in kinds),
+                    pa.array([error] * len(rows), pa.string())
+                ]
                 yield pa.RecordBatch.from_arrays(columns, ["path", *kinds.names, "error"])
 
     return files.select("path", "content").mapInArrow(run, f"path string, {schema}, error string")
@@ -140,7 +168,9 @@ def native_pages(parsed: DataFrame) -> DataFrame:
     """Parsed pages (path, page_number, text, tables, width, height, error) with word_count, char_count and coverage, and only tables with a cell."""
     text = F.coalesce("text", F.lit(""))
     counts = {"text": text, "tables": nonempty_tables(F.coalesce("tables", F.array())), "word_count": X.word_count(text), "char_count": F.length(text)}
-    return parsed.withColumns(counts).withColumn("coverage", X.page_coverage("char_count", F.coalesce("width", F.lit(0.0)), F.coalesce("height", F.lit(0.0)))).drop("width", "height")
+    return parsed.withColumns(counts).withColumn(
+        "coverage", X.page_coverage("char_count", F.coalesce("width", F.lit(0.0)), F.coalesce("height", F.lit(0.0)))
+    ).drop("width", "height")
 
 
 def page_counts(files: DataFrame, count: Callable[[bytes], int]) -> DataFrame:

@@ -42,7 +42,10 @@ def test_splitter_windows():
 
 def test_text_expressions(spark):
     df = spark.createDataFrame([("  A b\x1cc ", "G " * 150, "Foo-Bar!  baz")], "a string, g string, n string")
-    row = df.select(T.tokens("a").alias("t"), T.word_count("a").alias("w"), T.is_garbage("g").alias("g"), T.is_garbage("n").alias("h"), T.normalize_name("n").alias("n"), T.document_of_chunk(F.lit(None).cast("string"), F.lit("d_chunk_1_chunk_2")).alias("d")).first()
+    row = df.select(
+        T.tokens("a").alias("t"), T.word_count("a").alias("w"), T.is_garbage("g").alias("g"), T.is_garbage("n").alias("h"),
+        T.normalize_name("n").alias("n"), T.document_of_chunk(F.lit(None).cast("string"), F.lit("d_chunk_1_chunk_2")).alias("d")
+    ).first()
     assert (row.t, row.w, row.g, row.h, row.n, row.d) == (["a", "b", "c"], 3, True, False, "foo bar baz", "d_chunk_1")
 
 
@@ -55,11 +58,17 @@ def test_routing(spark):
 def test_rule_entities_share_seen_values(spark):
     text = "mail a.b@c.org and a.b@c.org, PO# AB1234 then Invoice AB1234 and Contract ID: XY-99"
     found = extraction.rule_entities(spark.createDataFrame([("d", text)], "doc_id string, text string")).orderBy("ord").collect()
-    assert [(r.type, r.name, r.kind) for r in found] == [("Document", "d", "document"), ("Person", "a.b", "email"), ("Reference", "AB1234", "purchase_order"), ("Reference", "XY-99", "contract")]
+    assert [(r.type, r.name, r.kind) for r in found] == [
+        ("Document", "d", "document"), ("Person", "a.b", "email"), ("Reference", "AB1234", "purchase_order"),
+        ("Reference", "XY-99", "contract")
+    ]
 
 
 def test_merge_is_idempotent(spark):
-    rows = spark.createDataFrame([("P", "1", 1, "x", None), ("P", "1", 2, None, "y"), ("P", "1", 3, "z", None)], "label string, key string, seq int, a string, b string")
+    rows = spark.createDataFrame(
+        [("P", "1", 1, "x", None), ("P", "1", 2, None, "y"), ("P", "1", 3, "z", None)],
+        "label string, key string, seq int, a string, b string"
+    )
     once = graph.merge_nodes(rows, ["a", "b"]).collect()
     assert [(r.a, r.b) for r in once] == [("z", "y")]
     assert graph.merge_nodes(rows.unionAll(rows), ["a", "b"]).collect() == once
@@ -91,7 +100,10 @@ def test_upsert_keeps_latest(spark):
 
 
 def _result(name):
-    return {"source_pdf": name, "total_pages": 1, "pages": [{"page_number": 1, "native": {"text": "t", "tables": [[["a", None]], [[None]]], "success": True}, "ocr": {"text": "o"}}]}
+    return {
+        "source_pdf": name, "total_pages": 1,
+        "pages": [{"page_number": 1, "native": {"text": "t", "tables": [[["a", None]], [[None]]], "success": True}, "ocr": {"text": "o"}}]
+    }
 
 
 def test_sources_and_resumable_ingest(spark, tmp_path):
