@@ -2,25 +2,32 @@
 
 The automaton holds every word sequence of the items. Training words stream through it, which tracks
 the longest item passage that ends at each word. Runs of words are first cut at word pairs that no item
-holds, since no longer match can cross one; what remains streams through the automaton.
+holds, since no longer match can cross one; what remains streams through the automaton. Tasks build the automata of
+blocks of items and freeze them into arrays; a pass over the documents carries ``PASS_BLOCKS`` of them.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import pairwise
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, extended, map_rows, utf8
+from .common import documents, extended, map_rows, materialize, utf8
 
 WINDOW = 10
-BLOCK_WORDS = 2_000_000
-"""Item words in one automaton; more items make further automata, each broadcast on its own."""
+BLOCK_WORDS = 500_000
+"""Item words in one automaton, on average; frozen it takes some 100 MB at most. More items make further automata."""
+CHARS_PER_WORD = 6
+PASS_BLOCKS = 2
+"""Automata that are broadcast at once; beyond, documents are passed over again."""
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -82,16 +89,36 @@ class SuffixAutomaton:
         for c in sequence:
             last = self._extend(last, c)
 
+    def freeze(self) -> None:
+        """Turn the transitions into arrays sorted by state and word."""
+        sizes = [len(n) for n in self.next]
+        self.first = array("i", [0, *accumulate(sizes)])
+        self.symbol, self.target = array("i"), array("i")
+        for own in self.next:
+            for c in sorted(own):
+                self.symbol.append(c)
+                self.target.append(own[c])
+        self.link, self.length = array("i", self.link), array("i", self.length)
+        self.next = []
+
+    def step(self, state: int, c: int) -> int:
+        """The state after the word c, or -1."""
+        end = self.first[state + 1]
+        i = bisect_left(self.symbol, c, self.first[state], end)
+        return self.target[i] if i < end and self.symbol[i] == c else -1
+
     def stream(self, sequence: list[int]) -> Iterator[tuple[int, int]]:
-        """(state, length of the longest item passage that ends here) after each word."""
-        nxt, link, length = self.next, self.link, self.length
+        """(state, length of the longest item passage that ends here) after each word; of a frozen automaton."""
+        link, length, step = self.link, self.length, self.step
         state = match = 0
         for c in sequence:
-            while c not in nxt[state] and state:
+            to = step(state, c)
+            while to < 0 and state:
                 state = link[state]
                 match = length[state]
-            if c in nxt[state]:
-                state = nxt[state][c]
+                to = step(state, c)
+            if to >= 0:
+                state = to
                 match += 1
             yield state, match
 
@@ -111,16 +138,24 @@ class ItemIndex:
         self.automaton = SuffixAutomaton()
         for sequence in ids:
             self.automaton.add(sequence)
+        self.automaton.freeze()
+        self.names = [name for name, _ in items]
         self.sizes = sorted({min(len(s), window) for s in ids}, reverse=True)
-        self.windows: dict[tuple[int, int], set[str]] = {}
-        for (name, _), sequence in zip(items, ids, strict=True):
+        self.windows: dict[int, tuple[int, ...]] = {}
+        for item, sequence in enumerate(ids):
             size = min(len(sequence), window)
             for at, (state, match) in enumerate(self.automaton.stream(sequence)):
                 if at + 1 >= size and match >= size:
-                    self.windows.setdefault((self.automaton.suffix_state(state, size), size), set()).add(name)
+                    key = self._key(state, size)
+                    held = self.windows.get(key, ())
+                    if item not in held[-1:]:
+                        self.windows[key] = (*held, item)
         pairs = {a * len(self.vocabulary) + b for s in ids for a, b in pairwise(s)}
         self.pairs = np.array(sorted(pairs), np.int64)
 
+    def _key(self, state: int, size: int) -> int:
+        return self.automaton.suffix_state(state, size) << 16 | size
+
     def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Word spans of window occurrences and the names of the items they belong to."""
         n, least = len(words), self.sizes[-1]
@@ -146,27 +181,24 @@ class ItemIndex:
                 continue
             for at, (state, match) in enumerate(self.automaton.stream(ids[a:b].tolist()), a + 1):
                 for size in self.sizes:
-                    if match >= size and (found := self.windows.get((self.automaton.suffix_state(state, size), size))):
+                    if match >= size and (found := self.windows.get(self._key(state, size))):
                         spans.append((at - size, at))
-                        names |= found
+                        names.update(self.names[i] for i in found)
         return spans, names
 
 
-def item_indexes(items: DataFrame, window: int = WINDOW) -> list:
-    """Broadcast indexes of the items, ``BLOCK_WORDS`` words each at most (one longer item is its own block)."""
-    spark, blocks, block, size = items.sparkSession, [], [], 0
-    for item_id, text in items.select(F.col("item_id").cast("string"), "text").toLocalIterator():
-        words = words_of(text.encode()) if text else []
-        if not words:
-            continue
-        if block and size + len(words) > BLOCK_WORDS:
-            blocks.append(spark.sparkContext.broadcast(ItemIndex(block, window)))
-            block, size = [], 0
-        block.append(("" if item_id is None else item_id, words))
-        size += len(words)
-    if block:
-        blocks.append(spark.sparkContext.broadcast(ItemIndex(block, window)))
-    return blocks
+def item_indexes(items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(block, content): pickled indexes of blocks of the items, built in tasks and written. Items without words are in none."""
+
+    def build(table: pa.Table) -> pa.Table:
+        own = [("" if i is None else i, words) for i, t in zip(table["item"].to_pylist(), table["text"].cast(pa.binary()).to_pylist(), strict=True) if (words := words_of(t))]
+        content = [pickle.dumps(ItemIndex(own, window), 5)] if own else []
+        return pa.table({"block": pa.array([table["block"][0].as_py()] * len(content), pa.int32()), "content": pa.array(content, pa.binary())})
+
+    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    number = max(1, -(-chars // (CHARS_PER_WORD * BLOCK_WORDS)))
+    rows = items.where("text is not null").select(F.col("item_id").cast("string").alias("item"), "text", F.pmod(F.xxhash64("item_id", "text"), F.lit(number)).cast("int").alias("block"))
+    return materialize(rows.groupBy("block").applyInArrow(build, "block int, content binary"), "item-indexes")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_coverage: float = 0.5) -> DataFrame:
@@ -183,16 +215,25 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_c
     added = "n_words long, n_hit long, items array<string>, clean_text string, coverage double, contaminated boolean"
     names = [c.split()[0] for c in added.split(", ")]
     docs = docs.drop(*names)
-    blocks = item_indexes(items, window)
-    text_at = docs.columns.index("text")
+    indexes = item_indexes(items, window)
+    blocks = sorted(r.block for r in indexes.select("block").collect())  # one number a block of items
+    carried = docs
+    while len(blocks) > PASS_BLOCKS:
+        now, blocks = blocks[:PASS_BLOCKS], blocks[PASS_BLOCKS:]
+        carried = materialize(_with_hits(carried, _broadcast(indexes, now)), "hits")
+    shared = _broadcast(indexes, blocks)
+    given = docs.columns
+    text_at, spans_at = given.index("text"), len(given) if carried is not docs else None
+    held: list[ItemIndex] = []
 
     def of(batch: pa.RecordBatch) -> pa.RecordBatch:
-        indexes = [b.value for b in blocks]
+        if not held:
+            held.extend(pickle.loads(b.value) for b in shared)
         rows = []
-        for text in utf8(batch.column(text_at)):
+        before = _carried(batch, spans_at)
+        for text, (spans, found) in zip(utf8(batch.column(text_at)), before, strict=True):
             words = words_of(text)
-            spans, found = [], set()
-            for index in indexes:
+            for index in held:
                 more, names_found = index.hits(words)
                 spans += more
                 found |= names_found
@@ -216,9 +257,47 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_c
             rows.append((n, hit, sorted(found), clean, hit / n if n else 0.0, hit > 0))
         c = list(zip(*rows, strict=True))
         more = [pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.list_(pa.string())), pa.array(c[3], pa.binary()).cast(pa.string()), pa.array(c[4], pa.float64()), pa.array(c[5], pa.bool_())]
-        return pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, *names])
+        return pa.RecordBatch.from_arrays([*batch.columns[: len(given)], *more], [*given, *names])
+
+    return map_rows(carried, of, extended(docs, added))
+
+
+def _broadcast(indexes: DataFrame, blocks: list[int]) -> list:
+    """The pickled indexes of at most ``PASS_BLOCKS`` blocks."""
+    rows = indexes.where(F.col("block").isin(blocks)).select("content").collect() if blocks else []
+    return [indexes.sparkSession.sparkContext.broadcast(bytes(r.content)) for r in rows]
+
+
+def _carried(batch: pa.RecordBatch, spans_at: int | None) -> list[tuple[list[tuple[int, int]], set[str]]]:
+    """Spans and item names that earlier passes found."""
+    if spans_at is None:
+        return [([], set()) for _ in range(batch.num_rows)]
+    flat, names = batch.column(spans_at).to_pylist(), batch.column(spans_at + 1).to_pylist()
+    return [(list(zip(x[::2], x[1::2], strict=True)), set(n)) for x, n in zip(flat, names, strict=True)]
+
+
+def _with_hits(docs: DataFrame, shared: list) -> DataFrame:
+    """Documents with what a pass adds to __spans (begin and end of each in turn) and __items."""
+    columns = [c for c in docs.columns if c not in ("__spans", "__items")]
+    text_at, spans_at = columns.index("text"), len(columns) if len(columns) < len(docs.columns) else None
+    held: list[ItemIndex] = []
+
+    def of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        if not held:
+            held.extend(pickle.loads(b.value) for b in shared)
+        spans, names = [], []
+        for text, (own, found) in zip(utf8(batch.column(text_at)), _carried(batch, spans_at), strict=True):
+            words = words_of(text)
+            for index in held:
+                more, names_found = index.hits(words)
+                own += more
+                found |= names_found
+            spans.append([x for s in own for x in s])
+            names.append(sorted(found))
+        more = [pa.array(spans, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))]
+        return pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], *more], [*columns, "__spans", "__items"])
 
-    return map_rows(docs, of, extended(docs, added))
+    return map_rows(docs, of, extended(docs.select(*columns), "__spans array<long>, __items array<string>"))
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
