@@ -226,7 +226,9 @@ def test_code_switched_words_follow_their_language():
     assert abs(shares[0] - 0.75) < 0.05
 
 
-def test_lines_brute_force(spark, edge, empty):
+@pytest.mark.parametrize("bound", [1 << 25, 0])
+def test_lines_brute_force(spark, edge, empty, monkeypatch, bound):
+    monkeypatch.setattr(lines, "MAX_OWNER_CHARS", bound)
     found = {r.doc_id: r for r in lines.dedup_lines(edge).collect()}
     for doc_id, want in lines.brute_force([(i, t) for i, t, *_ in EDGE]).items():
         assert (found[doc_id].n_lines, found[doc_id].n_dropped) == want[:2]
@@ -234,7 +236,20 @@ def test_lines_brute_force(spark, edge, empty):
     assert lines.dedup_lines(empty).count() == 0
 
 
-def test_lines_of_null_and_repeated_ids(spark):
+def test_lines_with_a_full_filter(spark, monkeypatch):
+    """A filter far past its capacity suspects more lines; the result is the same."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    want = lines.brute_force([(r.doc_id, r.text) for r in docs.collect()])
+    exact = lines._suspects(docs, lines.twice_seen(docs)).count()
+    monkeypatch.setattr(lines, "MAX_FILTER_BITS", 1024)
+    assert lines._suspects(docs, lines.twice_seen(docs)).count() > exact
+    found = {r.doc_id: r for r in lines.dedup_lines(docs).collect()}
+    assert {i: (r.n_lines, r.n_dropped, hashlib.sha256(r.kept_text.encode()).hexdigest()) for i, r in found.items()} == want
+
+
+@pytest.mark.parametrize("bound", [1 << 25, 0])
+def test_lines_of_null_and_repeated_ids(spark, monkeypatch, bound):
+    monkeypatch.setattr(lines, "MAX_OWNER_CHARS", bound)
     table = [(None, "a line of ten"), (None, "a line of ten"), (7, "a line of ten\nown"), (7, "a line of ten"), (9, "A LINE of ten  \nx"), (9, "a line of ten")]
     found = lines.dedup_lines(spark.createDataFrame(table, "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r.kept_text, r.n_dropped) for r in found) == [(0, "a line of ten", 0)] * 2 + [(7, "a line of ten", 0), (7, "a line of ten\nown", 0), (9, "", 1), (9, "x", 1)]
@@ -257,7 +272,7 @@ def test_decontamination_brute_force(spark, edge, empty, monkeypatch):
     rng, vocabulary = random.Random(1), "a b c".split()
     text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
     docs, bench = [(i, text(rng.randrange(60))) for i in range(40)], [(i, text(rng.randrange(1, 9))) for i in range(12)] + [(99, None), (98, "!"), (97, "ü")]
-    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 20)
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 4)
     for window in (1, 4, 10):
         want = decontaminate.brute_force(docs, bench, window)
         found = decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), items(spark, bench), window).collect()
