@@ -1,4 +1,8 @@
-"""Evaluation reports over annotations and benchmark results."""
+"""Evaluation reports over annotations and benchmark results.
+
+Unless an operator says otherwise: null values take no part in means, a ratio of nothing is 0, rows that repeat count each, and
+an empty table gives a report of zeros, or no rows where the result is by group. Further columns are not read.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Routing of page extraction and rule-based entity extraction."""
+"""Routing of page extraction and rule-based entity extraction.
+
+Unless an operator says otherwise: null flags count as false, null coverages as 0, null texts hold nothing, documents have unique ids, and
+empty tables give empty results.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""File states, sharding and stratified selection."""
+"""File states, sharding and stratified selection.
+
+Unless an operator says otherwise: file names are unique but in logs, of a log the row of the largest ``seq`` counts, null names join
+nothing, and empty tables give empty results.
+"""
 
 from __future__ import annotations
 

@@ -1,6 +1,8 @@
 """Property-graph construction, integrity checks and traversal over nodes and edges.
 
-nodes: label, key, name and properties; edges: src_label, src_key, rel_type, dst_label, dst_key and properties.
+nodes: label, key, name and properties; edges: src_label, src_key, rel_type, dst_label, dst_key and properties. Unless an operator says
+otherwise: (label, key) is unique among nodes, edges that repeat count each, null labels and keys join nothing, null names are shown by
+key, orders end with label and key so that there are no ties, and empty tables give empty results.
 """
 
 from __future__ import annotations

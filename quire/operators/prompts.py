@@ -1,4 +1,8 @@
-"""Context blocks, chat history and prompts for answer generation."""
+"""Context blocks, chat history and prompts for answer generation.
+
+Null texts are treated as empty, results of an unknown source are left out, (query_id, source, rank) and (conv_id, turn) are unique, and
+empty tables give empty results.
+"""
 
 from __future__ import annotations
 

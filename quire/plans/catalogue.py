@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import metrics
 from ..functions import text as T
 from ..operators import evaluation, extraction, files, graph, prompts, retrieval
 from ..operators._durable import durable
@@ -587,15 +588,20 @@ def value_shares(spark, sf):
 
 @register()
 def cer_wer_similarity(spark, sf):
-    from ..functions import metrics
-
-    noisy = F.regexp_replace("text", "(.{16}).", "$1#")
-    pairs = D.table(spark, sf, "benchmark").select("item_id", "text", noisy.alias("noisy"))
-    return pairs.select(
-        "item_id", F.round(metrics.cer("noisy", "text"), 6).alias("cer"), F.round(metrics.wer("noisy", "text"), 6).alias("wer"),
-        F.round(metrics.similarity("noisy", "text"), 6).alias("similarity"),
-        F.round(metrics.cer_levenshtein(F.col("noisy"), F.col("text")), 6).alias("cer_levenshtein")
-    )
+    """Every whole document against itself with each 17th character replaced."""
+    noisy = F.regexp_replace("text", "(?s)(.{16}).", "$1#")
+    pairs = D.table(spark, sf, "documents").select("doc_id", "text", noisy.alias("noisy"))
+    rate = lambda f: F.round(f("noisy", "text"), 6)
+    return pairs.select("doc_id", rate(metrics.cer).alias("cer"), rate(metrics.wer).alias("wer"), rate(metrics.similarity).alias("similarity"))
+
+
+@register("""WITH a AS (SELECT item_id, regexp_replace(text, '[^\\x00-\\x7F]', '?', 'g') AS t FROM benchmark)
+SELECT item_id, round(levenshtein(regexp_replace(t, '(.{16}).', '\\1#', 'g'), t) / length(t), 6) AS cer_levenshtein FROM a""")
+def cer_levenshtein(spark, sf):
+    """Of ASCII texts, as the SQL counts bytes."""
+    plain = F.regexp_replace("text", r"[^\x00-\x7F]", "?")
+    found = metrics.cer_levenshtein(F.regexp_replace(plain, "(.{16}).", "$1#"), plain)
+    return D.table(spark, sf, "benchmark").select("item_id", F.round(found, 6).alias("cer_levenshtein"))
 
 
 # ---- files, chunks, prompts -----------------------------------------------------------------------------
