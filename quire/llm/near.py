@@ -31,6 +31,8 @@ FREQUENT = 1 << 18
 STARS = 4
 STAR_SIZE = 32
 """Before pairs are formed, a set meets one member of each of its ``STARS`` most shared keys of over ``STAR_SIZE`` members."""
+SALTS = 16
+"""Tasks that the members of one such key are dealt to."""
 BLOCK = 1024
 """Members of a key that one task compares with as many others; larger keys are cut into blocks."""
 RADIUS = 22
@@ -134,22 +136,24 @@ def _star_links(rows: DataFrame, each: DataFrame, keys: DataFrame) -> DataFrame:
     picked = keys.where(F.col("size") > STAR_SIZE).groupBy("sig").agg(F.transform(most, lambda m: m["key"]).alias("picked"))
     picked = materialize(picked.select("sig", F.explode("picked").alias("key")), "picked")
 
-    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = root = root_set = None
-        for batch in batches:
-            u, v = [], []
-            for k, sig, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                h = np.frombuffer(raw, np.uint64)
-                if k != key:
-                    key, root, root_set = k, sig, h
-                elif alike(root_set, h):
-                    u.append(root)
-                    v.append(sig)
-            if u:
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+    root = F.min_by("sig", F.xxhash64("key", "sig")).alias("u")
+    roots = materialize(picked.groupBy("key").agg(root), "star-roots")
+    pairs = materialize(join_small(picked, roots, "key").where("u <> sig").select("u", F.col("sig").alias("v")).distinct(), "star-pairs")
+    return _verified(rows, each, pairs, SALTS)
 
-    sets = picked.join(_sets(rows, each, picked.select("sig")), "sig").select("key", "sig", "hashes")
-    return sets.repartition("key").sortWithinPartitions("key", F.xxhash64("key", "sig")).mapInArrow(linked, "u long, v long")
+
+def _verified(rows: DataFrame, each: DataFrame, pairs: DataFrame, salts: int = 1) -> DataFrame:
+    """Those of the pairs (u, v) that are alike. The pairs of one ``u`` go to up to ``salts`` tasks."""
+
+    def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
+        a, b = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("a", "b"))
+        fit = [alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b, strict=True)]
+        return batch.select(["u", "v"]).filter(pa.array(fit, pa.bool_()))
+
+    sets = _sets(rows, each, pairs.select(F.col("u").alias("sig")).unionAll(pairs.select("v")))
+    right = pairs.join(sets.select(F.col("sig").alias("v"), F.col("hashes").alias("b")), "v").withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int"))
+    left = sets.join(pairs.select(F.col("u").alias("sig")).distinct(), "sig", "left_semi").select(F.col("sig").alias("u"), F.col("hashes").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    return map_rows(right.join(left, ["u", "salt"]).select("u", "v", "a", "b"), keep, "u long, v long")
 
 
 def _pairs_in(sig: np.ndarray, n: np.ndarray, pos: np.ndarray, fp: np.ndarray, comp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -195,14 +199,7 @@ def _pair_links(rows: DataFrame, each: DataFrame, keys: DataFrame, roots: DataFr
 
     pairs = materialize(dealt.repartition("part").sortWithinPartitions("part").mapInArrow(candidates, "u long, v long").distinct(), "pairs")
 
-    def verified(batch: pa.RecordBatch) -> pa.RecordBatch:
-        a, b = (batch.column(i).to_pylist() for i in (2, 3))
-        keep = [alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b, strict=True)]
-        return batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-    sets = _sets(rows, each, pairs.select(F.col("u").alias("sig")).unionAll(pairs.select("v")))
-    side = lambda name, to: sets.select(F.col("sig").alias(name), F.col("hashes").alias(to))
-    return map_rows(pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "a", "b"), verified, "u long, v long")
+    return _verified(rows, each, pairs)
 
 
 def near_groups(rows: DataFrame) -> DataFrame:
