@@ -162,7 +162,9 @@ def quantise(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
         scaled = F.floor(v.cast("double") * scale)
         return F.when(F.abs(v.cast("double") * scale) < float(LIMIT), scaled).otherwise(F.raise_error(F.lit("component too large")).cast("long"))
 
-    return vectors.where(F.col("vec_id").isNotNull() & x.isNotNull() & finite).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, whole).alias("q"))
+    return vectors.where(F.col("vec_id").isNotNull() & x.isNotNull() & finite).select(
+        F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, whole).alias("q")
+    )
 
 
 def _matrix(values: list[list[int]]) -> tuple[int, np.ndarray]:
@@ -194,7 +196,9 @@ def _blocks(rows: DataFrame, number: int, slices: bool) -> DataFrame:
                 numbers, matrix, planes = block.ids, block.matrix.astype(matrix.dtype), block.planes()
             columns = [[TaskContext.get().partitionId()], [matrix.shape[1]], [width], [numbers.tobytes()], [matrix.tobytes()], [planes]]
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["block", "dims", "width", "ids", "matrix", "planes"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["block", "dims", "width", "ids", "matrix", "planes"]
+            )
 
     return rows.select("vec_id", "q").repartition(number).mapInArrow(of, "block long, dims int, width int, ids binary, matrix binary, planes binary")
 
@@ -223,12 +227,18 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     asks = materialize(_blocks(asked, n_asks, False), "query-blocks")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     left = index.withColumn("ask", every(n_asks))
-    right = asks.select(F.col("block").alias("ask"), *[F.col(c).alias(f"q_{c}") for c in ("dims", "width", "ids", "matrix")]).withColumn("block", every(n_blocks))
+    right = asks.select(
+        F.col("block").alias("ask"), *[F.col(c).alias(f"q_{c}") for c in ("dims", "width", "ids", "matrix")]
+    ).withColumn("block", every(n_blocks))
 
     def meet(cand: pa.Table, ask: pa.Table) -> pa.Table:
         out: list[tuple] = []
         for c in cand.to_pylist():
-            block = Block(np.frombuffer(c["ids"], "<i8"), np.frombuffer(c["matrix"], f"<i{c['width']}").reshape(-1, c["dims"]) if c["dims"] else np.zeros((len(c["ids"]) // 8, 0), np.int64), c["planes"])
+            block = Block(
+                np.frombuffer(c["ids"], "<i8"),
+                np.frombuffer(c["matrix"], f"<i{c['width']}").reshape(-1, c["dims"]) if c["dims"] else np.zeros((len(c["ids"]) // 8, 0), np.int64),
+                c["planes"]
+            )
             for a in ask.to_pylist():
                 q_ids = np.frombuffer(a["q_ids"], "<i8").tolist()
                 q = np.frombuffer(a["q_matrix"], f"<i{a['q_width']}").reshape(len(q_ids), a["q_dims"]).astype(np.int64)
@@ -240,7 +250,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         sizes = [len(s) for *_, s in out]
         empty = [np.empty(0, np.int64)]
         number, i, v, s = zip(*out, strict=True) if out else ((), (), empty, empty)
-        return pa.table({"number": np.repeat(np.array(number, np.int64), sizes), "query_id": np.repeat(np.array(i, np.int64), sizes), "vec_id": np.concatenate(v), "score": np.concatenate(s)})
+        return pa.table(
+            {
+                "number": np.repeat(np.array(number, np.int64), sizes), "query_id": np.repeat(np.array(i, np.int64), sizes),
+                "vec_id": np.concatenate(v), "score": np.concatenate(s)
+            }
+        )
 
     found = left.groupBy("block", "ask").cogroup(right.groupBy("block", "ask")).applyInArrow(meet, "number long, query_id long, vec_id long, score long")
     best = Window.partitionBy("number").orderBy(F.desc("score"), "vec_id")

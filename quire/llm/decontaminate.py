@@ -191,13 +191,19 @@ def item_indexes(items: DataFrame, window: int = WINDOW) -> DataFrame:
     """(block, content): pickled indexes of blocks of the items, built in tasks and written. Items without words are in none."""
 
     def build(table: pa.Table) -> pa.Table:
-        own = [("" if i is None else i, words) for i, t in zip(table["item"].to_pylist(), table["text"].cast(pa.binary()).to_pylist(), strict=True) if (words := words_of(t))]
+        own = [
+            ("" if i is None else i, words) for i,
+            t in zip(table["item"].to_pylist(), table["text"].cast(pa.binary()).to_pylist(), strict=True) if (words := words_of(t))
+        ]
         content = [pickle.dumps(ItemIndex(own, window), 5)] if own else []
         return pa.table({"block": pa.array([table["block"][0].as_py()] * len(content), pa.int32()), "content": pa.array(content, pa.binary())})
 
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     number = max(1, -(-chars // (CHARS_PER_WORD * BLOCK_WORDS)))
-    rows = items.where("text is not null").select(F.col("item_id").cast("string").alias("item"), "text", F.pmod(F.xxhash64("item_id", "text"), F.lit(number)).cast("int").alias("block"))
+    rows = items.where("text is not null").select(
+        F.col("item_id").cast("string").alias("item"), "text",
+        F.pmod(F.xxhash64("item_id", "text"), F.lit(number)).cast("int").alias("block")
+    )
     return materialize(rows.groupBy("block").applyInArrow(build, "block int, content binary"), "item-indexes")
 
 
@@ -256,7 +262,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_c
                     clean = b"".join([*keep, text[at:]])
             rows.append((n, hit, sorted(found), clean, hit / n if n else 0.0, hit > 0))
         c = list(zip(*rows, strict=True))
-        more = [pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.list_(pa.string())), pa.array(c[3], pa.binary()).cast(pa.string()), pa.array(c[4], pa.float64()), pa.array(c[5], pa.bool_())]
+        more = [
+            pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.list_(pa.string())),
+            pa.array(c[3], pa.binary()).cast(pa.string()), pa.array(c[4], pa.float64()), pa.array(c[5], pa.bool_())
+        ]
         return pa.RecordBatch.from_arrays([*batch.columns[: len(given)], *more], [*given, *names])
 
     return map_rows(carried, of, extended(docs, added))
@@ -303,7 +312,10 @@ def _with_hits(docs: DataFrame, shared: list) -> DataFrame:
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits of benchmark items in all documents; edge cases as of ``decontaminate``."""
     found = decontaminate(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated"
+    )
 
 
 def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[int, str | None]], window: int = WINDOW) -> dict[int, tuple[int, int, int, str, bool]]:

@@ -129,7 +129,12 @@ def pack_block(book: CodeBook, first: int, doc_ids: list[int | None], sizes: np.
     checkpoints, stream = book.encode(ids, spacing)
     known = np.array([0 if d is None else d for d in doc_ids], "<i8")
     nulls = np.array([d is None for d in doc_ids], np.uint8)
-    return b"".join([MAGIC, struct.pack("<IQI", len(doc_ids), first, spacing), known.tobytes(), sizes.astype("<u8").tobytes(), nulls.tobytes(), struct.pack("<I", len(checkpoints)), checkpoints.astype("<u8").tobytes(), stream])
+    return b"".join(
+        [
+            MAGIC, struct.pack("<IQI", len(doc_ids), first, spacing), known.tobytes(), sizes.astype("<u8").tobytes(), nulls.tobytes(),
+            struct.pack("<I", len(checkpoints)), checkpoints.astype("<u8").tobytes(), stream
+        ]
+    )
 
 
 def unpack_block(book: CodeBook, block: bytes) -> tuple[int, list[int | None], np.ndarray, np.ndarray]:
@@ -153,7 +158,9 @@ def _raw_blocks(docs: DataFrame, path: str) -> DataFrame:
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n = max(1, ordered.rdd.getNumPartitions())
     # Bounds come from the id column alone; a range partitioner would read every text for its sample.
-    bounds = sorted(set(docs.select(F.col("doc_id").cast("double").alias("doc_id")).approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (4 * n)))) if n > 1 else []
+    bounds = sorted(
+        set(docs.select(F.col("doc_id").cast("double").alias("doc_id")).approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (4 * n)))
+    ) if n > 1 else []
     ordered = ordered.repartitionById(n, F.coalesce(_range_of(F.col("doc_id"), bounds), F.lit(0)).cast("int")).sortWithinPartitions("doc_id", "text")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +174,11 @@ def _raw_blocks(docs: DataFrame, path: str) -> DataFrame:
             total = _added(total, np.bincount(wide))
             narrow = wide.max(initial=0) < 1 << 16
             return pa.RecordBatch.from_arrays(
-                [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([before], pa.int64()), pa.array([docs_], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([held], pa.int64()), pa.array([2 if narrow else 4], pa.int32()), pa.array([wide.astype("<u2" if narrow else "<u4").tobytes()], pa.binary())],
+                [
+                    pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([before], pa.int64()),
+                    pa.array([docs_], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([held], pa.int64()),
+                    pa.array([2 if narrow else 4], pa.int32()), pa.array([wide.astype("<u2" if narrow else "<u4").tobytes()], pa.binary())
+                ],
                 ["shard", "block", "before", "docs", "sizes", "n", "width", "ids"],
             )
 
@@ -185,7 +196,13 @@ def _raw_blocks(docs: DataFrame, path: str) -> DataFrame:
         if docs_:
             yield flush()
         if len(total):  # the counts of the shard, bounded by the vocabulary
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([-1], pa.int32()), pa.array([0]), pa.array([[]], pa.list_(pa.int64())), pa.array([[]], pa.list_(pa.int64())), pa.array([0]), pa.array([8], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["shard", "block", "before", "docs", "sizes", "n", "width", "ids"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([shard], pa.int32()), pa.array([-1], pa.int32()), pa.array([0]), pa.array([[]], pa.list_(pa.int64())),
+                    pa.array([[]], pa.list_(pa.int64())), pa.array([0]), pa.array([8], pa.int32()), pa.array([total.tobytes()], pa.binary())
+                ],
+                ["shard", "block", "before", "docs", "sizes", "n", "width", "ids"]
+            )
 
     return ordered.mapInArrow(of, "shard int, block int, before long, docs array<long>, sizes array<long>, n long, width int, ids binary")
 
@@ -249,7 +266,10 @@ def write_ids(docs: DataFrame, folder: str, path: str | None = None, limit: int
         book = CodeBook(shared.value[0])
         for batch in batches:
             shard, block, before, docs_, sizes, _, width, ids = (c.to_pylist() for c in batch.columns)
-            done = [pack_block(book, shared.value[1][s] + b, d, np.array(z, np.int64), _ids(w, i)) for s, b, d, z, w, i in zip(shard, before, docs_, sizes, width, ids, strict=True)]
+            done = [
+                pack_block(book, shared.value[1][s] + b, d, np.array(z, np.int64), _ids(w, i)) for s, b, d, z, w,
+                i in zip(shard, before, docs_, sizes, width, ids, strict=True)
+            ]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(done, pa.binary())], ["shard", "block", "content"])
 
     raw.mapInArrow(encode, "shard int, block int, content binary").write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
@@ -271,7 +291,11 @@ def read_ids(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFra
                 raw = memoryview(ids.astype("<u4").tobytes())
                 cut = [raw[4 * a : 4 * b] for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(docs_, pa.int64()), pa.array(first + ends - sizes), pa.array(sizes), pa.array([zlib.crc32(c) for c in cut], pa.int64()), pa.array([bytes(c) for c in cut] if with_ids else [None] * len(cut), pa.binary())],
+                    [
+                        pa.array(docs_, pa.int64()), pa.array(first + ends - sizes), pa.array(sizes),
+                        pa.array([zlib.crc32(c) for c in cut], pa.int64()),
+                        pa.array([bytes(c) for c in cut] if with_ids else [None] * len(cut), pa.binary())
+                    ],
                     ["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
                 )
 

@@ -279,11 +279,16 @@ def predict(docs: DataFrame, crf: Crf, confidence: str | None = None, words: str
             score = np.where(known, np.clip(shares[np.arange(len(best)), best], 0, 1), 0.0)
             more = [pa.array(pred), pa.array(score), *([pa.array(np.clip(sure, 0, 1))] if confidence else [])]
             if words:
-                each = [[{"word": w, "lang": model.languages[y]} for w, y in zip(own, of_text, strict=True)] for own, of_text in zip(spelled, labels, strict=True)]
+                each = [
+                    [{"word": w, "lang": model.languages[y]} for w, y in zip(own, of_text, strict=True)] for own,
+                    of_text in zip(spelled, labels, strict=True)
+                ]
                 more.append(pa.array(each, pa.list_(pa.struct([("word", pa.string()), ("lang", pa.string())]))))
             yield pa.RecordBatch.from_arrays([*part.columns, *more], [*names, *added])
 
-    schema = "lang_pred string, score double" + (f", `{confidence}` double" if confidence else "") + (f", `{words}` array<struct<word:string,lang:string>>" if words else "")
+    schema = "lang_pred string, score double" + (f", `{confidence}` double" if confidence else "") + (
+        f", `{words}` array<struct<word:string,lang:string>>" if words else ""
+    )
     return map_rows(docs, of, extended(docs, schema))
 
 

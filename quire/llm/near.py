@@ -151,8 +151,12 @@ def _verified(rows: DataFrame, each: DataFrame, pairs: DataFrame, salts: int = 1
         return batch.select(["u", "v"]).filter(pa.array(fit, pa.bool_()))
 
     sets = _sets(rows, each, pairs.select(F.col("u").alias("sig")).unionAll(pairs.select("v")))
-    right = pairs.join(sets.select(F.col("sig").alias("v"), F.col("hashes").alias("b")), "v").withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int"))
-    left = sets.join(pairs.select(F.col("u").alias("sig")).distinct(), "sig", "left_semi").select(F.col("sig").alias("u"), F.col("hashes").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    right = pairs.join(
+        sets.select(F.col("sig").alias("v"), F.col("hashes").alias("b")), "v"
+    ).withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int"))
+    left = sets.join(pairs.select(F.col("u").alias("sig")).distinct(), "sig", "left_semi").select(
+        F.col("sig").alias("u"), F.col("hashes").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
+    )
     return map_rows(right.join(left, ["u", "salt"]).select("u", "v", "a", "b"), keep, "u long, v long")
 
 
@@ -176,7 +180,9 @@ def _pairs_in(sig: np.ndarray, n: np.ndarray, pos: np.ndarray, fp: np.ndarray, c
 
 def _pair_links(rows: DataFrame, each: DataFrame, keys: DataFrame, roots: DataFrame) -> DataFrame:
     """(u, v): all pairs of sets at 0.8 that are not in one group of ``roots``."""
-    members = each.select("sig", "n", "fp").join(keys.select("sig").distinct(), "sig", "left_semi").groupBy("sig").agg(F.first("n").alias("n"), F.first("fp").alias("fp"))
+    members = each.select("sig", "n", "fp").join(keys.select("sig").distinct(), "sig", "left_semi").groupBy("sig").agg(
+        F.first("n").alias("n"), F.first("fp").alias("fp")
+    )
     grouped = members.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("root", "sig"))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("sig"), blocks).cast("int")

@@ -126,12 +126,16 @@ def backoff_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
         return pa.table({"batch": number, "part": parts.astype(np.int32), "grams": lists(grams.view(np.int64), pa.int64()), "own": lists(own, pa.int64())})
 
     asked = packed.groupBy("batch").applyInArrow(ask, "batch int, part int, grams array<long>, own array<long>")
-    rows_of_part = asked.repartition("part").select("batch", "part", F.posexplode(F.arrays_zip("grams", "own")).alias("place", "e")).select("batch", "part", "place", "e.grams", "e.own")
+    rows_of_part = asked.repartition("part").select(
+        "batch", "part", F.posexplode(F.arrays_zip("grams", "own")).alias("place", "e")
+    ).select("batch", "part", "place", "e.grams", "e.own")
     # A window: a sum joined back to the rows would deal them out twice. They stay in the partition of their range.
     counted = rows_of_part.withColumn("total", F.sum("own").over(Window.partitionBy("grams", "part")))
     # Places and counts of one batch and range travel together.
     answer = F.array_sort(F.collect_list(F.struct("place", "total")))
-    told = counted.where("total > own").groupBy("batch", "part").agg(answer.alias("a")).select("batch", "part", F.col("a.place").alias("places"), F.col("a.total").alias("totals"))
+    told = counted.where("total > own").groupBy("batch", "part").agg(answer.alias("a")).select(
+        "batch", "part", F.col("a.place").alias("places"), F.col("a.total").alias("totals")
+    )
 
     def score(text: pa.Table, told: pa.Table) -> pa.Table:
         text = _unpack(text)
@@ -177,12 +181,14 @@ def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = r"""
 WITH d AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
 ), t AS (SELECT doc_id, len(w) AS size, unnest(w) AS w, unnest(range(1, len(w) + 1)) AS i FROM d
 ), p AS (SELECT *, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS v FROM t
 ), n AS (SELECT count(*) AS n FROM t
 ), g1 AS (SELECT w, count(*) AS c FROM t GROUP BY w), o1 AS (SELECT doc_id, w, count(*) AS c FROM t GROUP BY doc_id, w
-), g2 AS (SELECT v, w, count(*) AS c FROM p WHERE v IS NOT NULL GROUP BY v, w), o2 AS (SELECT doc_id, v, w, count(*) AS c FROM p WHERE v IS NOT NULL GROUP BY doc_id, v, w
+), g2 AS (SELECT v, w, count(*) AS c FROM p WHERE v IS NOT NULL GROUP BY v, w), o2 AS (SELECT doc_id, v, w, count(*) AS c FROM p
+  WHERE v IS NOT NULL GROUP BY doc_id, v, w
 ), c AS (
   SELECT p.doc_id, p.v, n.n - p.size AS rest, g1.c - o1.c AS cw, gv.c - ov.c AS cv, g2.c - o2.c AS cvw
   FROM p JOIN n ON true JOIN g1 ON g1.w = p.w JOIN o1 ON o1.doc_id = p.doc_id AND o1.w = p.w
@@ -190,9 +196,11 @@ WITH d AS (
   LEFT JOIN g2 ON g2.v = p.v AND g2.w = p.w LEFT JOIN o2 ON o2.doc_id = p.doc_id AND o2.v = p.v AND o2.w = p.w
 ), s AS (
   SELECT doc_id, count(*) AS n_words,
-         sum(ln(CASE WHEN cvw > 0 THEN cvw / cv ELSE (CASE WHEN v IS NULL THEN 1.0 ELSE 0.4 END) * greatest(cw, 0.5) / greatest(rest, 1) END)) AS s FROM c GROUP BY doc_id
+         sum(ln(CASE WHEN cvw > 0 THEN cvw / cv ELSE (CASE WHEN v IS NULL THEN 1.0 ELSE 0.4 END) * greatest(cw, 0.5) / greatest(rest,
+  1) END)) AS s FROM c GROUP BY doc_id
 )
-SELECT doc_id, coalesce(n_words, 0) AS n_words, round(coalesce(s, 0.0), 6) AS log_score, round(s / n_words, 6) AS mean_log_score FROM d LEFT JOIN s USING (doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, round(coalesce(s, 0.0), 6) AS log_score, round(s / n_words, 6) AS mean_log_score FROM d LEFT
+  JOIN s USING (doc_id)
 """
 
 

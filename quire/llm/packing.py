@@ -120,7 +120,9 @@ def _final_places(moves: list[DataFrame]) -> DataFrame:
     out = moves[0]
     for level, later in enumerate(moves[1:], 1):
         step = later.select(F.col("bin").alias("host"), F.col("host").alias("to"), F.col("shift").alias("by"))
-        carried = out.join(step, "host", "left").select("bin", F.coalesce("to", "host").alias("host"), (F.col("shift") + F.coalesce("by", F.lit(0))).alias("shift"))
+        carried = out.join(step, "host", "left").select(
+            "bin", F.coalesce("to", "host").alias("host"), (F.col("shift") + F.coalesce("by", F.lit(0))).alias("shift")
+        )
         out = materialize(carried.unionByName(later), f"places-{level}")
     return materialize(out, "places")
 

@@ -72,8 +72,15 @@ def find_parts(docs: DataFrame) -> DataFrame:
     ok = F.lit(False)
     for order, k in enumerate(KINDS):
         ok = F.when(F.col("ord") == order, F.col(LEAST[k][0]) >= LEAST[k][1]).otherwise(ok)
-    placed = found.where("ord is not null").select("row", "doc_id", "ord", kind.alias("kind"), (end - F.col("hit")).alias("start"), end.alias("end"), ok.alias("ok")).where("ok").drop("ok")
-    return placed.unionByName(found.select("row", "doc_id").distinct().select("row", "doc_id", F.lit(None).cast("int").alias("ord"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("end")))
+    placed = found.where("ord is not null").select(
+        "row", "doc_id", "ord", kind.alias("kind"), (end - F.col("hit")).alias("start"), end.alias("end"), ok.alias("ok")
+    ).where("ok").drop("ok")
+    return placed.unionByName(
+        found.select("row", "doc_id").distinct().select(
+            "row", "doc_id", F.lit(None).cast("int").alias("ord"), F.lit(None).cast("string").alias("kind"),
+            F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("end")
+        )
+    )
 
 
 def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
@@ -89,7 +96,10 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     wanted = F.array(*[F.when(_case("kind", ROLE).isin(*roles), F.lit(k)) for k, roles in NEEDS.items()])
     helpers = (
         parts.where("kind is not null")
-        .select(F.col("row").alias("h_row"), F.col("start").alias("h_start"), F.explode(F.filter(wanted, lambda k: k.isNotNull())).alias("helps"), at.alias("h_at"))
+        .select(
+            F.col("row").alias("h_row"), F.col("start").alias("h_start"),
+            F.explode(F.filter(wanted, lambda k: k.isNotNull())).alias("helps"), at.alias("h_at")
+        )
         .withColumn("h_bucket", F.explode(F.sequence(F.col("h_at") - 1, F.col("h_at") + 1)))
     )
     near = (F.col("row") == F.col("h_row")) & (F.col("bucket") == F.col("h_bucket")) & (F.col("kind") == F.col("helps")) & (F.abs(F.col("start") - F.col("h_start")) <= scope)
@@ -102,10 +112,15 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets in all documents; edge cases as of ``scan``."""
     found = scan(documents(spark, sf_dir).select("doc_id", "text"))
-    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    joined = lambda spans: F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ","
+    )
     base = F.filter("spans", lambda s: s["ord"] < BASE)
     count = lambda o: F.size(F.filter("spans", lambda s: s["ord"] == o)).cast("long")
-    return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return found.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans")
+    )
 
 
 def brute_force(text: str | None, scope: int = SCOPE) -> list[tuple[int, int, str, int]]:
@@ -137,13 +152,15 @@ _HELPS = " OR ".join(f"(w.kind = '{k}' AND h.kind IN ({', '.join(repr(x) for x i
 ORACLE = f"""
 WITH m AS ({_MATCHES}),
 e AS (SELECT doc_id, ord, g, h, v, unnest(range(1, len(h) + 1)) AS i FROM m),
-l AS (SELECT doc_id, ord, i, length(h[i]) AS n, length(v[i]) AS v, CAST(sum(length(g[i]) + length(h[i])) OVER (PARTITION BY doc_id, ord ORDER BY i) AS BIGINT) AS e FROM e),
+l AS (SELECT doc_id, ord, i, length(h[i]) AS n, length(v[i]) AS v, CAST(sum(length(g[i]) + length(h[i])) OVER (PARTITION BY doc_id, ord
+  ORDER BY i) AS BIGINT) AS e FROM e),
 p AS (SELECT doc_id, ord, ({_KIND})[ord + 1] AS kind, e - n AS s, e FROM l WHERE CASE ord {_OK} END),
 k AS (SELECT * FROM p WHERE ord < {BASE} UNION ALL
       SELECT * FROM p w WHERE ord >= {BASE} AND EXISTS (SELECT 1 FROM p h WHERE h.doc_id = w.doc_id AND abs(h.s - w.s) <= {SCOPE} AND ({_HELPS}))),
 a AS (SELECT doc_id, count(*) FILTER (WHERE ord = 0) AS n0, count(*) FILTER (WHERE ord = 1) AS n1, count(*) FILTER (WHERE ord = 2) AS n2,
         string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, ord) FILTER (WHERE ord < {BASE}) AS b,
         string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, ord) AS t FROM k GROUP BY doc_id)
-SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(t, '') AS spans
+SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256,
+  coalesce(t, '') AS spans
 FROM documents LEFT JOIN a USING (doc_id)
 """
