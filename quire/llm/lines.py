@@ -5,7 +5,7 @@
    second. Only the second, twice-seen filter is returned; its size is bounded by ``MAX_FILTER_BITS``.
 3. Documents probe that filter; only lines it suspects are shuffled, as text, to confirm that two
    documents hold them and to choose the smallest doc_id.
-4. The lines that lose go back to their documents, which keep the others in order.
+4. Only documents with a suspected line are shuffled, to meet the lines that they lose; all others pass through.
 
 A filter past its capacity only suspects more lines; the outcome never depends on it.
 """
@@ -31,6 +31,9 @@ MAX_FILTER_BITS = 1 << 29
 """Of the whole twice-seen filter: 64 MiB, the most that is ever broadcast."""
 
 
+ADDED = "kept_text string, n_lines long, n_dropped long"
+
+
 def line_keys(text: bytes | None) -> list[bytes]:
     """The key of every line: ASCII white space stripped at both ends, A-Z lower-cased."""
     return [line.strip() for line in (text or b"").lower().split(b"\n")]
@@ -119,23 +122,46 @@ def twice_seen(docs: DataFrame):
     return spark.sparkContext.broadcast((twice_bits, whole, range_bits))
 
 
+def _hits(texts: list[bytes | None], table: tuple) -> tuple[list[bytes], list[int], list[int]]:
+    """(keys, their texts, which of them the twice-seen filter has) of the distinct keys of each text."""
+    bits, whole, range_bits = table
+    keys, h, owner = [], [], []
+    for i, text in enumerate(texts):
+        own = {k for k in line_keys(text) if long_enough(k)}
+        keys += own
+        h += _hashes(own)
+        owner += [i] * len(own)
+    hashes = np.array(h, np.uint64)
+    base = (hashes >> np.uint64(64 - range_bits)) * np.uint64(bits) if range_bits else np.zeros(len(hashes), np.uint64)
+    return keys, owner, np.flatnonzero(_has(whole, _positions(hashes, bits), base)).tolist()
+
+
 def _suspects(docs: DataFrame, shared) -> DataFrame:
+    """(doc_id, key) of every line that the filter suspects."""
+
     def of(batch: pa.RecordBatch) -> pa.RecordBatch:
-        bits, whole, range_bits = shared.value
-        ids, keys, h, owner = batch.column(0), [], [], []
-        for i, text in enumerate(utf8(batch.column(1))):
-            own = {k for k in line_keys(text) if long_enough(k)}
-            keys += own
-            h += _hashes(own)
-            owner += [i] * len(own)
-        hashes = np.array(h, np.uint64)
-        base = (hashes >> np.uint64(64 - range_bits)) * np.uint64(bits) if range_bits else np.zeros(len(hashes), np.uint64)
-        hit = np.flatnonzero(_has(whole, _positions(hashes, bits), base)).tolist()
-        return pa.RecordBatch.from_arrays([ids.take(pa.array([owner[i] for i in hit], pa.int64())), pa.array([keys[i] for i in hit], pa.binary()).cast(pa.string())], ["doc_id", "key"])
+        keys, owner, hit = _hits(utf8(batch.column(1)), shared.value)
+        ids = batch.column(0).take(pa.array([owner[i] for i in hit], pa.int64()))
+        return pa.RecordBatch.from_arrays([ids, pa.array([keys[i] for i in hit], pa.binary()).cast(pa.string())], ["doc_id", "key"])
 
     return map_rows(docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), of, "doc_id long, key string")
 
 
+def _marked(docs: DataFrame, shared) -> DataFrame:
+    """``docs`` with __suspect: has a document of a doc_id a line that the filter suspects?"""
+    names = docs.columns
+    text_at, id_at = names.index("text"), names.index("doc_id")
+
+    def of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        _, owner, hit = _hits(utf8(batch.column(text_at)), shared.value)
+        marks = np.zeros(batch.num_rows, bool)
+        marks[[owner[i] for i in hit]] = True
+        marks &= batch.column(id_at).is_valid().to_numpy(zero_copy_only=False)
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks)], [*names, "__suspect"])
+
+    return map_rows(docs, of, extended(docs, "__suspect boolean"))
+
+
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """Every row and column of ``docs``, with kept_text, n_lines (before dropping) and n_dropped.
 
@@ -145,32 +171,47 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     Input columns named kept_text, n_lines or n_dropped are replaced. An empty table stays empty.
     """
     docs = docs.drop("kept_text", "n_lines", "n_dropped")
-    suspects = materialize(_suspects(docs, twice_seen(docs)), "line-suspects")
-    shared = suspects.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    owners = materialize(shared.select("key", "first"), "line-owners")
+    names, shared = docs.columns, twice_seen(docs)
+    suspects = materialize(_suspects(docs, shared), "line-suspects")
+    several = suspects.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    owners = materialize(several.select("key", "first"), "line-owners")
     lost = suspects.join(owners, "key").where("doc_id != first").groupBy("doc_id").agg(F.collect_set("key").alias("__lost"))
-    both = docs.join(lost.select(F.col("doc_id").alias("__doc"), "__lost"), F.col("doc_id") == F.col("__doc"), "left").drop("__doc")
-    names = [c for c in both.columns if c != "__lost"]
+    marked = _marked(docs, shared)
+    whole = marked.where(~F.col("__suspect")).select(*names)
+    n_lines = F.length("kept_text") - F.length(F.replace("kept_text", F.lit("\n"), F.lit(""))) + 1
+    whole = whole.withColumn("kept_text", F.coalesce("text", F.lit(""))).withColumn("n_lines", n_lines.cast("long")).withColumn("n_dropped", F.lit(0).cast("long"))
+    both = marked.where("__suspect").join(lost.withColumnRenamed("doc_id", "__doc"), F.col("doc_id") == F.col("__doc"), "left")
+    return whole.unionByName(_kept_lines(both.select(*names, "__lost"), docs))
+
+
+def _kept_lines(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """Rows of ``docs`` with their lost keys, an array or null, in the last column."""
+    names = docs.columns
     text_at, lost_at = names.index("text"), len(names)
 
     def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, lost_keys = utf8(batch.column(text_at)), batch.column(lost_at).to_pylist()
-        kept, lines, dropped = [], [], []
-        for text, gone in zip(texts, lost_keys, strict=True):
-            text = text or b""
-            n = text.count(b"\n") + 1
-            if gone:
-                out = {k.encode() for k in gone}
-                stay = [line for line, key in zip(text.split(b"\n"), line_keys(text), strict=True) if key not in out]
-                dropped.append(n - len(stay))
-                text = b"\n".join(stay)
-            else:
-                dropped.append(0)
-            kept.append(text)
-            lines.append(n)
-        return pa.RecordBatch.from_arrays([*batch.columns[:lost_at], pa.array(kept, pa.binary()).cast(pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], [*names, "kept_text", "n_lines", "n_dropped"])
-
-    return map_rows(both.select(*names, "__lost"), keep, extended(docs, "kept_text string, n_lines long, n_dropped long"))
+        gone = [{k.encode() for k in keys} if keys else None for keys in batch.column(lost_at).to_pylist()]
+        return _cut(batch.select(names), batch.column(text_at), gone)
+
+    return map_rows(rows, keep, extended(docs, ADDED))
+
+
+def _cut(batch: pa.RecordBatch, texts: pa.Array, gone: list[set[bytes] | None]) -> pa.RecordBatch:
+    """The batch with kept_text, n_lines and n_dropped, without the lines whose keys are ``gone``."""
+    kept, lines, dropped = [], [], []
+    for text, out in zip(utf8(texts), gone, strict=True):
+        text = text or b""
+        n = text.count(b"\n") + 1
+        if out:
+            stay = [line for line, key in zip(text.split(b"\n"), line_keys(text), strict=True) if key not in out]
+            dropped.append(n - len(stay))
+            text = b"\n".join(stay)
+        else:
+            dropped.append(0)
+        kept.append(text)
+        lines.append(n)
+    more = [pa.array(kept, pa.binary()).cast(pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())]
+    return pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "kept_text", "n_lines", "n_dropped"])
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
