@@ -158,3 +158,21 @@ def test_environment_and_retry():
     assert retry(flaky, wait=lambda s: None)() == "done"
     with pytest.raises(KeyError):
         retry(lambda: {}["x"], fatal=(KeyError,), wait=lambda s: None)()
+
+
+def test_queries_without_sql_equal_plain_python(spark):
+    import re
+
+    from compare import DATA
+
+    from quire.plans import catalogue  # noqa: F401
+    from quire.plans.registry import QUERIES
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    found = {(int(r.document_id), r.chunk_index): r.text for r in QUERIES["chunk_split"](spark, DATA).collect()}
+    want = {(d, i): c for d, t in texts.items() if len(t.strip()) >= 50 for i, c in enumerate(split_text(t)) if len(c.strip()) >= 50}
+    assert found == want
+    noisy = {d: re.sub("(.{16}).", r"\1#", t, flags=re.S) for d, t in texts.items()}
+    for r in QUERIES["cer_wer_similarity"](spark, DATA).limit(40).collect():
+        pair = noisy[r.doc_id], texts[r.doc_id]
+        assert (r.cer, r.wer, r.similarity) == pytest.approx((metrics.cer_value(*pair), metrics.wer_value(*pair), metrics.similarity_value(*pair)), abs=1e-6)
