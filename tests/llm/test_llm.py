@@ -476,6 +476,48 @@ def test_near_copies_recall(spark):
     assert len(pairs) > 200 and np.mean([group[a] == group[b] for a, b in pairs]) > 0.99
 
 
+def test_sketches_leave_all_alike():
+    """No pair at 0.8 is excluded, also just at it and across sketch lengths; pairs at a half mostly are."""
+    rng = np.random.default_rng(5)
+    left = []
+    for n in (1, 2, 5, 9, 31, 63, 64, 65, 130, 500, 1030, 4100):
+        for _ in range(40):
+            pool = rng.integers(0, 2**64, 2 * n, np.uint64)
+            a = np.unique(pool[:n])
+            inside, beside = np.unique(pool[: -(-4 * n // 5)]), np.unique(np.r_[a, pool[n : n + n // 4]])
+            for b in (a, inside, beside, np.unique(np.r_[a[n // 9 :], pool[n : n + n // 9]])):
+                assert near.alike(a, b) and near.maybe_alike(near.sketch_of(a), near.sketch_of(b)) and near.maybe_alike(near.sketch_of(b), near.sketch_of(a))
+            if n >= 500:
+                b = np.unique(pool[n // 3 : n + n // 3])
+                assert not near.alike(a, b)
+                left.append(near.maybe_alike(near.sketch_of(a), near.sketch_of(b)))
+    assert np.mean(left) < 0.05
+    none = near.sketch_of(np.empty(0, np.uint64))
+    assert near.maybe_alike(none, none) and not near.maybe_alike(none, near.sketch_of(a))
+
+
+def test_near_copies_ship_few_sets(spark, monkeypatch):
+    """Texts that share a passage meet by sketch; the sets of those that are no copies are never read."""
+    monkeypatch.setattr(near, "STAR_SIZE", 4)
+    monkeypatch.setattr(near, "SAMPLE", 1 << 40)
+    read, sets = [], near._sets
+
+    def noted(*args):
+        read.append(sets(*args))
+        return read[-1]
+
+    monkeypatch.setattr(near, "_sets", noted)
+    rng = random.Random(3)
+    word = lambda n: " ".join(str(rng.randrange(10**6)) for _ in range(n))
+    passage = word(150)
+    texts = [f"{passage} {word(200)}" for _ in range(60)]
+    texts += [f"{t} {word(3)}" for t in texts[:5]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "row long, text string").withColumn("doc_id", F.col("row"))
+    group = {r.row: r.component for r in near.near_groups(docs).collect()}
+    assert len(set(group.values())) == 60 and all(group[i] == group[60 + i] for i in range(5))
+    assert sum(x.count() for x in read) <= 20
+
+
 def test_pipeline_stages_at_the_edges(spark):
     import corpus_pipeline
 
