@@ -1,9 +1,10 @@
 """Token ids of whole texts with the tokenizers library, fast on repeated words.
 
 A byte-level BPE without merges across words encodes each pre-token on its own. Texts of common Latin
-characters with single spaces and line breaks are therefore cut at their spaces and dictionary-encoded
-in groups, unseen words are encoded together by the library, and the ids of each word are kept in a
-bounded per-process table.
+characters with single spaces and line breaks are therefore cut, all texts of a group at once, before
+spaces, around line breaks and where letters, digits and punctuation meet. The pieces are
+dictionary-encoded, unseen ones are encoded together by the library, and the ids of each piece are
+kept in a bounded per-process table.
 Every other text goes to the library whole, so ids always equal those of the library.
 """
 
@@ -14,17 +15,17 @@ import re
 import string
 from collections.abc import Iterable, Iterator
 from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
 MAX_WORDS = 800_000
 GROUP_CHARS = 2_000_000
 _PLAIN = re.compile("[\n\x20-\x7e¡-¬®-ſ]*")
-_PUNCTUATION = string.punctuation
 _ODD = ("  ", "\n\n", "\n ", " \n", "<|")
+_LETTER, _DIGIT, _MARK = 1, 2, 3
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -34,30 +35,41 @@ def tokenizer_path(name: str = DEFAULT_TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-class _Words(dict):
-    """Ids of words, in two generations of which the older one goes when the younger one is full.
+def _kinds() -> np.ndarray:
+    """The kind of every UTF-8 byte: letter (also a byte of U+0080 and above), digit, mark, or none of these.
 
-    A word of the older generation moves to the younger one when it is used; an unknown word gives
-    None and is noted in ``unseen``. Rare words so leave by themselves and frequent ones stay.
+    The apostrophe is none: it may start a pre-token together with letters ("'s").
     """
+    out = np.zeros(256, np.uint8)
+    out[0x80:] = _LETTER
+    for characters, kind in ((string.ascii_letters, _LETTER), (string.digits, _DIGIT), (string.punctuation.replace("'", ""), _MARK)):
+        out[np.frombuffer(characters.encode(), np.uint8)] = kind
+    return out
 
-    def __init__(self) -> None:
-        super().__init__()
-        self.older: dict[str, bytes] = {}
-        self.unseen: set[str] = set()
 
-    def __missing__(self, word: str) -> bytes | None:
-        ids = self.older.pop(word, None)
-        if ids is None:
-            self.unseen.add(word)
-        else:
-            self[word] = ids
-        return ids
+_KINDS = _kinds()
 
-    def rotate(self, limit: int) -> None:
-        if len(self) > limit // 2:
-            self.older = dict(self)
-            self.clear()
+
+def _cuts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Where the pieces of the UTF-8 bytes of plain texts start; every one of these places starts a pre-token.
+
+    A pre-token is an optional space and letters only, digits only or others only, or a line break, or an
+    apostrophe and certain letters. Of U+0080 to U+017F all are taken for letters from U+00C0 on but for the two
+    signs among them, so the rest are of no kind and never cut off.
+    """
+    kind = _KINDS[data]
+    for lead, signs in ((0xC2, None), (0xC3, (0x97, 0xB7))):
+        at = np.flatnonzero(data == lead)
+        if signs:
+            at = at[np.isin(data[at + 1], signs)]
+        kind[at] = kind[at + 1] = 0
+    breaks = np.flatnonzero(data == 0x0A)
+    new = np.zeros(len(data) + 1, bool)
+    new[1:-1] = (kind[1:] != kind[:-1]) & (kind[1:] != 0) & (kind[:-1] != 0)
+    new[:-1] |= data == 0x20
+    new[breaks] = new[breaks + 1] = new[starts] = True
+    new[-1] = False
+    return np.flatnonzero(new)
 
 
 class WordEncoder:
@@ -71,80 +83,81 @@ class WordEncoder:
         size = self.library.get_vocab_size()
         first = [(self.library.id_to_token(i) or "")[:1] for i in range(size)]
         self.begins = np.array([c in ("Ġ", "Ċ") for c in first])
-        kind = type(self.library.pre_tokenizer).__name__
-        self.by_word = kind == "ByteLevel" and self.library.normalizer is None and not getattr(self.library.pre_tokenizer, "add_prefix_space", True)
-        self.known, self.endings = _Words(), {}
+        cutter = self.library.pre_tokenizer
+        plain = type(cutter).__name__ == "ByteLevel" and not getattr(cutter, "add_prefix_space", True) and getattr(cutter, "use_regex", False)
+        self.by_word = plain and self.library.normalizer is None
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.limit = MAX_WORDS
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self) -> None:
-        """Adds the unseen words to the table. A word that starts with U+0001 has no space before it.
-
-        Punctuation right after letters is a pre-token of its own, so such words share their stem.
+    def _learn(self, fresh: list[bytes]) -> list[bytes]:
+        """The ids of unseen pieces. One without a space before it is encoded after a line break, whose id goes."""
+        spaced = [w[0] == 0x20 for w in fresh]
+        marked = [w if s else b"\n" + w for w, s in zip(fresh, spaced, strict=True)]
+        joined = [b"".join(marked[at : at + 64]).decode() for at in range(0, len(fresh), 64)]
+        each = [x.ids for x in self.library.encode_batch_fast(joined, add_special_tokens=False)]
+        ids = np.array(list(chain.from_iterable(each)), "<u4")
+        begin = self.begins[ids]
+        ends = np.cumsum([len(x) for x in each])
+        counts = np.diff(np.cumsum(begin)[ends - 1], prepend=0)
+        if (counts != [min(64, len(fresh) - at) for at in range(0, len(fresh), 64)]).any():
+            return [self._whole(w.decode()) for w in fresh]
+        first = np.flatnonzero(begin)
+        raw, last = ids.tobytes(), [*(4 * first[1:]).tolist(), 4 * len(ids)]
+        return [raw[a:b] for a, b in zip((4 * (first + ~np.array(spaced))).tolist(), last, strict=True)]
+
+    def _look_up(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of distinct pieces, in two generations of which the older one goes when the younger one is full.
+
+        A piece of the older generation joins the younger one when it is used. Rare pieces so leave by themselves
+        and frequent ones stay.
         """
-        known, fresh, self.known.unseen = self.known, self.known.unseen, set()
-        ended = [(w, stem, w[len(stem) :]) for w in fresh if (stem := w.rstrip(_PUNCTUATION)) != w and stem.isalpha()]
-        fresh.difference_update([w for w, _, _ in ended])
-        fresh.update([stem for _, stem, _ in ended if known[stem] is None])
-        known.unseen.clear()
-        plain = list(fresh)
-        groups = [plain[at : at + 64] for at in range(0, len(plain), 64)]
-        joined = ["".join(["\n" + w[1:] if w[0] == "\x01" else " " + w for w in part]) for part in groups]
-        for part, found in zip(groups, self.library.encode_batch_fast(joined, add_special_tokens=False), strict=True):
-            ids = np.array(found.ids, "<u4")
-            starts = np.flatnonzero(self.begins[ids])
-            if len(starts) != len(part):
-                for w in part:
-                    known[w] = self._whole(w[1:] if w[0] == "\x01" else " " + w)
-                continue
-            raw, at = ids.tobytes(), (4 * starts).tolist()
-            for w, a, b in zip(part, at, [*at[1:], len(raw)], strict=True):
-                known[w] = raw[a + 4 : b] if w[0] == "\x01" else raw[a:b]
-        for w, stem, ending in ended:
-            known[w] = known[stem] + self._ending(ending)
-
-    def _ending(self, ending: str) -> bytes:
-        ids = self.endings.get(ending)
-        if ids is None:
-            ids = self._whole(ending)
-            if len(self.endings) < 10_000:
-                self.endings[ending] = ids
-        return ids
+        if len(self.known) > self.limit // 2:
+            self.known, self.older = {}, self.known
+        self.known[b"\n"] = self._line_end
+        found = list(map(self.known.get, pieces))
+        absent = [w for w, ids in zip(pieces, found, strict=True) if ids is None]
+        if not absent:
+            return found
+        again = list(map(self.older.get, absent))
+        fresh = [w for w, ids in zip(absent, again, strict=True) if ids is None]
+        if fresh:
+            learnt = iter(self._learn(fresh))
+            again = [next(learnt) if ids is None else ids for ids in again]
+        self.known.update(zip(absent, again, strict=True))
+        rest = iter(again)
+        return [next(rest) if ids is None else ids for ids in found]
 
     @cached_property
     def _line_end(self) -> bytes:
         return self._whole("\n")
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        known = self.known
-        known.rotate(self.limit)
-        known["\x01"], known["\x02"] = b"", self._line_end
         out, at, plain = [], [], []
         for i, text in enumerate(texts):
             if not text:
                 out.append(b"")
             elif self.by_word and not any(map(text.__contains__, _ODD)) and text[0] != " " != text[-1] and _PLAIN.fullmatch(text):
                 at.append(i)
-                plain.append("\x01" + text.replace("\n", " \x02 \x01"))
+                plain.append(text.encode())
                 out.append(b"")
             else:
                 out.append(self._whole(text))
         if not plain:
             return out
-        words = pc.split_pattern(pa.array(plain, pa.string()), " ")
-        coded = words.values.dictionary_encode()
-        unique = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        get = known.__getitem__
-        found = list(map(get, unique))
-        if known.unseen:
-            self._learn()
-            found = [get(w) if ids is None else ids for w, ids in zip(unique, found, strict=True)]
-        joined = pa.array(found, pa.binary()).take(coded.indices)
-        _, ends, content = joined.buffers()
-        cuts, raw = np.frombuffer(ends, np.int32)[np.asarray(words.offsets)].tolist(), memoryview(content)
-        for i, start, end in zip(at, cuts, cuts[1:], strict=False):
+        data = b"".join(plain)
+        starts = np.cumsum([0, *map(len, plain)])
+        cuts = _cuts(np.frombuffer(data, np.uint8), starts)
+        offsets = np.append(cuts, len(data)).astype(np.int64)
+        coded = pa.Array.from_buffers(pa.large_binary(), len(cuts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        found = self._look_up(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        _, ends, content = pa.array(found, pa.large_binary()).take(coded.indices).buffers()
+        bounds = np.frombuffer(ends, np.int64)[np.searchsorted(offsets, starts)].tolist()
+        raw = memoryview(content)
+        for i, start, end in zip(at, bounds, bounds[1:], strict=False):
             out[i] = bytes(raw[start:end])
         return out
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quire.llm import bitslice, decontaminate, hosts, huffman, langid, lines, near, ngram_lm, packing, secret_scan, simhash
 from quire.llm.components import connected_components
 from quire.llm.queries import ORACLES, QUERIES
-from quire.llm.tokens import encode_texts, tokenizer_path
+from quire.llm.tokens import WordEncoder, encode_texts, tokenizer_path
 
 EDGE = [
     (1, "Alpha beta gamma delta\nA line of text that repeats\npassword = 'abcdef123'", "en", "extra"),
@@ -152,6 +152,31 @@ def test_word_table_equals_library():
         assert np.frombuffer(raw, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_pieces_of_words_equal_library():
+    from tokenizers import Tokenizer
+
+    library, rng = Tokenizer.from_file(tokenizer_path()), random.Random(8)
+    parts = [
+        *" \n'.,;:!?()[]{}<>|\"_-/@#~`^$%&*+=\\", *"aZ019éßÿſŉÀ×÷ªºµ¡¿²³¼«»§", "the", "'s", "'re", "'LL", "word,", "(x)", "2.5e3", "http://a.b/c?d=1",
+        " of", " in", "\nAnd", ", ", ". ", "été", "\u00a0", "\u00ad", "\t", "日本"
+    ]
+    plain = parts[: parts.index("\u00a0")]
+    texts = ["".join(rng.choice(parts if n % 9 == 0 else plain) for _ in range(rng.randrange(1, 30))) for n in range(4000)]
+    for group in (50, 5000):
+        for text, raw in zip(texts, encode_texts(texts, tokenizer_path(), group=group, max_words=300), strict=True):
+            assert np.frombuffer(raw, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_the_library_encodes_a_word_once_whatever_marks_are_around_it():
+    encoder = WordEncoder(tokenizer_path())
+    words = ["".join(random.Random(n).choices("abdefghiklmnoprstu", k=9)) for n in range(400)]
+    shapes = ["x {}", "x {},", "x {}.", "x {};", "x {}!", "x {}:", "x {}...", "x {}/{}", "x {}-{}", "x {}).", "x {}7"]
+    texts = [shape.format(w, w) for shape in shapes for w in words]
+    ids = encoder.encode(texts)
+    assert len(encoder.known) <= 2 * len(words) + 20  # with a space before it, and without one after a mark
+    assert ids == [np.array(encoder.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
 def test_secrets_brute_force(spark):
     rng, parts = random.Random(5), [
         "password: abcdef9", "secret:token:abcdefgh", "AKIA" + "Z" * 16, "AKIAXX", "user=bob", "https://api.example.com/x", "f" * 24, "é ",
