@@ -61,7 +61,7 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all kept documents, with their ids and their places in sequences of 1024."""
-    return packing.pack(docs, max_words=600_000)  # earlier stages also hold word tables in the workers
+    return packing.pack(docs, max_words=600_000, keep_words=False)  # workers of other stages stay idle beside these for a while
 
 
 STAGES = [

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_small, map_rows, materialize, sorted_groups, utf8
+from .common import join_small, map_rows, materialize, release_memory, sorted_groups, utf8
 from .components import connected_components
 from .simhash import SEED, fingerprint_of, ring_chain, shingle_hashes
 
@@ -159,6 +159,7 @@ def _shared_keys(each: DataFrame) -> DataFrame:
             on = size > 1
             if on.any():
                 yield pa.RecordBatch.from_arrays([pa.array(key[on]), pa.array(sig[on]), pa.array(pos[on]), pa.array(size[on])], ["key", "sig", "pos", "size"])
+        release_memory()
 
     postings = each.select("sig", F.posexplode("keys").alias("pos", "key")).select("key", "sig", "pos")
     return materialize(postings.repartition("key").sortWithinPartitions("key", "sig").mapInArrow(several, "key long, sig long, pos int, size long"), "keys")
@@ -244,6 +245,7 @@ def _pair_links(rows: DataFrame, each: DataFrame, keys: DataFrame, roots: DataFr
                 a, b = _pairs_in(sig[lo:hi], n[lo:hi], pos[lo:hi], fp[lo:hi], comp[lo:hi])
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["u", "v"])
+        release_memory()
 
     pairs = materialize(dealt.repartition("part").sortWithinPartitions("part").mapInArrow(candidates, "u long, v long").distinct(), "pairs")
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, join_small, materialize
-from .tokens import MAX_WORDS, encode_each, tokenizer_path
+from .tokens import MAX_WORDS, encode_each, forget_words, tokenizer_path
 
 CAPACITY = 1024
 END_ID = 2
@@ -62,9 +62,9 @@ def best_fit(items: Iterable[tuple[int, object]], capacity: int) -> list[list]:
     return bins
 
 
-def _pieces(docs: DataFrame, path: str, capacity: int, keep_ids: bool, max_words: int) -> DataFrame:
+def _pieces(docs: DataFrame, path: str, capacity: int, keep_ids: bool, max_words: int, keep_words: bool) -> DataFrame:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, rows, held = TaskContext.get().partitionId() << 32, [], 0
+        base, rows, held, batch = TaskContext.get().partitionId() << 32, [], 0, None
 
         def flush(first: int) -> tuple[int, list[pa.RecordBatch]]:
             bins = best_fit(((r[3], i) for i, r in enumerate(rows)), capacity)
@@ -91,6 +91,9 @@ def _pieces(docs: DataFrame, path: str, capacity: int, keep_ids: bool, max_words
                 rows, held = [], 0
         if rows:
             yield from flush(base)[1]
+        if not keep_words:
+            rows = batch = None
+            forget_words(path)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, bin long, place long, used int"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(of, schema)
@@ -127,15 +130,24 @@ def _final_places(moves: list[DataFrame]) -> DataFrame:
     return materialize(out, "places")
 
 
-def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, slack: int = 0, keep_ids: bool = True, max_words: int = MAX_WORDS) -> DataFrame:
+def pack(
+    docs: DataFrame,
+    path: str | None = None,
+    capacity: int = CAPACITY,
+    slack: int = 0,
+    keep_ids: bool = True,
+    max_words: int = MAX_WORDS,
+    keep_words: bool = True,
+) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, ids, sequence_id, offset), one row for each piece.
 
     Null and empty texts are the end id alone. A document longer than ``capacity`` becomes pieces of
     exactly ``capacity`` ids but for a shorter first one. Equal rows are packed once each; a null doc_id
     stays null. Pieces of equal length and bins of equal residual are placed in any order. Offsets in a sequence are
     gapless from 0. An empty table gives an empty result; columns other than doc_id and text are not read.
+    Without ``keep_words`` a worker's word table goes with the task: slower, but idle workers stay small.
     """
-    pieces = materialize(_pieces(docs, path or tokenizer_path(), capacity, keep_ids, max_words), "pieces")
+    pieces = materialize(_pieces(docs, path or tokenizer_path(), capacity, keep_ids, max_words, keep_words), "pieces")
     open_bins = pieces.where(F.col("place") == 0).where(F.col("used") < capacity - slack)
     # What leaves a partition: its movable bin, and as many hosts of each residual as one round can use.
     part = F.shiftright("bin", 32)

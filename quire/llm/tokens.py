@@ -20,6 +20,8 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
+from .common import release_memory
+
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
 MAX_WORDS = 800_000
 GROUP_CHARS = 2_000_000
@@ -162,6 +164,13 @@ class WordEncoder:
         return out
 
 
+def forget_words(path: str) -> None:
+    """Empty this process's table of words; the library stays loaded."""
+    if path in _encoders:
+        _encoders[path].known, _encoders[path].older = {}, {}
+    release_memory()
+
+
 def encode_texts(texts: list[str | None], path: str, group: int = GROUP_CHARS, max_words: int = MAX_WORDS) -> list[bytes]:
     """Little-endian unsigned 32-bit ids of every text; null is empty."""
     return list(encode_each(texts, path, group, max_words))

@@ -456,6 +456,38 @@ def test_pipeline_stages(spark):
     assert decontaminate.decontaminate(docs, bench).where("contaminated").count() == 0
 
 
+def test_pipeline_leaves_no_words_in_the_workers(spark):
+    import corpus_pipeline
+    import pyarrow as pa
+
+    from quire.llm import tokens
+
+    docs = spark.createDataFrame([(i, "word wyrdforpipeline" + "abcd"[i % 4]) for i in range(40)], "doc_id long, text string").repartition(8)
+    assert corpus_pipeline.pack_sequences(spark, docs, DATA).count() == 40
+
+    def held(batches):
+        words = [w for e in tokens._encoders.values() for w in (*e.known, *e.older)]
+        yield pa.RecordBatch.from_arrays([pa.array([sum(b"wyrdforpipeline" in w for w in words)])], ["n"])
+
+    assert [r.n for r in spark.range(0, 16, 1, 16).mapInArrow(held, "n long").collect()] == [0] * 16
+
+
+def test_released_memory_leaves_the_process():
+    import pyarrow as pa
+
+    from quire.llm.common import release_memory
+
+    def anonymous():
+        with open("/proc/self/smaps_rollup") as f:
+            return sum(int(line.split()[1]) for line in f if line.startswith("Anonymous:")) / 1024
+
+    held = [pa.array(np.arange(1 << 17)).cast(pa.string()) for _ in range(100)]
+    most = anonymous()
+    del held
+    release_memory()
+    assert anonymous() < most - 100
+
+
 def near_texts():
     rng = random.Random(8)
     texts: list[str | None] = [None, "", " ", "one two", "One  two", "one two three four five", "one two three four six"]
