@@ -391,6 +391,16 @@ def test_url_edge_cases(spark):
     assert hosts.filter_urls(pages.where("false"), outcomes).count() == 0
 
 
+def test_url_query_follows_the_contract(spark, tmp_path):
+    urls = ["http://a.net/de/1", "http://x.example.net/de/8", "http://a.com/en/1", "http://example.com/en/7", "http://a.org/es/"]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    found = {r.page_id: (r.rule, r.verdict) for r in hosts.op9_url_filter(spark, str(tmp_path)).collect()}
+    assert [found[i] for i in range(5)] == [
+        ("net/de/", "allow"), ("example.net/de/8", "block"), ("com/en/", "block"), ("example.com/en/7", "allow"), ("org/es/", "block")
+    ]
+
+
 def test_simhash_brute_force(spark, edge, empty, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", 16)
     rng = random.Random(4)
