@@ -98,8 +98,10 @@ def rule_relations(entities: DataFrame) -> DataFrame:
 
 
 def parse_answer(answer: Column | str, schema: str) -> Column:
-    """A model's JSON answer as a struct: as it stands, else its widest braces; null if neither parses."""
-    clean = T.strip_wrappers(answer)
-    widest = F.regexp_extract(clean, r"(?s)\{.*\}", 0)
-    valid = lambda text: F.when(F.is_valid_utf8(text) & F.try_parse_json(text).isNotNull(), text)
-    return F.coalesce(*[F.from_json(valid(text), schema) for text in (clean, widest)])
+    """A model's JSON answer as a struct: as it stands, else its widest braces; null if neither parses.
+
+    Each step is the variable of a lambda over the one before, so that it is worked out once a row.
+    """
+    once = lambda value, fn: F.get(F.transform(F.array(value), fn), F.lit(0))
+    read = lambda text: F.from_json(F.when(F.is_valid_utf8(text) & F.try_parse_json(text).isNotNull(), text), schema)
+    return once(T.strip_wrappers(answer), lambda clean: F.coalesce(read(clean), once(F.regexp_extract(clean, r"(?s)\{.*\}", 0), read)))

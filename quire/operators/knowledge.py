@@ -14,6 +14,7 @@ from ..functions import text as T
 from ..functions.repair import repair_json
 from ..schema import ENTITIES, entity_frame
 from . import extraction, graph
+from ._durable import durable
 
 _PROPERTIES = "properties MAP<STRING,STRING>, confidence DOUBLE, source_text STRING"
 ANSWER = f"entities ARRAY<STRUCT<name STRING, type STRING, {_PROPERTIES}>>, relations ARRAY<STRUCT<source STRING, target STRING, type STRING, {_PROPERTIES}>>"
@@ -37,12 +38,12 @@ def read_answers(answers: DataFrame) -> DataFrame:
     """(extraction, answer, parsed): model answers (extraction, answer) as structs, null where nothing can be made of one.
 
     An answer is read as it stands, without thinking blocks and fences, else by its widest braces, else after repair. Only
-    answers that no built-in parses reach the UDF.
+    answers that no built-in parses reach the UDF. What was read is written, as entities and relations both take it several times.
     """
-    plain = answers.withColumn("parsed", extraction.parse_answer("answer", ANSWER))
-    broken = F.when(F.col("parsed").isNull(), T.strip_wrappers("answer"))
-    repaired = F.from_json(repair_json(broken), ANSWER)
-    return plain.withColumn("parsed", F.coalesce("parsed", repaired))
+    plain = durable(answers.withColumn("parsed", extraction.parse_answer("answer", ANSWER)), "answers")
+    repaired = F.from_json(repair_json(T.strip_wrappers("answer")), ANSWER)
+    rest = durable(plain.where("parsed is null").withColumn("parsed", repaired), "repaired")
+    return plain.where("parsed is not null").unionByName(rest)
 
 
 def _explode(parsed: DataFrame, field: str) -> DataFrame:
@@ -86,7 +87,7 @@ def answer_entities(parsed: DataFrame) -> DataFrame:
 def answer_relations(parsed: DataFrame, entities: DataFrame) -> DataFrame:
     """Relations of parsed answers of a known type, both of whose ends are among the entities of their extraction."""
     known = _explode(parsed, "relations").withColumn("type", graph.remap_relation_type("type")).where(F.col("type").isNotNull())
-    names = entities.select("extraction", "name").unionByName(parsed.select("extraction", F.col("extraction").alias("name"))).distinct()
+    names = durable(entities.select("extraction", "name").unionByName(parsed.select("extraction", F.col("extraction").alias("name"))), "names")
     for end in ("source", "target"):
         known = known.join(names.withColumnRenamed("name", end), ["extraction", end], "left_semi")
     return known.select(*RELATION_COLUMNS)

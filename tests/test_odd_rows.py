@@ -5,6 +5,7 @@ import pyarrow.parquet as pq
 import pytest
 from compare import connect, rows
 
+from quire.operators import knowledge as operators
 from quire.plans import catalogue, knowledge, stores  # noqa: F401
 from quire.plans.registry import ORACLES, QUERIES
 
@@ -21,3 +22,11 @@ def test_odd_texts_equal_sql(spark, tmp_path, name):
     pq.write_table(pa.table(table), f"{tmp_path}/documents.parquet")
     found = QUERIES[name](spark, str(tmp_path)).toPandas()
     assert rows(found) == rows(connect(tmp_path).execute(ORACLES[name]).fetchdf())
+
+
+def test_answers_are_read_once(spark):
+    answers = spark.createDataFrame([("a", '{"entities": [{"name": "X", "type": "Bank"}], "relations": []}'), ("b", "{")], "extraction string, answer string")
+    parsed = operators.read_answers(answers)
+    relations = operators.answer_relations(parsed, operators.answer_entities(parsed))
+    assert "from_json" not in relations._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.extraction: r.parsed is None for r in parsed.collect()} == {"a": False, "b": False}
