@@ -30,3 +30,15 @@ def test_answers_are_read_once(spark):
     relations = operators.answer_relations(parsed, operators.answer_entities(parsed))
     assert "from_json" not in relations._jdf.queryExecution().optimizedPlan().toString()
     assert {r.extraction: r.parsed is None for r in parsed.collect()} == {"a": False, "b": False}
+
+
+def test_equal_names_meet_only_once(spark, monkeypatch):
+    from quire.operators import graph
+
+    seen = []
+    whole = graph.similar_names
+    monkeypatch.setattr(graph, "similar_names", lambda names, threshold: seen.append(names.count()) or whole(names, threshold))
+    table = [("T", f"{i:03}", n) for i, n in enumerate(["widget alphas", "widget alpha", "other thing", "", None, "widget alphaes"] * 20)]
+    found = {r.key: r.leader for r in graph.fuzzy_groups(spark.createDataFrame(table, "label string, key string, norm string")).collect()}
+    assert seen == [4]
+    assert found == {k: {"o": "002", "w": "000"}[n[0]] if n else k for _, k, n in table}
