@@ -77,3 +77,22 @@ def test_bm25_of_tasks_equals_plain_python(spark, monkeypatch):
     by_index = index.search_index({"postings": posted}, queries)
     assert {(r.query_id, r.rank): (r.id, r.score) for r in by_index.collect()} == want
     assert retrieval.bm25(chunks.where("false"), queries).count() == retrieval.bm25(chunks, queries.where("false")).count() == 0
+
+
+def test_nearest_vectors_with_many_ties(spark):
+    import numpy as np
+
+    from quire.operators import retrieval
+
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(30, 4))
+    vectors = {i: base[i % 30 if i < 300 else 0].tolist() for i in range(900)}
+    df = spark.createDataFrame([*vectors.items(), (900, None)], "id long, v array<float>")
+    found = retrieval.cosine_top_k(df, df.where("id % 50 = 0").withColumnRenamed("id", "query_id"), 7)
+    x = np.array(list(vectors.values()), np.float32).astype(np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = set()
+    for q in range(0, 900, 50):
+        s = np.round(x @ x[q], 6)
+        want |= {(q, r, i) for r, i in enumerate([i for i in np.lexsort((range(900), -s)).tolist() if i != q][:7], 1)}
+    assert {(r.query_id, r.rank, r.id) for r in found.collect()} == want
