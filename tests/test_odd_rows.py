@@ -96,3 +96,32 @@ def test_nearest_vectors_with_many_ties(spark):
         s = np.round(x @ x[q], 6)
         want |= {(q, r, i) for r, i in enumerate([i for i in np.lexsort((range(900), -s)).tolist() if i != q][:7], 1)}
     assert {(r.query_id, r.rank, r.id) for r in found.collect()} == want
+
+
+def test_edits_are_those_of_difflib(monkeypatch):
+    import difflib
+    import random
+    import time
+
+    from quire.functions import metrics
+
+    def wanted(a, b):
+        return sum(0 if tag == "equal" else max(a1 - a0, b1 - b0) for tag, a0, a1, b0, b1 in difflib.SequenceMatcher(None, a, b).get_opcodes())
+
+    rng = random.Random(1)
+    for length, letters in [(0, "a"), (9, "ab"), (30, "ab"), (199, "abcdef"), (200, "abcdef"), (700, "".join(map(chr, range(97, 197)))), (900, "aaaaaaaaabcdefghijklmnopqrst")] * 12:
+        a = "".join(rng.choice(letters) for _ in range(length))
+        b = "".join(c for c in a if rng.random() > 0.1) + rng.choice(["", a[:50]])
+        for x, y in ((a, b), (b, a), (a.split("a"), b.split("a"))):
+            for most in (64, 2, 0):
+                monkeypatch.setattr(metrics, "MOST_LEVELS", most)
+                assert metrics._edits(x, y) == wanted(x, y)
+    monkeypatch.undo()
+    text = "".join(rng.choice(letters + "0123456789" * 3) for _ in range(20_000))
+    noisy = "".join("#" if i % 17 == 16 else c for i, c in enumerate(text))
+    began = time.process_time()
+    want, plain = wanted(text, noisy), time.process_time() - began
+    began = time.process_time()
+    assert metrics._edits(text, noisy) == want and time.process_time() - began < plain
+    began = time.process_time()
+    assert metrics.cer_value(text, text) == 0 and time.process_time() - began < plain / 10
