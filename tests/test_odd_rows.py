@@ -125,3 +125,18 @@ def test_edits_are_those_of_difflib(monkeypatch):
     assert metrics._edits(text, noisy) == want and time.process_time() - began < plain
     began = time.process_time()
     assert metrics.cer_value(text, text) == 0 and time.process_time() - began < plain / 10
+
+
+def test_steps_start_at_reached_nodes_only(spark, monkeypatch):
+    from quire.operators import graph
+
+    rows = [("D", "1", "r", "P", "x"), ("D", "1", "r", "P", "x"), ("P", "x", "r", "P", "x"), ("P", "y", "s", "P", "x"), ("D", "2", "r", "P", "y"), (None, "1", "r", "P", "x")]
+    edges = spark.createDataFrame(rows, "src_label string, src_key string, rel_type string, dst_label string, dst_key string")
+    at = graph.durable(spark.createDataFrame([("P", "x")], "label string, key string"), "at")
+    want = sorted(map(repr, graph._steps(edges).where("a_label = 'P' and a_key = 'x'").collect()))
+    for most in (10, 0):
+        monkeypatch.setattr(graph, "MOST_BROADCAST", most)
+        assert sorted(map(repr, graph._steps_from(edges, at).collect())) == want
+    monkeypatch.undo()
+    plan = graph._steps_from(edges.distinct(), at)._jdf.queryExecution().optimizedPlan().toString()
+    assert all("Join LeftSemi" in part.split("Aggregate")[1] for part in plan.split("Project [xxhash64")[1:])
