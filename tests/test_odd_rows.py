@@ -140,3 +140,17 @@ def test_steps_start_at_reached_nodes_only(spark, monkeypatch):
     monkeypatch.undo()
     plan = graph._steps_from(edges.distinct(), at)._jdf.queryExecution().optimizedPlan().toString()
     assert all("Join LeftSemi" in part.split("Aggregate")[1] for part in plan.split("Project [xxhash64")[1:])
+
+
+def test_only_labels_with_duplicates_are_joined(spark, monkeypatch):
+    from quire.operators import graph
+
+    rows = [("D", "1", "r", "P", "b"), ("D", "1", "r", "P", "a"), ("D", "1", "r", "T", "b"), ("P", "b", "s", "P", "a"), (None, "b", "r", "P", "b"), ("P", None, "r", "D", "1")]
+    edges = spark.createDataFrame(rows * 2, "src_label string, src_key string, rel_type string, dst_label string, dst_key string")
+    picked = spark.createDataFrame([("P", "a", "a"), ("P", "b", "a")], "label string, key string, canon string")
+    want = {("D", "1", "r", "P", "a"), ("D", "1", "r", "T", "b"), (None, "b", "r", "P", "a"), ("P", None, "r", "D", "1")}
+    for most in (1000, 0):
+        monkeypatch.setattr(graph, "MOST_LABELS", most)
+        found = [tuple(r) for r in graph.repoint(edges, picked).collect()]
+        assert len(found) == len(want) and set(found) == want
+    assert graph.repoint(edges, picked.where("false")).count() == 6
